@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference is a batch audit: it has no streams, watermarks, windows
+over event time or per-key state. Nothing is built here; new processor
+export periods are added as new branches (``paymatch.sources``) and the
+audit is re-run as a batch.
+"""
