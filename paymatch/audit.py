@@ -1,59 +1,82 @@
 """``Audit``: every reference output as a lazily built DataFrame.
 
 Intermediates are built once per ``Audit`` object, so the DataFrames that
-several outputs share (processor rows, invoice totals, payment summaries)
-are the *same* plan objects; inside one action Spark then reuses their
-shuffle stages (ReusedExchange) instead of recomputing them.
+several outputs share (invoice totals, payment summaries, checks) are the
+*same* plan objects; inside one action Spark then reuses their shuffle
+stages (ReusedExchange) instead of recomputing them.
+
+The processor rows are read by four consumers (both directions and both
+checks). Each consumer's filter is pushed into the UNION branches, so the
+plans differ and no stage is shared. Across outputs (separate actions)
+nothing is shared either. So every intermediate with several readers (C2,
+C3, C4, C5, C6, C7, C8, the unmatched invoice set) is kept once:
+``reuse="cache"`` persists them (memory, spilling to disk; lost blocks are
+recomputed from lineage), ``reuse="checkpoint"`` writes them to the
+cluster's ``spark.checkpoint.dir`` and cuts the lineage, ``reuse="none"``
+recomputes per consumer.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from paymatch.params import ReconParams
 from paymatch.plans import accounts, drilldowns, invoices, payments, processor, reconcile
+from paymatch.session import materialize
 from paymatch.sources import AuditSources
 
 
 class Audit:
-    def __init__(self, sources: AuditSources, params: ReconParams | None = None):
+    def __init__(self, sources: AuditSources, params: ReconParams | None = None,
+                 reuse: str = "cache"):
+        if reuse not in ("cache", "checkpoint", "none"):
+            raise ValueError(f"reuse must be cache, checkpoint or none, not {reuse!r}")
         self.src = sources
         self.p = params or ReconParams()
+        self.reuse = reuse
+
+    def _shared(self, df: DataFrame) -> DataFrame:
+        if self.reuse == "cache":
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        if self.reuse == "checkpoint":
+            return materialize(df)
+        return df
 
     # --- C2-C8 ---------------------------------------------------------
     @cached_property
     def latest_override(self) -> DataFrame:
-        return accounts.latest_override(self.src, self.p)
+        return self._shared(accounts.latest_override(self.src, self.p))
 
     @cached_property
     def invoice_totals(self) -> DataFrame:
-        return invoices.invoice_totals(self.src, self.p, by_owner=False)
+        return self._shared(invoices.invoice_totals(self.src, self.p, by_owner=False))
 
     @cached_property
     def invoice_totals_by_owner(self) -> DataFrame:
-        return invoices.invoice_totals(self.src, self.p, by_owner=True)
+        return self._shared(invoices.invoice_totals(self.src, self.p, by_owner=True))
 
     @cached_property
     def payments_other(self) -> DataFrame:
-        return payments.payment_summary(self.src, self.p, special=False)
+        return self._shared(payments.payment_summary(self.src, self.p, special=False))
 
     @cached_property
     def payments_special(self) -> DataFrame:
-        return payments.payment_summary(self.src, self.p, special=True)
+        return self._shared(payments.payment_summary(self.src, self.p, special=True))
 
     @cached_property
     def processor_rows(self) -> DataFrame:
-        return processor.processor_rows(self.src, self.p)
+        return self._shared(processor.processor_rows(self.src, self.p))
 
     @cached_property
     def invoice_check(self) -> DataFrame:
-        return processor.invoice_check(self.src, self.p, self.processor_rows)
+        return self._shared(processor.invoice_check(self.src, self.p, self.processor_rows))
 
     @cached_property
     def payment_check(self) -> DataFrame:
-        return payments.payment_check(self.src, self.p, self.processor_rows)
+        return self._shared(payments.payment_check(self.src, self.p, self.processor_rows))
 
     # --- C9, C10 -------------------------------------------------------
     def inputs(self, by_owner: bool = False) -> reconcile.ReconInputs:
@@ -66,14 +89,19 @@ class Audit:
             payment_check=self.payment_check,
         )
 
+    @cached_property
+    def invoice_profile(self) -> DataFrame:
+        """Per-invoice lookup profile shared by both directions and both grains."""
+        return self._shared(reconcile.invoice_profile(self.inputs(), self.p))
+
     def recon_forward(self, by_owner: bool = False) -> DataFrame:
-        return reconcile.forward(self.inputs(by_owner), self.p, by_owner)
+        return reconcile.forward(self.inputs(by_owner), self.p, by_owner, self.invoice_profile)
 
     def recon_backward(self, by_owner: bool = False) -> DataFrame:
-        return reconcile.backward(self.inputs(by_owner), self.p, by_owner)
+        return reconcile.backward(self.inputs(by_owner), self.p, by_owner, self.invoice_profile)
 
     def recon_summary(self, by_owner: bool = False) -> DataFrame:
-        return reconcile.summary(self.inputs(by_owner), self.p, by_owner)
+        return reconcile.summary(self.inputs(by_owner), self.p, by_owner, self.invoice_profile)
 
     def recon_report(self, by_owner: bool = False) -> DataFrame:
         """C10. ``by_owner=True`` is V2's report: the same 12 keys, but the
@@ -109,8 +137,8 @@ class Audit:
 
     @cached_property
     def unmatched(self) -> DataFrame:
-        return drilldowns.unmatched_invoices(self.invoice_totals_by_owner, self.processor_rows,
-                                             self.payments_other)
+        return self._shared(drilldowns.unmatched_invoices(
+            self.invoice_totals_by_owner, self.processor_rows, self.payments_other))
 
     @cached_property
     def unmatched_payments(self) -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 # Number of distinct salt values given to rows with a NULL join key.
 NULL_SALT_BUCKETS = 1024
+# Row counts of checked dimensions, by the semantic hash of their plan, so a
+# dimension used by several outputs of one run is counted once.
+_COUNTS: dict[tuple[int, int], int] = {}
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
@@ -24,8 +27,10 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
     dimension, so it stays cheap; a dimension that outgrows the bound falls
     back to a shuffle join instead of exhausting executor memory.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = (df.semanticHash(), max_rows)
+    if key not in _COUNTS:
+        _COUNTS[key] = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if _COUNTS[key] <= max_rows else df
 
 
 def salted_key(col: str | Column, buckets: int = NULL_SALT_BUCKETS, *spread: str) -> Column:

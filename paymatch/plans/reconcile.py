@@ -11,10 +11,10 @@ its row count, and the sums are multiplied by the counts: the same numbers,
 exactly, in linear work.
 
 Plan shape per direction: pre-aggregate the driving side on its own output
-keys (partial aggregation absorbs hot keys and copies), then a chain of
-left joins that all use one string key, so the driving side is shuffled
-once and the joins are co-partitioned. Each result row is already unique
-on the output keys, so no final aggregation is needed.
+keys (partial aggregation absorbs hot keys and copies), then one left join
+to a per-invoice profile that stacks all lookup sides (one shuffle, one
+join — the shape AQE can split when a key is skewed). Each result row is
+already unique on the output keys, so no final aggregation is needed.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType
 
 from paymatch.functions import date_before, flag, month_label, to_text
-from paymatch.operators import salted_key, top_per_key
+from paymatch.operators import salted_key
 from paymatch.params import PREAUTH_TEXT, ReconParams
 
 SUM_TYPE = DecimalType(38, 2)
@@ -50,44 +50,97 @@ class ReconInputs:
     payment_check: DataFrame    # C8
 
 
-def _check_variants(ic: DataFrame, p: ReconParams) -> DataFrame:
-    """C7 reduced to (invoice, before_2021, paid_before) with a row count.
+def invoice_profile(inp: ReconInputs, p: ReconParams) -> DataFrame:
+    """Everything the two directions look up, as one row per invoice key.
 
-    These two flags are output keys, so an invoice with several check rows
-    can fall in up to four key combinations.
-    """
-    return (ic.select(to_text("id").alias("_k"),
-                      flag(date_before("invoice_created", p.source_start)).alias("before_2021"),
-                      flag(date_before("invoice_paid", p.query_start)).alias("paid_before"))
-            .groupBy("_k", "before_2021", "paid_before").agg(F.count(F.lit(1)).alias("_n_ic")))
+    The check, payment-check, latest-payment and top-processor-row sides are
+    stacked (``unionByName``) and reduced by a single ``groupBy`` — one
+    partial-aggregated shuffle, so a busy invoice is pre-reduced map-side —
+    instead of five separately shuffled join partners:
 
+    * invoice check (C7): row counts per (before_2021, paid_before), since
+      those two flags are output keys (up to four combinations);
+    * payment check (C8): row count — its only visible effect is fan-out;
+    * latest method-3 / other payment (C5/C4, ``billing_row = 1``): amount;
+    * processor row with the highest gross (W3): taken with ``min`` over an
+      ordering struct — gross DESC NULLS FIRST (T1), then balance transaction
+      id, net, amount, description (K10) — an aggregate, so no window
+      partition can grow with a hot invoice number.
 
-def _payment_check_counts(bc: DataFrame) -> DataFrame:
-    return bc.groupBy(to_text("invoice_id").alias("_k")).agg(F.count(F.lit(1)).alias("_n_bc"))
+    Keys that are NULL or empty can never equal an invoice number and are
+    dropped on every side.
+    """
+    def key(c: str) -> Column:
+        return to_text(c).alias("_k")
+
+    parts = [
+        inp.invoice_check.select(
+            key("id"), F.lit(1).alias("_src"),
+            flag(date_before("invoice_created", p.source_start)).alias("_b21"),
+            flag(date_before("invoice_paid", p.query_start)).alias("_pb")),
+        inp.payment_check.select(key("invoice_id"), F.lit(2).alias("_src")),
+        inp.payments_special.select(key("invoice_id"), F.lit(3).alias("_src"),
+                                    F.col("amount_converted").alias("_amt")),
+        inp.payments_other.select(key("invoice_id"), F.lit(4).alias("_src"),
+                                  F.col("amount_converted").alias("_amt")),
+        inp.processor.select(key("invoice_id"), F.lit(5).alias("_src"), F.struct(
+            F.col("gross").isNotNull().alias("o_has_gross"), (-F.col("gross")).alias("o_neg_gross"),
+            F.col("balance_transaction_id").alias("o_txn"), F.col("net").alias("o_net"),
+            F.col("customer_facing_amount").alias("o_cfa"), F.col("description").alias("o_desc"),
+            F.col("gross").alias("gross")).alias("_top")),
+    ]
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    stacked = stacked.where(F.col("_k").isNotNull() & (F.col("_k") != ""))
+    src = F.col("_src")
+
+    def ic(b21: int, pb: int) -> Column:
+        return F.count(F.when((src == 1) & (F.col("_b21") == b21) & (F.col("_pb") == pb), 1))
+
+    return stacked.groupBy("_k").agg(
+        ic(0, 0).alias("_ic00"), ic(0, 1).alias("_ic01"), ic(1, 0).alias("_ic10"), ic(1, 1).alias("_ic11"),
+        F.count(F.when(src == 2, 1)).alias("_n_bc"),
+        F.max(F.when(src == 3, True)).alias("_bt_hit"), F.sum(F.when(src == 3, F.col("_amt"))).alias("_bt"),
+        F.max(F.when(src == 4, True)).alias("_bp_hit"), F.sum(F.when(src == 4, F.col("_amt"))).alias("_bp"),
+        F.min(F.when(src == 5, F.col("_top"))).alias("_top"),
+    )
 
 
-def _latest(pay: DataFrame, prefix: str) -> DataFrame:
-    """Latest payment group per invoice (already one row per invoice)."""
-    return pay.select(to_text("invoice_id").alias("_k"),
-                      F.col("amount_converted").alias(f"_{prefix}"),
-                      F.lit(True).alias(f"_{prefix}_hit"))
+def _check_rows() -> Column:
+    """The invoice-check rows an invoice joins: (before_2021, paid_before, count)
+    per non-empty combination, or one all-zero row standing for the NULL row
+    a left join without a match produces."""
+    variants = F.array(*[
+        F.struct(F.lit(b).alias("before_2021"), F.lit(q).alias("paid_before"),
+                 F.coalesce(F.col(f"_ic{b}{q}"), F.lit(0)).alias("_n_ic"))
+        for b in (0, 1) for q in (0, 1)])
+    present = F.filter(variants, lambda v: v["_n_ic"] > 0)
+    none = F.array(F.struct(F.lit(0).alias("before_2021"), F.lit(0).alias("paid_before"),
+                            F.lit(1).cast("long").alias("_n_ic")))
+    return F.when(F.size(present) > 0, present).otherwise(none)
 
 
-def _chain(left: DataFrame, key: Column, guard: Column, rights: list[DataFrame]) -> DataFrame:
-    """Left-join each right side on ``_k``; all joins share one key expression."""
+def _join_profile(left: DataFrame, key: Column, guard: Column, profile: DataFrame) -> DataFrame:
     out = left.withColumn("_jk", key)
-    for r in rights:
-        r = r.withColumnRenamed("_k", "_rk")
-        out = out.join(r, (out["_jk"] == r["_rk"]) & guard, "left").drop("_rk")
-    return out.drop("_jk")
+    prof = profile.withColumnRenamed("_k", "_pk")
+    out = out.join(prof, (out["_jk"] == prof["_pk"]) & guard, "left").drop("_pk")
+    return out.select("*", F.inline(_check_rows()))
 
 
 def _typed(c: Column, name: str) -> Column:
     return c.cast(SUM_TYPE).alias(name)
 
 
-def forward(inp: ReconInputs, p: ReconParams, by_owner: bool = False) -> DataFrame:
-    """C9a "Stripe-Prod": every processor row against the invoice side."""
+def forward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
+            profile: DataFrame | None = None) -> DataFrame:
+    """C9a "Stripe-Prod": every processor row against the invoice side.
+
+    Processor rows are first aggregated on their own output keys, then joined
+    to the invoice profile and to the invoice totals (per owner in V2 — the
+    owner is an output key there, so that join's fan-out is the output).
+    """
+    profile = profile if profile is not None else invoice_profile(inp, p)
     s = inp.processor.groupBy("stripe_month", "reporting_category", "invoice_id", "description",
                               "invoices_retry", "net_suite").agg(
         F.count(F.lit(1)).alias("_n_s"),
@@ -97,13 +150,13 @@ def forward(inp: ReconInputs, p: ReconParams, by_owner: bool = False) -> DataFra
     inv = (inp.invoice_totals.withColumn("_k", to_text("invoice_id")).groupBy(*inv_keys)
            .agg(F.count(F.lit(1)).alias("_n_inv"),
                 F.sum("converted_invcharge").alias("_inv_charge"),
-                F.sum("converted_invrefund").alias("_inv_refund")))
-    j = _chain(s, salted_key("invoice_id", 1024, "description", "stripe_month"),
-               F.col("invoice_id").isNotNull(),
-               [inv, _check_variants(inp.invoice_check, p), _payment_check_counts(inp.payment_check),
-                _latest(inp.payments_special, "bt"), _latest(inp.payments_other, "bp")])
-    n_ic = F.coalesce(F.col("_n_ic"), F.lit(1))
-    m_bc = F.greatest(F.coalesce(F.col("_n_bc"), F.lit(0)), F.lit(1))
+                F.sum("converted_invrefund").alias("_inv_refund"))
+           .withColumnRenamed("_k", "_ik"))
+    guard = F.col("invoice_id").isNotNull()
+    j = _join_profile(s, salted_key("invoice_id", 1024, "description", "stripe_month"), guard, profile)
+    j = j.join(inv, (j["_jk"] == inv["_ik"]) & guard, "left").drop("_ik", "_jk")
+    n_ic = F.col("_n_ic")
+    m_bc = F.greatest(F.col("_n_bc"), F.lit(1))
     m_inv = F.greatest(F.coalesce(F.col("_n_inv"), F.lit(0)), F.lit(1))
     per_s_row = m_inv * n_ic * m_bc          # joined rows per processor row
     per_inv_row = F.col("_n_s") * n_ic * m_bc  # joined rows per invoice-total row
@@ -116,8 +169,7 @@ def forward(inp: ReconInputs, p: ReconParams, by_owner: bool = False) -> DataFra
         flag(F.col("_n_inv").isNotNull()).alias("inv_flag"),
         flag(F.col("_bp_hit")).alias("billing_flag"),
         flag(F.col("_bt_hit")).alias("braintree_flag"),
-        F.coalesce(F.col("before_2021"), F.lit(0)).alias("before_2021"),
-        F.coalesce(F.col("paid_before"), F.lit(0)).alias("paid_before"),
+        "before_2021", "paid_before",
         flag(F.col("description").contains(PREAUTH_TEXT)).alias("pre_auth"),
         F.col("invoices_retry").cast(IntegerType()).alias("invoices_retry"),
         F.col("net_suite").cast(IntegerType()).alias("net_suite"),
@@ -132,57 +184,35 @@ def forward(inp: ReconInputs, p: ReconParams, by_owner: bool = False) -> DataFra
     )
 
 
-def top_processor_row(processor: DataFrame) -> DataFrame:
-    """The processor row with the highest gross per invoice number.
-
-    NULL gross sorts first in DESC (T1); ties go to the smallest balance
-    transaction id, then net, amount and description (K10). Rows without a
-    usable number (NULL or empty) can never match an invoice and are dropped
-    before the window — they would otherwise form one huge partition.
-    """
-    usable = processor.where(F.col("invoice_id").isNotNull() & (F.col("invoice_id") != ""))
-    order = [F.col("gross").desc_nulls_first(), F.col("balance_transaction_id").asc_nulls_first(),
-             F.col("net").asc_nulls_first(), F.col("customer_facing_amount").asc_nulls_first(),
-             F.col("description").asc_nulls_first()]
-    top = top_per_key(usable, ["invoice_id"], order)
-    return top.select(F.col("invoice_id").alias("_k"), F.col("gross").alias("_s_gross"),
-                      F.col("net").alias("_s_net"),
-                      F.col("customer_facing_amount").alias("_s_cfa"),
-                      F.col("description").alias("_s_desc"), F.lit(True).alias("_s_hit"))
-
-
-def backward(inp: ReconInputs, p: ReconParams, by_owner: bool = False) -> DataFrame:
+def backward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
+             profile: DataFrame | None = None) -> DataFrame:
     """C9b "Prod-Stripe": every invoice total against the processor side."""
+    profile = profile if profile is not None else invoice_profile(inp, p)
     keys = ["_k", "month"] + (["object_owner_id"] if by_owner else [])
     g = (inp.invoice_totals.withColumn("_k", to_text("invoice_id"))
          .withColumn("month", month_label(F.to_date("paid")))
          .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_i"),
                              F.sum("converted_invcharge").alias("_inv_charge"),
                              F.sum("converted_invrefund").alias("_inv_refund")))
-    j = _chain(g, F.col("_k"), F.lit(True),
-               [_check_variants(inp.invoice_check, p), _payment_check_counts(inp.payment_check),
-                _latest(inp.payments_special, "bt"), top_processor_row(inp.processor),
-                _latest(inp.payments_other, "bp")])
-    n_ic = F.coalesce(F.col("_n_ic"), F.lit(1))
-    m_bc = F.greatest(F.coalesce(F.col("_n_bc"), F.lit(0)), F.lit(1))
-    per_i_row = n_ic * m_bc
+    j = _join_profile(g, F.col("_k"), F.lit(True), profile).drop("_jk")
+    per_i_row = F.col("_n_ic") * F.greatest(F.col("_n_bc"), F.lit(1))
     rows = F.col("_n_i") * per_i_row
+    top = F.col("_top")
     return j.select(
         "month", F.lit(p.labels["backward"]).alias("category"),
         F.lit("").alias("reporting_category"), F.col("_k").alias("invoice_id"),
         F.lit("").alias("description"),
-        flag(F.col("_s_hit")).alias("strp_flag"),
+        flag(top.isNotNull()).alias("strp_flag"),
         F.lit(1).alias("inv_flag"),
         flag(F.col("_bp_hit")).alias("billing_flag"),
         flag(F.col("_bt_hit")).alias("braintree_flag"),
-        F.coalesce(F.col("before_2021"), F.lit(0)).alias("before_2021"),
-        F.coalesce(F.col("paid_before"), F.lit(0)).alias("paid_before"),
-        flag(F.col("_s_desc").contains(PREAUTH_TEXT)).alias("pre_auth"),
+        "before_2021", "paid_before",
+        flag(top["o_desc"].contains(PREAUTH_TEXT)).alias("pre_auth"),
         F.lit(0).alias("invoices_retry"), F.lit(0).alias("net_suite"),
         *(["object_owner_id"] if by_owner else []),
-        _typed(F.col("_s_cfa") * rows, "customer_facing_amount"),
-        _typed(F.col("_s_gross") * rows, "gross"),
-        _typed(F.col("_s_net") * rows, "net"),
+        _typed(top["o_cfa"] * rows, "customer_facing_amount"),
+        _typed(top["gross"] * rows, "gross"),
+        _typed(top["o_net"] * rows, "net"),
         _typed(F.col("_inv_charge") * per_i_row, "usd_invcharge"),
         _typed(F.col("_inv_refund") * per_i_row, "usd_invrefund"),
         _typed(F.col("_bp") * rows, "billing_amount"),
@@ -190,10 +220,12 @@ def backward(inp: ReconInputs, p: ReconParams, by_owner: bool = False) -> DataFr
     )
 
 
-def summary(inp: ReconInputs, p: ReconParams, by_owner: bool = False) -> DataFrame:
+def summary(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
+            profile: DataFrame | None = None) -> DataFrame:
     """Both directions. The branches differ in ``category`` and are each
     unique on the keys, so UNION equals UNION ALL (R7): no dedup shuffle."""
-    return forward(inp, p, by_owner).unionByName(backward(inp, p, by_owner))
+    profile = profile if profile is not None else invoice_profile(inp, p)
+    return forward(inp, p, by_owner, profile).unionByName(backward(inp, p, by_owner, profile))
 
 
 def report(summary_df: DataFrame) -> DataFrame:
