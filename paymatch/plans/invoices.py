@@ -38,19 +38,19 @@ def invoice_totals(src: AuditSources, p: ReconParams, by_owner: bool = False) ->
         F.sum(F.when(charge, convert(amount, rate, p.on_zero_rate))).alias("_conv_charge"),
         F.sum(F.when(refund, convert(-amount, rate, p.on_zero_rate))).alias("_conv_refund"),
     )
-    # Invoices counted per (id, paid): a duplicated invoice row multiplies the
-    # item sums exactly as the reference's join would.
+    # Summing after the join keeps a duplicated invoice row exact (its item
+    # sums count twice, as in the reference's join); the sum runs on data the
+    # join already partitioned by invoice_id, so it adds no shuffle.
     invoices = (time_window(src.invoice, "paid", p.query_start, p.query_end)
-                .groupBy(F.col("id").alias("_inv_id"), "paid").agg(F.count(F.lit(1)).alias("_n")))
+                .select(F.col("id").alias("_inv_id"), "paid"))
     j = per_invoice.join(invoices, per_invoice["invoice_id"] == invoices["_inv_id"], "inner")
-    n = F.col("_n")
-    return j.select(
-        "invoice_id", "paid", *(["object_owner_id"] if by_owner else []),
-        (F.col("_charge") * n).cast(SUM_TYPE).alias("invcharge"),
-        (F.col("_refund") * n).cast(SUM_TYPE).alias("invrefund"),
-        money(F.col("_conv_charge") * n).alias("converted_invcharge"),
-        money(F.col("_conv_refund") * n).alias("converted_invrefund"),
+    out = j.groupBy("invoice_id", "paid", *(["object_owner_id"] if by_owner else [])).agg(
+        F.sum("_charge").cast(SUM_TYPE).alias("invcharge"),
+        F.sum("_refund").cast(SUM_TYPE).alias("invrefund"),
+        money(F.sum("_conv_charge")).alias("converted_invcharge"),
+        money(F.sum("_conv_refund")).alias("converted_invrefund"),
     )
+    return out
 
 
 def _item_dates(items: DataFrame, ts_col: str, how: str) -> DataFrame:
@@ -113,8 +113,7 @@ def late_update_flag(src: AuditSources, p: ReconParams, processor: DataFrame) ->
     latest = _item_dates(items, "object_updated", "max").select(
         to_text("invoice_id").alias("_inv_k"),
         F.to_date(F.substring(minute_text("_ts"), 1, 10)).cast(TimestampNTZType()).alias("_upd"))
-    span = (pay.select("invoice_id", "object_created").distinct()
-            .groupBy(to_text("invoice_id").alias("_bp_k"))
+    span = (pay.groupBy(to_text("invoice_id").alias("_bp_k"))
             .agg(F.min("object_created").alias("_first"), F.max("object_created").alias("_last")))
     ids = processor.select("invoice_id").distinct()
     j = (ids.join(latest, ids["invoice_id"] == latest["_inv_k"], "left")
