@@ -11,15 +11,14 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal as D
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import duck_digest, spark_digest
+from helpers import duck_digest, sources_from, spark_digest, write_reference_tables
 from paymatch.audit import OUTPUTS, Audit
 from paymatch.oracle import oracle_queries
 from paymatch.params import fixture_params
-from paymatch.sources import AuditSources, reference_branches
+from paymatch.sources import reference_branches
 from paymatch.sources.fixtures import NEXT_FILE
 from paymatch.sources.schemas import SCHEMAS
 
@@ -177,23 +176,8 @@ SCHEMA_OF = {**{n: n for n in SCHEMAS},
 @pytest.fixture(scope="module")
 def edge(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("edge")
-    dfs = {}
-    con = duckdb.connect()
-    for name, rows in ROWS.items():
-        path = str(root / name)
-        spark.createDataFrame(rows, SCHEMAS[SCHEMA_OF[name]]).coalesce(1).write.parquet(path)
-        dfs[name] = spark.read.parquet(path)
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}/*.parquet')")
-    src = AuditSources(
-        user_override=dfs["user_useroverride"], user_type=dfs["user_usertype"],
-        invoice_item=dfs["api_invoiceitem"], invoice=dfs["api_invoice"],
-        currency=dfs["api_currency"], fx_rates=dfs["fx_rates"], payment=dfs["billing_payment"],
-        processor={"previous": dfs["processor_previous"], "current": dfs["processor_current"],
-                   "next": dfs["processor_next"]},
-        branches=reference_branches(NEXT_FILE),
-        address=dfs["api_apiaddress"], transaction=dfs["api_transaction"], rate=dfs["api_rate"],
-        track_status=dfs["track_status"], auth_user=dfs["auth_user"], refund=dfs["api_refund"],
-    )
+    dfs, con = write_reference_tables(spark, str(root), ROWS, SCHEMA_OF, SCHEMAS)
+    src = sources_from(dfs, reference_branches(NEXT_FILE))
     return Audit(src, fixture_params()), con, oracle_queries(fixture_params(), with_fixtures=False)
 
 
