@@ -48,23 +48,32 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     m = re.search(r"sf([\d.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(cpus * 2, 8),
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(cpus * 2, 8)))
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=partitions,
                         extra={"spark.driver.memory": "16g"})
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up, not timed
 
     audit = Audit(fixture_sources(spark, sf_dir), fixture_params())
     times: dict[str, float] = {}
+    jobs: dict[str, list[int]] = {}
+    sc = spark.sparkContext
+    tracker = sc.statusTracker()
     t_all = time.perf_counter()
     for name in OUTPUTS:
+        sc.setJobGroup(name, name)
         t0 = time.perf_counter()
         audit.output(name).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+        ids = tracker.getJobIdsForGroup(name)
+        stages = sum(len(info.stageIds) for info in (tracker.getJobInfo(j) for j in ids) if info)
+        jobs[name] = [len(ids), stages]
     total = round(time.perf_counter() - t_all, 3)
     spark.stop()
 
     result = {"metric": "audit_wall_time", "value": total, "unit": "sec", "queries": times,
               "sf": sf, "cpus": cpus, "flagship": "recon_report",
-              "flagship_sec": times.get("recon_report")}
+              "flagship_sec": times.get("recon_report"),
+              "jobs_stages": jobs}
     if os.environ.get("BENCH_DUCKDB", "1") == "1":
         duck = run_duckdb(sf_dir, list(OUTPUTS))
         result["duckdb_literal_sql"] = {"value": round(sum(duck.values()), 3), "queries": duck}
