@@ -58,13 +58,21 @@ class Audit:
     def invoice_totals_by_owner(self) -> DataFrame:
         return self._shared(invoices.invoice_totals(self.src, self.p, by_owner=True))
 
+    @cached_property
+    def payment_groups_other(self) -> DataFrame:
+        return self._shared(payments.payment_groups(self.src, self.p, special=False))
+
+    @cached_property
+    def payment_groups_special(self) -> DataFrame:
+        return self._shared(payments.payment_groups(self.src, self.p, special=True))
+
     @cached_property
     def payments_other(self) -> DataFrame:
-        return self._shared(payments.payment_summary(self.src, self.p, special=False))
+        return payments.payment_summary(self.payment_groups_other)
 
     @cached_property
     def payments_special(self) -> DataFrame:
-        return self._shared(payments.payment_summary(self.src, self.p, special=True))
+        return payments.payment_summary(self.payment_groups_special)
 
     @cached_property
     def processor_rows(self) -> DataFrame:
@@ -82,8 +90,8 @@ class Audit:
     def inputs(self, by_owner: bool = False) -> reconcile.ReconInputs:
         return reconcile.ReconInputs(
             invoice_totals=self.invoice_totals_by_owner if by_owner else self.invoice_totals,
-            payments_other=payments.latest_payment(self.payments_other),
-            payments_special=payments.latest_payment(self.payments_special),
+            payments_other=payments.latest_payment(self.payment_groups_other),
+            payments_special=payments.latest_payment(self.payment_groups_special),
             processor=self.processor_rows,
             invoice_check=self.invoice_check,
             payment_check=self.payment_check,
@@ -121,7 +129,7 @@ class Audit:
     @cached_property
     def invoice_universe(self) -> DataFrame:
         return drilldowns.invoice_universe(self.processor_rows, self.invoice_totals,
-                                           self.payments_other)
+                                           self.payment_groups_other)
 
     @cached_property
     def invoice_payment_dates(self) -> DataFrame:
@@ -138,7 +146,7 @@ class Audit:
     @cached_property
     def unmatched(self) -> DataFrame:
         return self._shared(drilldowns.unmatched_invoices(
-            self.invoice_totals_by_owner, self.processor_rows, self.payments_other))
+            self.invoice_totals_by_owner, self.processor_rows, self.payment_groups_other))
 
     @cached_property
     def unmatched_payments(self) -> DataFrame:

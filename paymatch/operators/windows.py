@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +22,49 @@ def in_window(col: str | Column, start: str, end: str) -> Column:
 
 
 def number_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                   name: str) -> DataFrame:
-    """``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order)`` as ``name``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w))
+                   name: str, skew_safe: bool = True) -> DataFrame:
+    """``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order)`` as ``name``.
+
+    A plain window sends every row of a key to one task. With
+    ``skew_safe`` (default) the numbering is exact without that:
+
+    1. range-partition on (keys, order) — the sort key is finer than the
+       key, so a hot key is spread over several consecutive partitions;
+    2. number rows within (partition, key) — a group no larger than one
+       partition;
+    3. add, per (partition, key), the rows of the same key in earlier
+       partitions. Only a partition's *first* key can continue from an
+       earlier partition, so the non-zero offsets are at most one row per
+       partition: a table with a proven size bound, broadcast back.
+
+    ``order`` must make the rows of a key totally ordered (ties would be
+    numbered arbitrarily, as in any row_number).
+    """
+    if not skew_safe:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    ranged = (df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order)
+              .withColumn("_rn_part", F.spark_partition_id()))
+    # Both readers below (the offsets and the final join) must see the same
+    # partition of every row. A partition id is not a function of the data,
+    # and Spark does not share plans that contain one, so the tagged rows are
+    # persisted once: every reader scans the same blocks; a lost block is
+    # recomputed from the same range shuffle (same bounds, same partition).
+    local = ranged.withColumn(
+        "_rn_local", F.row_number().over(Window.partitionBy("_rn_part", *keys).orderBy(*order))
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = local.groupBy("_rn_part", *keys).agg(F.max("_rn_local").alias("_rn_n"))
+    before = Window.partitionBy(*keys).orderBy("_rn_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (counts.withColumn("_rn_off", F.sum("_rn_n").over(before))
+               .where(F.col("_rn_off") > 0)
+               .select(F.col("_rn_part").alias("_rn_opart"), *[F.col(k).alias(f"_rn_k{i}") for i, k in
+                                                                enumerate(keys)], "_rn_off"))
+    # At most one row per partition (see 3.), so the broadcast is bounded by
+    # the number of partitions whatever the data size.
+    cond = [F.col("_rn_part") == F.col("_rn_opart")] + [
+        F.col(k).eqNullSafe(F.col(f"_rn_k{i}")) for i, k in enumerate(keys)]
+    out = local.join(F.broadcast(offsets), cond, "left")
+    return out.select(*df.columns,
+                      (F.col("_rn_local") + F.coalesce(F.col("_rn_off"), F.lit(0))).cast("int").alias(name))
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],

@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from paymatch.functions import money, to_text
-from paymatch.operators import attach_rate, convert, number_per_key, present_in, time_window
+from paymatch.operators import (attach_rate, convert, number_per_key, present_in, time_window,
+                                top_per_key)
 from paymatch.params import ReconParams
 from paymatch.sources import AuditSources
 
 SUM_TYPE = DecimalType(38, 2)
 
 
-def payment_summary(src: AuditSources, p: ReconParams, special: bool) -> DataFrame:
-    """C4 (``special=False``) / C5 (``special=True``).
+def newest_first() -> list:
+    return [F.col("object_created").desc_nulls_first(), F.col("object_updated").desc_nulls_first()]
 
-    Payments created in the query window, method not special / special
-    (NULL methods are in neither), de-duplicated without their id (K9),
-    summed per (invoice, created, updated) and numbered newest first per
-    invoice. Ties on ``object_created`` are broken by ``object_updated``
-    (K10); NULLs sort first in DESC as in the reference dialect (T1).
-    """
+
+def payment_groups(src: AuditSources, p: ReconParams, special: bool) -> DataFrame:
+    """Payments created in the query window, method not special / special
+    (NULL methods are in neither), de-duplicated without their id (K9) and
+    summed per (invoice, created, updated). Both steps are partial
+    aggregations, so copies and busy invoices are reduced map-side."""
     pay = time_window(src.payment, "object_created", p.query_start, p.query_end)
     method = F.col("payment_method_id")
     pay = pay.where(method.isin(p.special_method) if special else ~method.isin(p.special_method))
@@ -32,23 +33,33 @@ def payment_summary(src: AuditSources, p: ReconParams, special: bool) -> DataFra
                       "object_updated", "amount",
                       convert(F.col("amount"), F.col("fx_rate"), p.on_zero_rate).alias("converted_amount")
                       ).distinct()
-    agg = rows.groupBy("invoice_id", "object_created", "object_updated").agg(
+    return rows.groupBy("invoice_id", "object_created", "object_updated").agg(
         F.sum("amount").cast(SUM_TYPE).alias("amount"),
         money(F.sum("converted_amount")).alias("amount_converted"))
-    numbered = number_per_key(agg, ["invoice_id"], [F.col("object_created").desc_nulls_first(),
-                                                   F.col("object_updated").desc_nulls_first()],
-                              "billing_row")
+
+
+def payment_summary(groups: DataFrame) -> DataFrame:
+    """C4 (``special=False``) / C5 (``special=True``): the payment groups
+    numbered newest first per invoice (``billing_row``). Ties on
+    ``object_created`` are broken by ``object_updated`` (K10); NULLs sort
+    first in DESC as in the reference dialect (T1). The numbering is the
+    skew-safe row_number: an invoice with millions of payment groups is
+    spread over many tasks."""
+    numbered = number_per_key(groups, ["invoice_id"], newest_first(), "billing_row")
     return numbered.select("invoice_id", "object_created", "object_updated", "billing_row",
                            "amount", "amount_converted")
 
 
-def latest_payment(summary: DataFrame) -> DataFrame:
-    """``billing_row = 1``: one row per invoice.
+def latest_payment(groups: DataFrame) -> DataFrame:
+    """``billing_row = 1``: the newest payment group per invoice.
 
-    The filter sits on the row number, so Spark plans a partial
+    Written as a row_number filtered to 1, so Spark plans a partial
     WindowGroupLimit before the shuffle (map-side top-1).
     """
-    return summary.where(F.col("billing_row") == 1)
+    return (top_per_key(groups, ["invoice_id"], newest_first())
+            .withColumn("billing_row", F.lit(1))
+            .select("invoice_id", "object_created", "object_updated", "billing_row",
+                    "amount", "amount_converted"))
 
 
 def clean_invoice_numbers(processor: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from paymatch.operators import (
     earliest_rows,
     lookup_flag,
     missing_in,
+    number_per_key,
     present_in,
     salted_key,
     time_window,
@@ -126,3 +127,23 @@ def test_checked_broadcast_respects_bound(spark):
     big = spark.range(100)
     assert "broadcast" in checked_broadcast(small, 50)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in checked_broadcast(big, 50)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_skew_safe_row_number_equals_window(spark):
+    """A key with half of all rows spans many range partitions; numbering
+    must equal the plain window's, NULL keys and NULL order values included."""
+    import random
+    rnd = random.Random(7)
+    rows = [(1, rnd.randrange(10_000_000), i) for i in range(3000)]           # hot key
+    rows += [(k % 50, rnd.randrange(10_000_000), i) for k, i in zip(range(2, 3002), range(3000, 6000))]
+    rows += [(None, i, 10_000 + i) for i in range(40)] + [(7, None, 20_000), (7, None, 20_001)]
+    df = spark.createDataFrame(rows, "k int, t long, id int").repartition(13)
+    order = [F.col("t").desc_nulls_first(), F.col("id").asc()]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        safe = number_per_key(df, ["k"], order, "rn").select("id", "rn")
+        plain = number_per_key(df, ["k"], order, "rn", skew_safe=False).select("id", "rn")
+        assert safe.exceptAll(plain).count() == 0 and plain.exceptAll(safe).count() == 0
+        assert safe.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
