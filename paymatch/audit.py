@@ -131,17 +131,22 @@ class Audit:
         return drilldowns.invoice_universe(self.processor_rows, self.invoice_totals,
                                            self.payment_groups_other)
 
+    @cached_property
+    def item_dates(self) -> DataFrame:
+        """Per-invoice item dates shared by D2-D4 (one scan of the item table)."""
+        return self._shared(invoices.item_dates(self.src))
+
     @cached_property
     def invoice_payment_dates(self) -> DataFrame:
-        return invoices.invoice_payment_dates(self.src, self.p, self.invoice_universe)
+        return invoices.invoice_payment_dates(self.src, self.p, self.invoice_universe, self.item_dates)
 
     @cached_property
     def first_item_cutoff(self) -> DataFrame:
-        return invoices.first_item_cutoff(self.src, self.p, self.processor_rows)
+        return invoices.first_item_cutoff(self.src, self.p, self.processor_rows, self.item_dates)
 
     @cached_property
     def late_update_flag(self) -> DataFrame:
-        return invoices.late_update_flag(self.src, self.p, self.processor_rows)
+        return invoices.late_update_flag(self.src, self.p, self.processor_rows, self.item_dates)
 
     @cached_property
     def unmatched(self) -> DataFrame:

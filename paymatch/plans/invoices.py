@@ -53,25 +53,32 @@ def invoice_totals(src: AuditSources, p: ReconParams, by_owner: bool = False) ->
     return out
 
 
-def _item_dates(items: DataFrame, ts_col: str, how: str) -> DataFrame:
-    """Per invoice: max/min of ``ts_col`` over items with an amount.
+def item_dates(src: AuditSources) -> DataFrame:
+    """Per invoice, over items with an amount: latest update (``_upd_max``)
+    and first creation (``_created_min``).
 
+    The three item drill-downs (D2-D4) read the whole item table with no
+    window; one aggregation serves all three, so the largest table is
+    scanned once, and partial aggregation absorbs a busy invoice.
     ``max(to_char(ts))`` equals ``to_char(max(ts))`` because the text format
     orders like the timestamp, so the aggregate runs on the timestamp.
     """
-    agg = F.max if how == "max" else F.min
-    return items.groupBy("invoice_id").agg(
-        agg(F.when(F.col("amount").isNotNull(), F.col(ts_col))).alias("_ts"))
+    has_amount = F.col("amount").isNotNull()
+    return src.invoice_item.groupBy("invoice_id").agg(
+        F.max(F.when(has_amount, F.col("object_updated"))).alias("_upd_max"),
+        F.min(F.when(has_amount, F.col("object_created"))).alias("_created_min"))
 
 
-def invoice_payment_dates(src: AuditSources, p: ReconParams, universe: DataFrame) -> DataFrame:
+def invoice_payment_dates(src: AuditSources, p: ReconParams, universe: DataFrame,
+                          dates: DataFrame | None = None) -> DataFrame:
     """Per invoice of ``universe`` and payment date, latest item update as text.
 
     Inner joins of the universe to items and to non-special payments; the
     max over items is the same for every payment row, so items are reduced
     to one row per invoice before joining.
     """
-    latest = _item_dates(src.invoice_item, "object_updated", "max")
+    dates = dates if dates is not None else item_dates(src)
+    latest = dates.select("invoice_id", F.col("_upd_max").alias("_ts"))
     pay = (src.payment_for_check.where(~F.col("payment_method_id").isin(p.special_method))
            .select(F.col("invoice_id").alias("_bp_id"), "object_created").distinct())
     j = latest.join(pay, latest["invoice_id"] == pay["_bp_id"], "inner")
@@ -81,9 +88,11 @@ def invoice_payment_dates(src: AuditSources, p: ReconParams, universe: DataFrame
                     minute_text("_ts").alias("date_info_invoice_date"))
 
 
-def first_item_cutoff(src: AuditSources, p: ReconParams, processor: DataFrame) -> DataFrame:
+def first_item_cutoff(src: AuditSources, p: ReconParams, processor: DataFrame,
+                      dates: DataFrame | None = None) -> DataFrame:
     """D3: first item creation per processor-matched invoice, and a cut-off flag."""
-    first = _item_dates(src.invoice_item, "object_created", "min")
+    dates = dates if dates is not None else item_dates(src)
+    first = dates.select("invoice_id", F.col("_created_min").alias("_ts"))
     first = present_in(first, to_text(first["invoice_id"]), processor, "invoice_id")
     text = minute_text("_ts")
     return first.select(
@@ -94,7 +103,8 @@ def first_item_cutoff(src: AuditSources, p: ReconParams, processor: DataFrame) -
     )
 
 
-def late_update_flag(src: AuditSources, p: ReconParams, processor: DataFrame) -> DataFrame:
+def late_update_flag(src: AuditSources, p: ReconParams, processor: DataFrame,
+                     dates: DataFrame | None = None) -> DataFrame:
     """Per processor invoice number, is the latest item update after a payment?
 
     The reference joins every payment row and keeps DISTINCT flags. The set
@@ -103,16 +113,16 @@ def late_update_flag(src: AuditSources, p: ReconParams, processor: DataFrame) ->
     payment, no update day, or a payment at or after it. So payments are
     reduced to (min, max) per invoice — no fan-out, no hot group.
     """
-    items = src.invoice_item
+    latest = dates if dates is not None else item_dates(src)
     pay = src.payment_for_check
     if p.late_update_invoice is not None:
-        items = items.where(F.col("invoice_id") == p.late_update_invoice)
+        latest = latest.where(F.col("invoice_id") == p.late_update_invoice)
         pay = pay.where(F.col("invoice_id") == p.late_update_invoice)
     if p.billing_floor is not None:
         pay = pay.where(F.col("object_created") >= ts_lit(p.billing_floor))
-    latest = _item_dates(items, "object_updated", "max").select(
+    latest = latest.select(
         to_text("invoice_id").alias("_inv_k"),
-        F.to_date(F.substring(minute_text("_ts"), 1, 10)).cast(TimestampNTZType()).alias("_upd"))
+        F.to_date(F.substring(minute_text("_upd_max"), 1, 10)).cast(TimestampNTZType()).alias("_upd"))
     span = (pay.groupBy(to_text("invoice_id").alias("_bp_k"))
             .agg(F.min("object_created").alias("_first"), F.max("object_created").alias("_last")))
     ids = processor.select("invoice_id").distinct()
