@@ -30,6 +30,10 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--query-end", default=ReconParams.query_end)
     ap.add_argument("--source-start", default=ReconParams.source_start)
     ap.add_argument("--source-end", default=ReconParams.source_end)
+    ap.add_argument("--provider-id", type=int, default=ReconParams.provider_id,
+                    help="label fact provider filter (negative: no filter)")
+    ap.add_argument("--excluded-user", type=int, action="append",
+                    help="label fact excluded user id (repeatable)")
     ap.add_argument("--reuse", default="checkpoint", choices=["cache", "checkpoint", "none"])
     ap.add_argument("--only", action="append", choices=list(OUTPUTS), help="outputs to write")
     a = ap.parse_args(argv)
@@ -38,7 +42,10 @@ def main(argv: list[str] | None = None) -> None:
     periods = dict(p.split("=", 1) for p in a.period)
     src = load_sources(spark, a.root, periods, reference_branches(a.next_file))
     params = ReconParams(query_start=a.query_start, query_end=a.query_end,
-                         source_start=a.source_start, source_end=a.source_end)
+                         source_start=a.source_start, source_end=a.source_end,
+                         provider_id=None if a.provider_id < 0 else a.provider_id,
+                         excluded_users=tuple(a.excluded_user) if a.excluded_user
+                         else ReconParams.excluded_users)
     for name, path in write_outputs(Audit(src, params, reuse=a.reuse), a.out, a.only).items():
         print(f"{name}\t{path}")
 
