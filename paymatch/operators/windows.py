@@ -21,12 +21,20 @@ def in_window(col: str | Column, start: str, end: str) -> Column:
     return (c >= ts_lit(start)) & (c < ts_lit(end))
 
 
+# A key with more rows than this is numbered by the split path below.
+MAX_GROUP_ROWS = 1_000_000
+
+
 def number_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                   name: str, skew_safe: bool = True) -> DataFrame:
+                   name: str, skew_safe: bool | str = "auto",
+                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order)`` as ``name``.
 
-    A plain window sends every row of a key to one task. With
-    ``skew_safe`` (default) the numbering is exact without that:
+    A plain window sends every row of a key to one task. ``skew_safe="auto"``
+    (default) first measures the largest key (one partial-aggregated count,
+    a single number back to the driver) and uses the plain window only when
+    every key fits comfortably in one task; otherwise, or with
+    ``skew_safe=True``, the numbering is exact without any whole-key task:
 
     1. range-partition on (keys, order) — the sort key is finer than the
        key, so a hot key is spread over several consecutive partitions;
@@ -40,6 +48,9 @@ def number_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     ``order`` must make the rows of a key totally ordered (ties would be
     numbered arbitrarily, as in any row_number).
     """
+    if skew_safe == "auto":
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        skew_safe = largest > max_group_rows
     if not skew_safe:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     ranged = (df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order)

@@ -9,7 +9,7 @@ from pyspark.sql.types import DecimalType
 from paymatch.functions import money, to_text
 from paymatch.operators import (attach_rate, convert, number_per_key, present_in, time_window,
                                 top_per_key)
-from paymatch.params import ReconParams
+from paymatch.params import CHARGE_CATEGORIES, ReconParams
 from paymatch.sources import AuditSources
 
 SUM_TYPE = DecimalType(38, 2)
@@ -65,7 +65,7 @@ def latest_payment(groups: DataFrame) -> DataFrame:
 def clean_invoice_numbers(processor: DataFrame) -> DataFrame:
     """Invoice numbers of processor charge/refund rows that are neither retries nor short numbers."""
     return (processor.where((F.col("net_suite") == 0) & (F.col("invoices_retry") == 0)
-                            & F.col("reporting_category").isin("charge", "refund"))
+                            & F.col("reporting_category").isin(*CHARGE_CATEGORIES))
             .select("invoice_id"))
 
 

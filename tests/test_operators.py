@@ -141,7 +141,9 @@ def test_skew_safe_row_number_equals_window(spark):
     order = [F.col("t").desc_nulls_first(), F.col("id").asc()]
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
-        safe = number_per_key(df, ["k"], order, "rn").select("id", "rn")
+        safe = number_per_key(df, ["k"], order, "rn", skew_safe=True).select("id", "rn")
+        auto = number_per_key(df, ["k"], order, "rn", max_group_rows=100).select("id", "rn")
+        assert auto.exceptAll(safe).count() == 0
         plain = number_per_key(df, ["k"], order, "rn", skew_safe=False).select("id", "rn")
         assert safe.exceptAll(plain).count() == 0 and plain.exceptAll(safe).count() == 0
         assert safe.count() == len(rows)
