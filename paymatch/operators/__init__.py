@@ -3,9 +3,11 @@
 from paymatch.operators.fx import attach_rate, convert, rate_lookup
 from paymatch.operators.joins import (
     checked_broadcast,
+    hot_keys,
     lookup_flag,
     missing_in,
     present_in,
+    salted_dimension_join,
     salted_key,
 )
 from paymatch.operators.windows import (
@@ -21,6 +23,8 @@ __all__ = [
     "convert",
     "rate_lookup",
     "checked_broadcast",
+    "hot_keys",
+    "salted_dimension_join",
     "lookup_flag",
     "missing_in",
     "present_in",

@@ -18,6 +18,12 @@ NULL_SALT_BUCKETS = 1024
 # Row counts of checked dimensions, by the semantic hash of their plan, so a
 # dimension used by several outputs of one run is counted once.
 _COUNTS: dict[tuple[int, int], int] = {}
+# A key with more fact rows than this is "hot": its rows are spread over
+# several join tasks. At most MAX_HOT_KEYS such keys are salted (the list is
+# part of the plan); any further ones still join exactly, unsalted.
+MAX_KEY_ROWS = 1_000_000
+MAX_HOT_KEYS = 10_000
+MAX_SALT = 1024
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
@@ -49,20 +55,68 @@ def salted_key(col: str | Column, buckets: int = NULL_SALT_BUCKETS, *spread: str
     return F.coalesce(c.cast("string"), F.concat(F.lit("\u0001"), salt.cast("string")))
 
 
+def hot_keys(facts: DataFrame, key: str, max_key_rows: int | None = None) -> list[tuple]:
+    """Keys with more than ``max_key_rows`` fact rows, largest first.
+
+    One partial-aggregated count per key (map-side combined, so the hot keys
+    themselves cost almost nothing to count); at most MAX_HOT_KEYS come back
+    to the driver.
+    """
+    bound = max_key_rows or MAX_KEY_ROWS
+    rows = (facts.where(F.col(key).isNotNull()).groupBy(key).count()
+            .where(F.col("count") > bound).orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect())
+    return [(r[0], r[1]) for r in rows]
+
+
+def salted_dimension_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
+                          how: str = "left", spread: tuple[str, ...] = (),
+                          max_key_rows: int | None = None,
+                          null_salt: bool = False) -> DataFrame:
+    """Join facts to a dimension (at most a few rows per key), exact under skew.
+
+    Hot fact keys are measured first (``hot_keys``). Their fact rows get a
+    salt ``hash(spread) mod S`` (deterministic, so retried tasks place rows
+    identically) and only their dimension rows are replicated S times, so a
+    key holding a third of the facts is processed by S tasks instead of one.
+    Other keys join unsalted (salt 0). With ``null_salt`` (left joins), NULL
+    fact keys are also spread (see ``salted_key``); they never match.
+    """
+    bound = max_key_rows or MAX_KEY_ROWS
+    hot = hot_keys(facts, fact_key, bound)
+    jk = salted_key(fact_key, NULL_SALT_BUCKETS, *spread) if null_salt else F.col(fact_key)
+    f = facts.withColumn("_sj_key", jk)
+    d = dim.withColumn("_sj_dkey", F.col(dim_key).cast(f.schema["_sj_key"].dataType))
+    if not hot:
+        out = f.join(d, (f["_sj_key"] == d["_sj_dkey"]) & f[fact_key].isNotNull(), how)
+        return out.drop("_sj_key", "_sj_dkey")
+    values = [v for v, _ in hot]
+    buckets = min(MAX_SALT, -(-max(n for _, n in hot) // bound))
+    is_hot = F.col(fact_key).isin(values)
+    spread_cols = [F.col(c) for c in spread] or [F.monotonically_increasing_id()]
+    f = f.withColumn("_sj_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread_cols), F.lit(buckets)))
+                     .otherwise(F.lit(0)).cast("int"))
+    d_is_hot = F.col(dim_key).isin(values)
+    d = (d.where(d_is_hot).withColumn("_sj_dsalt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+         .unionByName(d.where(~d_is_hot | F.col(dim_key).isNull()).withColumn("_sj_dsalt", F.lit(0))))
+    cond = ((f["_sj_key"] == d["_sj_dkey"]) & (f["_sj_salt"] == d["_sj_dsalt"])
+            & f[fact_key].isNotNull())
+    return f.join(d, cond, how).drop("_sj_key", "_sj_dkey", "_sj_salt", "_sj_dsalt")
+
+
 def lookup_flag(facts: DataFrame, key: str, lookup_keys: DataFrame, lookup_col: str,
                 flag_name: str, spread: tuple[str, ...] = ()) -> DataFrame:
     """Add boolean ``flag_name``: does ``facts[key]`` occur in ``lookup_keys``?
 
     ``lookup_keys`` is de-duplicated first (partial aggregation), so the
     join never fans out: a fact row matches at most one lookup row (R9).
+    NULL keys are salted and hot keys split (``salted_dimension_join``).
     """
     lk = (lookup_keys.select(F.col(lookup_col).cast("string").alias("_lk_key"))
           .where(F.col("_lk_key").isNotNull()).distinct()
           .withColumn("_lk_hit", F.lit(True)))
-    f = facts.withColumn("_lk_join", salted_key(key, NULL_SALT_BUCKETS, *spread))
-    out = f.join(lk, (f["_lk_join"] == lk["_lk_key"]) & f[key].isNotNull(), "left")
+    out = salted_dimension_join(facts, lk, key, "_lk_key", "left", spread, null_salt=True)
     return (out.withColumn(flag_name, F.coalesce(F.col("_lk_hit"), F.lit(False)))
-            .drop("_lk_join", "_lk_key", "_lk_hit"))
+            .drop("_lk_key", "_lk_hit"))
 
 
 def present_in(df: DataFrame, key: Column, keys: DataFrame, keys_col: str) -> DataFrame:

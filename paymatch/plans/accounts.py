@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paymatch.functions import day_text, month_label_upper
-from paymatch.operators import checked_broadcast, earliest_rows, time_window, top_per_key
+from paymatch.operators import (checked_broadcast, earliest_rows, salted_dimension_join, time_window,
+                                top_per_key)
 from paymatch.params import EXCLUDED_TRANSACTION_STATUSES, ReconParams
 from paymatch.sources import AuditSources
 
@@ -68,7 +69,8 @@ def label_detail(src: AuditSources, p: ReconParams, overrides: DataFrame) -> Dat
     Join order puts the selective inner joins first (rate by provider, user
     not excluded). The user and override lookups share the owner key and
     are combined into one owner dimension first, so the transaction stream
-    is shuffled once for both and AQE can split a busy owner's partition.
+    is shuffled once for both; a busy owner's transactions are salted over
+    several tasks (``salted_dimension_join``).
     """
     ss, se = p.source_start, p.source_end
     txn = time_window(src.transaction, "object_created", ss, se).where(
@@ -90,7 +92,8 @@ def label_detail(src: AuditSources, p: ReconParams, overrides: DataFrame) -> Dat
     if p.excluded_users:
         users = users.where(~F.col("au_id").isin(*p.excluded_users))
         owners = users.join(ovr, users["au_id"] == ovr["_o_owner"], "left").drop("_o_owner")
-        j = j.join(owners, j["object_owner_id"] == owners["au_id"], "inner")
+        # A busy owner (one large merchant) is split over several tasks.
+        j = salted_dimension_join(j, owners, "object_owner_id", "au_id", "inner", spread=("id",))
     else:
         j = (j.join(users, j["object_owner_id"] == users["au_id"], "left")
              .join(ovr, j["object_owner_id"] == ovr["_o_owner"], "left").drop("_o_owner"))

@@ -49,12 +49,29 @@ def skewed_rows() -> dict:
 
 @pytest.fixture(scope="module")
 def skewed(spark, tmp_path_factory):
+    # A small hot-key bound makes the hot groups here (600 rows) take the
+    # salted path, as a key with a third of 100 TB would.
+    import paymatch.operators.joins as joins
+    old = joins.MAX_KEY_ROWS
+    joins.MAX_KEY_ROWS = 100
+    yield _build(spark, tmp_path_factory)
+    joins.MAX_KEY_ROWS = old
+
+
+def _build(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("skew")
     dfs, con = write_reference_tables(spark, str(root), skewed_rows(), SCHEMA_OF, SCHEMAS)
     audit = Audit(sources_from(dfs, reference_branches(NEXT_FILE)), fixture_params())
     return audit, con, oracle_queries(fixture_params(), with_fixtures=False)
 
 
+def test_hot_descriptions_take_the_salted_path(skewed):
+    audit, _, _ = skewed
+    from paymatch.operators import hot_keys
+    hot = dict(hot_keys(audit.src.processor["current"], "description", 100))
+    assert hot.get("Payout", 0) >= 600 and "Invoice 100001" in hot
+
+
 NAMES = ["invoice_totals_usd", "invoice_totals_usd_by_owner", "payments_other", "processor_rows",
          "invoice_check", "payment_check", "recon_summary", "recon_summary_by_owner", "recon_report",
          "recon_report_owner_grain", "late_update_flag", "first_item_cutoff", "unmatched_owners"]
