@@ -71,7 +71,7 @@ def hot_keys(facts: DataFrame, key: str, max_key_rows: int | None = None) -> lis
 def salted_dimension_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
                           how: str = "left", spread: tuple[str, ...] = (),
                           max_key_rows: int | None = None,
-                          null_salt: bool = False) -> DataFrame:
+                          null_salt: bool = False, measure: DataFrame | None = None) -> DataFrame:
     """Join facts to a dimension (at most a few rows per key), exact under skew.
 
     Hot fact keys are measured first (``hot_keys``). Their fact rows get a
@@ -80,9 +80,12 @@ def salted_dimension_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_k
     key holding a third of the facts is processed by S tasks instead of one.
     Other keys join unsalted (salt 0). With ``null_salt`` (left joins), NULL
     fact keys are also spread (see ``salted_key``); they never match.
+    ``measure`` (default ``facts``) is where hot keys are counted: a narrow
+    table whose per-key counts bound the facts' from above (e.g. the
+    filtered source before other joins) keeps the count to one cheap scan.
     """
     bound = max_key_rows or MAX_KEY_ROWS
-    hot = hot_keys(facts, fact_key, bound)
+    hot = hot_keys(measure if measure is not None else facts, fact_key, bound)
     jk = salted_key(fact_key, NULL_SALT_BUCKETS, *spread) if null_salt else F.col(fact_key)
     f = facts.withColumn("_sj_key", jk)
     d = dim.withColumn("_sj_dkey", F.col(dim_key).cast(f.schema["_sj_key"].dataType))

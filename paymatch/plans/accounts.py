@@ -93,7 +93,8 @@ def label_detail(src: AuditSources, p: ReconParams, overrides: DataFrame) -> Dat
         users = users.where(~F.col("au_id").isin(*p.excluded_users))
         owners = users.join(ovr, users["au_id"] == ovr["_o_owner"], "left").drop("_o_owner")
         # A busy owner (one large merchant) is split over several tasks.
-        j = salted_dimension_join(j, owners, "object_owner_id", "au_id", "inner", spread=("id",))
+        j = salted_dimension_join(j, owners, "object_owner_id", "au_id", "inner", spread=("id",),
+                                  measure=txn.select("object_owner_id"))
     else:
         j = (j.join(users, j["object_owner_id"] == users["au_id"], "left")
              .join(ovr, j["object_owner_id"] == ovr["_o_owner"], "left").drop("_o_owner"))
