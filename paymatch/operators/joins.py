@@ -24,6 +24,7 @@ _COUNTS: dict[tuple[int, int], int] = {}
 MAX_KEY_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
 MAX_SALT = 1024
+_HOT: dict[tuple, list] = {}
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
@@ -63,9 +64,12 @@ def hot_keys(facts: DataFrame, key: str, max_key_rows: int | None = None) -> lis
     to the driver.
     """
     bound = max_key_rows or MAX_KEY_ROWS
-    rows = (facts.where(F.col(key).isNotNull()).groupBy(key).count()
-            .where(F.col("count") > bound).orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect())
-    return [(r[0], r[1]) for r in rows]
+    memo = (facts.semanticHash(), key, bound)
+    if memo not in _HOT:
+        rows = (facts.where(F.col(key).isNotNull()).groupBy(key).count()
+                .where(F.col("count") > bound).orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect())
+        _HOT[memo] = [(r[0], r[1]) for r in rows]
+    return _HOT[memo]
 
 
 def salted_dimension_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
@@ -107,7 +111,8 @@ def salted_dimension_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_k
 
 
 def lookup_flag(facts: DataFrame, key: str, lookup_keys: DataFrame, lookup_col: str,
-                flag_name: str, spread: tuple[str, ...] = ()) -> DataFrame:
+                flag_name: str, spread: tuple[str, ...] = (),
+                measure: DataFrame | None = None) -> DataFrame:
     """Add boolean ``flag_name``: does ``facts[key]`` occur in ``lookup_keys``?
 
     ``lookup_keys`` is de-duplicated first (partial aggregation), so the
@@ -117,7 +122,8 @@ def lookup_flag(facts: DataFrame, key: str, lookup_keys: DataFrame, lookup_col:
     lk = (lookup_keys.select(F.col(lookup_col).cast("string").alias("_lk_key"))
           .where(F.col("_lk_key").isNotNull()).distinct()
           .withColumn("_lk_hit", F.lit(True)))
-    out = salted_dimension_join(facts, lk, key, "_lk_key", "left", spread, null_salt=True)
+    out = salted_dimension_join(facts, lk, key, "_lk_key", "left", spread, null_salt=True,
+                                measure=measure)
     return (out.withColumn(flag_name, F.coalesce(F.col("_lk_hit"), F.lit(False)))
             .drop("_lk_key", "_lk_hit"))
 

@@ -29,7 +29,14 @@ def retry_condition(rules: tuple) -> F.Column:
     return out
 
 
-def branch_rows(src: AuditSources, b: ProcessorBranch) -> DataFrame:
+def _branch_facts(src: AuditSources, b: ProcessorBranch) -> DataFrame:
+    facts = src.processor[b.facts]
+    if b.fact_files is not None:
+        facts = facts.where(F.col("file_name").isin(*b.fact_files))
+    return facts
+
+
+def branch_rows(src: AuditSources, b: ProcessorBranch, measure: DataFrame | None = None) -> DataFrame:
     """One UNION branch: facts tagged with the invoice number of their description.
 
     The reference left-joins every lookup row with the same description and
@@ -37,16 +44,14 @@ def branch_rows(src: AuditSources, b: ProcessorBranch) -> DataFrame:
     description, so joining a de-duplicated set of descriptions gives the
     same rows without the quadratic fan-out (R9).
     """
-    facts = src.processor[b.facts]
-    if b.fact_files is not None:
-        facts = facts.where(F.col("file_name").isin(*b.fact_files))
+    facts = _branch_facts(src, b)
     lookup = src.processor[b.lookup].where(F.col("reporting_category").isin(*LOOKUP_CATEGORIES))
     if b.lookup_files is not None:
         lookup = lookup.where(F.col("file_name").isin(*b.lookup_files))
     facts = facts.select("balance_transaction_id", "description", "reporting_category",
                          "created_utc", "available_on_utc", "gross", "net", "customer_facing_amount")
     tagged = lookup_flag(facts, "description", lookup, "description", "_matched",
-                         spread=("balance_transaction_id", "created_utc"))
+                         spread=("balance_transaction_id", "created_utc"), measure=measure)
     invoice_id = F.when(F.col("_matched"), reference_digits("description"))
     length = F.length(invoice_id)
     return tagged.select(
@@ -66,7 +71,10 @@ def processor_rows(src: AuditSources, p: ReconParams) -> DataFrame:
     The DISTINCT is needed: a period table may hold identical rows, and the
     branches may overlap. It is one partial-aggregated shuffle.
     """
-    return union_all([branch_rows(src, b) for b in src.branches]).distinct()
+    # Hot descriptions are counted once over all branches' facts (a superset
+    # of each branch's counts, so every branch's hot keys are found).
+    measure = union_all([_branch_facts(src, b).select("description") for b in src.branches])
+    return union_all([branch_rows(src, b, measure) for b in src.branches]).distinct()
 
 
 def invoice_check(src: AuditSources, p: ReconParams, processor: DataFrame) -> DataFrame:
