@@ -128,10 +128,20 @@ def lookup_flag(facts: DataFrame, key: str, lookup_keys: DataFrame, lookup_col:
             .drop("_lk_key", "_lk_hit"))
 
 
-def present_in(df: DataFrame, key: Column, keys: DataFrame, keys_col: str) -> DataFrame:
-    """Rows of ``df`` whose key is in ``keys`` (``IN (SELECT ...)``, J6)."""
+def present_in(df: DataFrame, key: Column, keys: DataFrame, keys_col: str,
+               spread: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of ``df`` whose key is in ``keys`` (``IN (SELECT ...)``, J6).
+
+    With ``spread`` (row columns to hash), hot keys of ``df`` are measured and
+    salted (``salted_dimension_join``) — for a large side keyed by something
+    that may be busy, such as an invoice.
+    """
     k = keys.select(F.col(keys_col).alias("_in_key")).where(F.col("_in_key").isNotNull()).distinct()
-    return df.join(k, key == k["_in_key"], "left_semi")
+    if spread is None:
+        return df.join(k, key == k["_in_key"], "left_semi")
+    cols = df.columns
+    tagged = df.withColumn("_in_fkey", key)
+    return salted_dimension_join(tagged, k, "_in_fkey", "_in_key", "left_semi", spread).select(*cols)
 
 
 def missing_in(df: DataFrame, key: Column, keys: DataFrame, keys_col: str) -> DataFrame:

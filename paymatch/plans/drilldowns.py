@@ -35,13 +35,14 @@ def unmatched_invoices(totals: DataFrame, processor: DataFrame, payments: DataFr
 def unmatched_payments(src: AuditSources, unmatched: DataFrame) -> DataFrame:
     """D5 "Check 1": all payment rows of the unmatched invoices."""
     pay = src.payment_for_check
-    return present_in(pay, pay["invoice_id"], unmatched, "invoice_id")
+    return present_in(pay, pay["invoice_id"], unmatched, "invoice_id", spread=("id",))
 
 
 def unmatched_items(src: AuditSources, unmatched: DataFrame) -> DataFrame:
     """D6 "Check 2": all invoice item rows of the unmatched invoices."""
     items = src.invoice_item
-    return present_in(items, items["invoice_id"], unmatched, "invoice_id")
+    return present_in(items, items["invoice_id"], unmatched, "invoice_id",
+                      spread=("object_updated", "transaction_id", "amount"))
 
 
 def unmatched_transactions(src: AuditSources, items: DataFrame) -> DataFrame:

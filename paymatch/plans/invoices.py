@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, TimestampNTZType
 
 from paymatch.functions import minute_text, money, to_text, ts_lit
-from paymatch.operators import attach_rate, convert, present_in, time_window
+from paymatch.operators import attach_rate, convert, present_in, salted_dimension_join, time_window
 from paymatch.params import REFUND_PURPOSE, ReconParams
 from paymatch.sources import AuditSources
 
@@ -81,7 +81,9 @@ def invoice_payment_dates(src: AuditSources, p: ReconParams, universe: DataFrame
     latest = dates.select("invoice_id", F.col("_upd_max").alias("_ts"))
     pay = (src.payment_for_check.where(~F.col("payment_method_id").isin(p.special_method))
            .select(F.col("invoice_id").alias("_bp_id"), "object_created").distinct())
-    j = latest.join(pay, latest["invoice_id"] == pay["_bp_id"], "inner")
+    # One latest-update row per invoice against all its payment dates: a busy
+    # invoice's payment dates are salted over several tasks.
+    j = salted_dimension_join(pay, latest, "_bp_id", "invoice_id", "inner", spread=("object_created",))
     j = present_in(j, to_text(j["invoice_id"]), universe, "invoice_id")
     return j.select(to_text("invoice_id").alias("invoice_id"),
                     F.col("object_created").alias("date_info_billing_date"),

@@ -165,3 +165,16 @@ def test_salted_dimension_join_equals_plain_join(spark):
         salted = salted_dimension_join(facts, dim, "k", "dk", how, spread=("i",),
                                        max_key_rows=100, null_salt=(how == "left")).select("k", "i", "v")
         assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+
+
+def test_salted_semi_join_equals_plain(spark, monkeypatch):
+    import paymatch.operators.joins as joins
+    monkeypatch.setattr(joins, "MAX_KEY_ROWS", 50)
+    df = spark.createDataFrame([(1, i) for i in range(400)] + [(2, i) for i in range(20)]
+                               + [(None, 1)], "k long, i int")
+    keys = spark.createDataFrame([(1,), (1,), (None,)], "k long")
+    plain = present_in(df, df["k"], keys, "k")
+    salted = present_in(df, df["k"], keys, "k", spread=("i",))
+    assert salted.columns == df.columns
+    assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+    assert salted.count() == 400
