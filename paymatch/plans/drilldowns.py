@@ -2,7 +2,7 @@
 
 D5-D10 start from the invoices that have totals (C3) but neither a
 processor row nor a non-special payment. In the reference that set is
-"Prod-Stripe rows with no processor match, whose latest payment has a NULL
+"backward-direction rows with no processor match, whose latest payment has a NULL
 method"; the payment summary excludes NULL methods, so a NULL method means
 "no payment summary row at all", and the set is two anti joins.
 """

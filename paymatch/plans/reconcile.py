@@ -134,7 +134,7 @@ def _typed(c: Column, name: str) -> Column:
 
 def forward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
             profile: DataFrame | None = None) -> DataFrame:
-    """C9a "Stripe-Prod": every processor row against the invoice side.
+    """C9a, forward direction: every processor row against the invoice side.
 
     Processor rows are first aggregated on their own output keys, then joined
     to the invoice profile and to the invoice totals (per owner in V2 — the
@@ -186,7 +186,7 @@ def forward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
 
 def backward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
              profile: DataFrame | None = None) -> DataFrame:
-    """C9b "Prod-Stripe": every invoice total against the processor side."""
+    """C9b, backward direction: every invoice total against the processor side."""
     profile = profile if profile is not None else invoice_profile(inp, p)
     keys = ["_k", "month"] + (["object_owner_id"] if by_owner else [])
     g = (inp.invoice_totals.withColumn("_k", to_text("invoice_id"))
