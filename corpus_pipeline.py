@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paymatch.llm import near_dups
+from paymatch.llm import near_dups, quality
 from paymatch.llm.store import save
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays (MinHash LSH forest, 85 per cent)."""
     return near_dups.keep_one(docs)
 
 
-STAGES = [("minhash_near_dedup", dedup)]
+STAGES = [("quality_classifier", good_quality), ("minhash_near_dedup", dedup)]
 #: Hashing and trained models are part of the stages, which SQL cannot express; tests compare with brute force.
 ORACLE_SQL = None
 

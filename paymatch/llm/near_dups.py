@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paymatch.llm.components import components
@@ -311,11 +311,14 @@ def _classes(table: DataFrame, reps: DataFrame, label: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs`` with one row of each class of :func:`near_duplicates`, all columns kept.
 
-    Rows that share a kept doc_id are one class as well: of those with the
-    smallest shingle count one stays. Rows without an id stay unless their
-    class has an id.
+    Repeated rows of a kept doc_id are of its class: the first by text hash
+    stays. Rows without an id can't be named by a class and stay.
     """
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    classes = near_duplicates(docs, percent)
-    gone = classes.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
-    return rows.join(gone, rows["_id"] == F.col("_gone"), "left_anti").drop("_id")
+    columns = docs.columns
+    kept = (near_duplicates(docs, percent).where("kept and doc_id is not null")
+            .select(F.col("doc_id").alias("_kept")).distinct())
+    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    found = named.join(kept, F.col("_id") == F.col("_kept"))
+    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
+    one = found.withColumn("_n", first).where("_n = 1").select(*columns)
+    return one.unionByName(docs.where("doc_id is null"))
