@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paymatch.llm import near_dups, quality
+from paymatch.llm import decontaminate, near_dups, quality
 from paymatch.llm.store import save
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,7 +20,13 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dups.keep_one(docs)
 
 
-STAGES = [("quality_classifier", good_quality), ("minhash_near_dedup", dedup)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go (spaced seeds)."""
+    return decontaminate.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+STAGES = [("quality_classifier", good_quality), ("minhash_near_dedup", dedup),
+          ("benchmark_decontamination", decontaminated)]
 #: Hashing and trained models are part of the stages, which SQL cannot express; tests compare with brute force.
 ORACLE_SQL = None
 
