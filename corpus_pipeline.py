@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paymatch.llm import decontaminate, near_dups, quality
+from paymatch.llm import decontaminate, mixing, near_dups, quality, sharding
 from paymatch.llm.store import save
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier rejects go."""
@@ -25,8 +23,18 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix to the sources' target weights takes them."""
+    return mixing.repeated(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard and slot."""
+    return sharding.shards(docs)
+
+
 STAGES = [("quality_classifier", good_quality), ("minhash_near_dedup", dedup),
-          ("benchmark_decontamination", decontaminated)]
+          ("benchmark_decontamination", decontaminated), ("source_mixing", mixed), ("sharding", sharded)]
 #: Hashing and trained models are part of the stages, which SQL cannot express; tests compare with brute force.
 ORACLE_SQL = None
 

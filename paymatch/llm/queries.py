@@ -5,14 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paymatch.llm import decontaminate, near_dups, quality
+from paymatch.llm import decontaminate, mixing, near_dups, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    # a null text has no bytes, and so the checksum of none
+    marked = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit(""))).cast("long"))
+    placed = sharding.shards(marked, keep=["doc_id", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, F.array("source"), keep=["doc_id", "source"])
+    targets = F.broadcast(mixing.source_targets(docs))  # one row per source
+    return (mixed.join(targets, F.col("source").eqNullSafe(F.col("name")), "left")
+            .select("doc_id", "size", "source_size", "target", (F.col("uses") * F.col("size")).alias("taken")))
+
+
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_read(spark, sf_dir, "documents"))
 
