@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = save(table.where("node is not null").groupBy("node")
                 .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("weight")), "nodes")
     one = (table.where("node is not null").alias("t")
-           .join(reps.alias("r"), (F.col("t.node") == F.col("r.node")) & F.col("t.doc_id").eqNullSafe(F.col("r.rep")))
+           .join(reps.alias("r").hint("merge"), (F.col("t.node") == F.col("r.node")) & F.col("t.doc_id").eqNullSafe(F.col("r.rep")))
            .select("t.node", "t.signature"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = (one.mapInArrow(_labels, "tree int, label binary, node long, brief binary")
@@ -285,7 +285,8 @@ def _confirmed(rows: DataFrame, reps: DataFrame, cluster: DataFrame, percent: in
         .cast("int").alias("blocks"))
     dealt = save(members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))),
                  "dealt")
-    found = (rows.join(dealt, rows.doc_id.eqNullSafe(dealt.rep))
+    # texts are shuffled at every size: one plan, whose cost grows with the input
+    found = (rows.join(dealt.hint("merge"), rows.doc_id.eqNullSafe(dealt.rep))
              .select("label", "block", "blocks", "node", "weight", "text"))
     single = found.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     groups = (single.select("label", F.least("block", "other").cast("long").alias("low"),
