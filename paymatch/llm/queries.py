@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paymatch.llm import decontaminate, mixing, near_dups, nn_descent, pii_crf, quality, sharding, warc
+from paymatch.llm import decontaminate, licenses, line_dedup, mixing, near_dups, nn_descent, pii_crf, quality, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,17 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", (F.col("uses") * F.col("size")).alias("taken")))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.size("removed").cast("long")
+    # the places are those of the text as it was: what is left and what went
+    left = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    left = F.when((F.col("text") == "") & (removed > 0), 0).otherwise(left)
+    return clean.select("doc_id", (left + removed).alias("n_lines"), removed.alias("n_removed"),
+                        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_crf.find(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["base"])
@@ -52,6 +63,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).select("doc_id", "line", "license", "dice")
+
+
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -74,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.ORACLE, "op6_licenses": licenses.oracle()}
