@@ -6,8 +6,8 @@ pivots and is refined by joins of neighbours of neighbours: every node brings
 its nearest forward and reverse neighbours together, and each keeps the nearest
 it has met. A query starts at its nearest pivots (and at itself, if it is a
 node) and expands its best open nodes, step by step for all queries at once,
-until its ``BEAM`` best nodes are all expanded. Distances on the way are in
-single precision; the result is scored in double on the original vectors.
+until its ``BEAM`` best nodes are all expanded. On the way vectors travel with
+eight bits a component; the result is scored in double on the original vectors.
 """
 
 from __future__ import annotations
@@ -21,17 +21,19 @@ from pyspark.sql import functions as F
 
 from paymatch.llm.store import drop, save
 
-NEIGHBOURS = 14
+NEIGHBOURS = 20
 ROUNDS = 2
 #: Sampled pivots: one for so many nodes, up to a bound (the only part that reaches the driver).
 NODES_PER_PIVOT = 64
 MOST_PIVOTS = 4096
-CELL = 384
-ENTRIES = 8
-BEAM = 48
-EXPAND = 12
+#: Each node joins the cells of so many nearest pivots; a larger cell is dealt in parts of this size.
+CELLS = 12
+CELL = 2048
+ENTRIES = 16
+BEAM = 224
+EXPAND = 72
 #: Neighbours that one meeting proposes to each of its members.
-PROPOSED = 6
+PROPOSED = 8
 
 _LISTS = "node long, ids array<long>, gaps array<float>"
 
@@ -61,9 +63,20 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[
         yield tuple(held[0].column(i)[0].as_py() for i in range(keys)), pa.Table.from_batches(held)
 
 
-def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    packed = column.to_pylist()
-    return np.frombuffer(b"".join(packed), np.float32).reshape(len(packed), -1) if packed else np.zeros((0, 1), np.float32)
+def _packed(vectors: np.ndarray) -> list[bytes]:
+    """Each vector as its largest absolute component (float64) and int8 shares of it."""
+    scale = np.abs(vectors).max(1, keepdims=True)
+    shares = np.rint(vectors / scale * 127).astype(np.int8)
+    return [a.tobytes() + b.tobytes() for a, b in zip(scale, shares)]
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array | list[bytes]) -> np.ndarray:
+    packed = column if isinstance(column, list) else column.to_pylist()
+    if not packed:
+        return np.zeros((0, 1), np.float32)
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+    scale = raw[:, :8].copy().view(np.float64) / 127
+    return raw[:, 8:].view(np.int8).astype(np.float32) * scale.astype(np.float32)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,7 +176,7 @@ def _proper(vector: Column) -> Column:
 
 def nodes_of(embeddings: DataFrame, copies: int) -> DataFrame:
     """One row per distinct vector: node (smallest vec_id), exact (array<double>),
-    vector (packed floats), ids (the ``copies`` smallest vec_ids).
+    vector (packed), ids (the ``copies`` smallest vec_ids).
 
     Rows with a null id, or a vector that is null, empty, zero, of another than
     the most frequent length or has a null or non-finite component are left
@@ -184,16 +197,16 @@ def nodes_of(embeddings: DataFrame, copies: int) -> DataFrame:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         exact = batch.column(2)
-        flat = np.asarray(exact.flatten(), np.float64).astype(np.float32).reshape(batch.num_rows, -1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in flat], pa.binary()), exact,
-                                          batch.column(1)], ["node", "vector", "exact", "ids"])
+        if batch.num_rows:
+            flat = np.asarray(exact.flatten(), np.float64).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_packed(flat), pa.binary()), exact,
+                                              batch.column(1)], ["node", "vector", "exact", "ids"])
 
 
 def _sample(nodes: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Pivots: the first ``count`` nodes in hash order, on the driver."""
     rows = nodes.select("node", "vector").orderBy(F.xxhash64("node", F.lit("pivot")), "node").limit(count).collect()
-    return np.array([r.node for r in rows], np.int64), np.frombuffer(
-        b"".join(bytes(r.vector) for r in rows), np.float32).reshape(len(rows), -1)
+    return np.array([r.node for r in rows], np.int64), _vectors([bytes(r.vector) for r in rows])
 
 
 def _regroup(df: DataFrame, *keys: str) -> DataFrame:
@@ -204,7 +217,7 @@ def _regroup(df: DataFrame, *keys: str) -> DataFrame:
 def build_graph(nodes: DataFrame, pivots: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> DataFrame:
     """NN-descent: (node, ids, gaps), the nearest neighbours found of every node."""
     vectors = nodes.select("node", "vector")
-    cells = save(vectors.mapInArrow(_cells(pivots, 2), "cell long, node long, vector binary, gap float").drop("gap"),
+    cells = save(vectors.mapInArrow(_cells(pivots, CELLS), "cell long, node long, vector binary, gap float").drop("gap"),
                  "cells")
     # as many rows as pivots; a crowded cell is dealt in parts by hash
     parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL).alias("parts"))
@@ -270,7 +283,7 @@ def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = ~np.isin(names, old)
             names, places = names[new], _vectors(fresh.column(3))[first][new]
             if len(names):
-                here = _distances(np.frombuffer(state["vector"], np.float32)[None, :], places)[0]
+                here = _distances(_vectors([state["vector"]]), places)[0]
                 best, far = np.concatenate([best, names]), np.concatenate([far, here])
                 still = np.concatenate([still, np.ones(len(names), bool)])
         order = np.lexsort((best, far))[:BEAM]
