@@ -1,8 +1,8 @@
 """Batch run: ``python -m paymatch --root DIR --out DIR [options]``.
 
 Reads the reference tables from ``--root`` (one Parquet folder per table,
-processor periods as named by ``--period``), runs every output and writes
-each to ``--out/<name>``. On a cluster, submit with ``spark-submit -m paymatch``
+processor periods as named by ``--period``, or CSV exports as named by
+``--export``), runs every output and writes each to ``--out/<name>``. On a cluster, submit with ``spark-submit -m paymatch``
 semantics (the session comes from the cluster); ``--reuse checkpoint`` keeps
 shared intermediates in the cluster's ``spark.checkpoint.dir``.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 
 from paymatch.audit import OUTPUTS, Audit
 from paymatch.params import ReconParams
+from paymatch.session import apply_settings
 from paymatch.sinks import write_outputs
 from paymatch.sources import load_sources, reference_branches
 
@@ -25,7 +26,11 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True, help="output folder")
     ap.add_argument("--period", action="append", default=[],
                     help="processor period as name=folder (previous, current, next)")
+    ap.add_argument("--export", action="append", default=[],
+                    help="processor period from CSV exports as name=path (repeatable, globs allowed)")
     ap.add_argument("--next-file", required=True, help="file name the next-period branch keeps")
+    ap.add_argument("--next-facts", default="current", help="period that the next-file branch scans (K1)")
+    ap.add_argument("--unqualified-root", help="folder of the second api_invoice and billing_payment snapshot (K11)")
     ap.add_argument("--query-start", default=ReconParams.query_start)
     ap.add_argument("--query-end", default=ReconParams.query_end)
     ap.add_argument("--source-start", default=ReconParams.source_start)
@@ -34,20 +39,35 @@ def main(argv: list[str] | None = None) -> None:
                     help="label fact provider filter (negative: no filter)")
     ap.add_argument("--excluded-user", type=int, action="append",
                     help="label fact excluded user id (repeatable)")
+    ap.add_argument("--special-method", type=int, default=ReconParams.special_method)
+    ap.add_argument("--first-item-cutoff", default=ReconParams.first_item_cutoff)
+    ap.add_argument("--billing-floor", help="earliest payment creation in the late-update drill-down")
+    ap.add_argument("--late-update-invoice", type=int, help="only this invoice in the late-update drill-down")
+    ap.add_argument("--on-zero-rate", default=ReconParams.on_zero_rate, choices=["null", "error"])
+    ap.add_argument("--payment-check-on", default=ReconParams.payment_check_on, choices=["id", "invoice_id"])
     ap.add_argument("--reuse", default="checkpoint", choices=["cache", "checkpoint", "none"])
     ap.add_argument("--only", action="append", choices=list(OUTPUTS), help="outputs to write")
     a = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("paymatch").getOrCreate()
+    apply_settings(spark)
     periods = dict(p.split("=", 1) for p in a.period)
-    src = load_sources(spark, a.root, periods, reference_branches(a.next_file))
+    exports: dict[str, list[str]] = {}
+    for name, path in (e.split("=", 1) for e in a.export):
+        exports.setdefault(name, []).append(path)
+    src = load_sources(spark, a.root, periods, reference_branches(a.next_file, a.next_facts), exports,
+                       a.unqualified_root)
     params = ReconParams(query_start=a.query_start, query_end=a.query_end,
                          source_start=a.source_start, source_end=a.source_end,
+                         special_method=a.special_method, first_item_cutoff=a.first_item_cutoff,
+                         billing_floor=a.billing_floor, late_update_invoice=a.late_update_invoice,
+                         on_zero_rate=a.on_zero_rate, payment_check_on=a.payment_check_on,
                          provider_id=None if a.provider_id < 0 else a.provider_id,
                          excluded_users=tuple(a.excluded_user) if a.excluded_user
                          else ReconParams.excluded_users)
-    for name, path in write_outputs(Audit(src, params, reuse=a.reuse), a.out, a.only).items():
-        print(f"{name}\t{path}")
+    with Audit(src, params, reuse=a.reuse) as audit:
+        for name, path in write_outputs(audit, a.out, a.only).items():
+            print(f"{name}\t{path}")
 
 
 if __name__ == "__main__":

@@ -1,20 +1,16 @@
 """``Audit``: every reference output as a lazily built DataFrame.
 
-Intermediates are built once per ``Audit`` object, so the DataFrames that
-several outputs share (invoice totals, payment summaries, checks) are the
-*same* plan objects; inside one action Spark then reuses their shuffle
-stages (ReusedExchange) instead of recomputing them.
-
-The processor rows are read by four consumers (both directions and both
-checks). Each consumer's filter is pushed into the UNION branches, so the
-plans differ and no stage is shared. Across outputs (separate actions)
-nothing is shared either. So every intermediate with several readers (C2,
-C3, C4, C5, C6, C7, C8, the invoice profile, both directions, the summary,
-the unmatched invoice set) is kept once:
-``reuse="cache"`` persists them (memory, spilling to disk; lost blocks are
-recomputed from lineage), ``reuse="checkpoint"`` writes them to the
-cluster's ``spark.checkpoint.dir`` and cuts the lineage, ``reuse="none"``
-recomputes per consumer.
+Building an output starts no Spark job (except in the ``checkpoint`` mode, which
+writes intermediates as they are built). Intermediates are built once per
+``Audit`` object, and those with several readers (C2, C3's item totals, both
+grains of C3, C4/C5's payment groups, C6, C7, C8, the invoice profile and the
+top processor rows, both directions, item and payment dates, the unmatched
+invoice set) are kept once: ``reuse="cache"`` persists them (memory, spilling
+to disk; lost blocks are recomputed from lineage), ``reuse="checkpoint"`` writes
+them to the cluster's ``spark.checkpoint.dir`` and cuts the lineage,
+``reuse="none"`` recomputes per consumer. The union of the two directions is
+never kept beside them. ``close()`` (or leaving a ``with`` block) releases what
+was persisted.
 """
 
 from __future__ import annotations
@@ -39,10 +35,24 @@ class Audit:
         self.p = params or ReconParams()
         self.reuse = reuse
         self._built: dict[tuple, DataFrame] = {}
+        self._persisted: list[DataFrame] = []
+        sources.check_zone()
+
+    def __enter__(self) -> "Audit":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Release the kept intermediates; outputs built from them recompute what they need."""
+        while self._persisted:
+            self._persisted.pop().unpersist()
 
     def _shared(self, df: DataFrame) -> DataFrame:
         if self.reuse == "cache":
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._persisted.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+            return df
         if self.reuse == "checkpoint":
             return materialize(df)
         return df
@@ -52,21 +62,31 @@ class Audit:
     def latest_override(self) -> DataFrame:
         return self._shared(accounts.latest_override(self.src, self.p))
 
+    @cached_property
+    def item_totals(self) -> DataFrame:
+        """Unrounded item sums per (invoice, owner): one pass for both grains of C3."""
+        return self._shared(invoices.item_totals(self.src, self.p))
+
     @cached_property
     def invoice_totals(self) -> DataFrame:
-        return self._shared(invoices.invoice_totals(self.src, self.p, by_owner=False))
+        return self._shared(invoices.invoice_totals(self.src, self.p, self.item_totals, by_owner=False))
 
     @cached_property
     def invoice_totals_by_owner(self) -> DataFrame:
-        return self._shared(invoices.invoice_totals(self.src, self.p, by_owner=True))
+        return self._shared(invoices.invoice_totals(self.src, self.p, self.item_totals, by_owner=True))
+
+    @cached_property
+    def payment_groups(self) -> DataFrame:
+        """Payment sums of both kinds of method: one pass for C4 and C5."""
+        return self._shared(payments.payment_groups(self.src, self.p))
 
     @cached_property
     def payment_groups_other(self) -> DataFrame:
-        return self._shared(payments.payment_groups(self.src, self.p, special=False))
+        return payments.of_method(self.payment_groups, special=False)
 
     @cached_property
     def payment_groups_special(self) -> DataFrame:
-        return self._shared(payments.payment_groups(self.src, self.p, special=True))
+        return payments.of_method(self.payment_groups, special=True)
 
     @cached_property
     def payments_other(self) -> DataFrame:
@@ -104,6 +124,11 @@ class Audit:
         """Per-invoice lookup profile shared by both directions and both grains."""
         return self._shared(reconcile.invoice_profile(self.inputs(), self.p))
 
+    @cached_property
+    def top_processor(self) -> DataFrame:
+        """Top processor row per invoice number, for both grains of the backward direction."""
+        return self._shared(reconcile.top_processor(self.processor_rows))
+
     def _kept(self, key: tuple, build) -> DataFrame:
         if key not in self._built:
             self._built[key] = self._shared(build())
@@ -115,12 +140,11 @@ class Audit:
 
     def recon_backward(self, by_owner: bool = False) -> DataFrame:
         return self._kept(("backward", by_owner), lambda: reconcile.backward(
-            self.inputs(by_owner), self.p, by_owner, self.invoice_profile))
+            self.inputs(by_owner), self.p, by_owner, self.invoice_profile, self.top_processor))
 
     def recon_summary(self, by_owner: bool = False) -> DataFrame:
         """The two directions (disjoint by ``category``: UNION ALL, R7)."""
-        return self._kept(("summary", by_owner), lambda: self.recon_forward(by_owner).unionByName(
-            self.recon_backward(by_owner)))
+        return self.recon_forward(by_owner).unionByName(self.recon_backward(by_owner))
 
     def recon_report(self, by_owner: bool = False) -> DataFrame:
         """C10. ``by_owner=True`` is V2's report: the same 12 keys, but the
@@ -147,17 +171,22 @@ class Audit:
         """Per-invoice item dates shared by D2-D4 (one scan of the item table)."""
         return self._shared(invoices.item_dates(self.src))
 
+    @cached_property
+    def payment_dates(self) -> DataFrame:
+        """Payment dates shared by D2 and D4 (one scan of the payment table)."""
+        return self._shared(invoices.payment_dates(self.src))
+
     @cached_property
     def invoice_payment_dates(self) -> DataFrame:
-        return invoices.invoice_payment_dates(self.src, self.p, self.invoice_universe, self.item_dates)
+        return invoices.invoice_payment_dates(self.p, self.invoice_universe, self.item_dates, self.payment_dates)
 
     @cached_property
     def first_item_cutoff(self) -> DataFrame:
-        return invoices.first_item_cutoff(self.src, self.p, self.processor_rows, self.item_dates)
+        return invoices.first_item_cutoff(self.p, self.processor_rows, self.item_dates)
 
     @cached_property
     def late_update_flag(self) -> DataFrame:
-        return invoices.late_update_flag(self.src, self.p, self.processor_rows, self.item_dates)
+        return invoices.late_update_flag(self.p, self.processor_rows, self.item_dates, self.payment_dates)
 
     @cached_property
     def unmatched(self) -> DataFrame:

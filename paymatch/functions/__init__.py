@@ -13,7 +13,6 @@ from paymatch.functions.columns import (
     ts_lit,
     date_before,
     trunc_text,
-    contains_any,
     to_text,
     minute_text,
     day_text,
@@ -29,7 +28,6 @@ __all__ = [
     "ts_lit",
     "date_before",
     "trunc_text",
-    "contains_any",
     "to_text",
     "minute_text",
     "day_text",

@@ -7,8 +7,6 @@ reference behaviour down with built-in expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, TimestampNTZType
@@ -85,13 +83,3 @@ def reference_digits(col: str | Column) -> Column:
 def flag(cond: Column) -> Column:
     """``CASE WHEN cond THEN 1 ELSE 0 END``; a NULL condition gives 0."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
-
-
-def contains_any(col: str | Column, needles: Iterable[str]) -> Column:
-    """OR of ``col LIKE '%needle%'``; NULL text gives NULL (→ flag 0)."""
-    c = _c(col)
-    out = None
-    for n in needles:
-        term = c.contains(n)
-        out = term if out is None else (out | term)
-    return out if out is not None else F.lit(False)

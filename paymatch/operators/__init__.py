@@ -2,17 +2,13 @@
 
 from paymatch.operators.fx import attach_rate, convert, rate_lookup
 from paymatch.operators.joins import (
-    checked_broadcast,
-    hot_keys,
     lookup_flag,
     missing_in,
     present_in,
-    salted_dimension_join,
     salted_key,
+    skew_join,
 )
 from paymatch.operators.windows import (
-    earliest_rows,
-    in_window,
     number_per_key,
     time_window,
     top_per_key,
@@ -22,15 +18,11 @@ __all__ = [
     "attach_rate",
     "convert",
     "rate_lookup",
-    "checked_broadcast",
-    "hot_keys",
-    "salted_dimension_join",
     "lookup_flag",
     "missing_in",
     "present_in",
     "salted_key",
-    "earliest_rows",
-    "in_window",
+    "skew_join",
     "number_per_key",
     "time_window",
     "top_per_key",

@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paymatch.functions import money, trunc_text
-from paymatch.operators.joins import checked_broadcast
 
 
 def rate_lookup(rates: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """The reference's rate lookup: distinct (code::varchar(5), day, rate::numeric(15,2)).
 
     The rate is rounded to two decimals *before* any division (trap T5).
-    With a window, only days that facts inside it can look up are kept; this
-    bounds the table by (currencies × days in window) for the broadcast.
+    With a window, only days that facts inside it can look up are kept.
     """
     out = rates.select(trunc_text("currency", 5).alias("fx_iso"),
                        F.col("date").cast("date").alias("fx_date"),
@@ -30,15 +28,14 @@ def attach_rate(df: DataFrame, currency_id: str, ts: str, currencies: DataFrame,
                 rates: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Left-join the currency code and the exact-day rate as ``fx_rate``.
 
-    Both sides are small dimensions and are broadcast behind a size check,
-    so the large fact table is never shuffled for the lookup (a shuffle on
-    (currency, day) would also be badly skewed towards one currency).
+    Both sides are small dimensions, which Spark broadcasts by their size in
+    bytes. One that outgrows the threshold is joined by plain exchanges on both
+    sides, so a currency that holds most facts is split at run time.
     A (currency, day) with two different rates duplicates the fact row, as
     in the reference.
     """
-    cur = checked_broadcast(currencies.select(F.col("id").alias("_cur_id"),
-                                              F.col("iso").alias("_cur_iso")))
-    lk = checked_broadcast(rate_lookup(rates, start, end))
+    cur = currencies.select(F.col("id").alias("_cur_id"), F.col("iso").alias("_cur_iso"))
+    lk = rate_lookup(rates, start, end)
     j = df.join(cur, df[currency_id] == cur["_cur_id"], "left")
     j = j.join(lk, (j["_cur_iso"] == lk["fx_iso"]) & (F.to_date(j[ts]) == lk["fx_date"]), "left")
     return j.drop("_cur_id", "_cur_iso", "fx_iso", "fx_date")

@@ -1,9 +1,10 @@
-"""Join helpers: size-checked broadcast, lookups, semi/anti membership.
+"""Join helpers: skew-splittable joins, lookups, semi/anti membership.
 
-Broadcast is only forced behind a row-count check; above the bound the
-join is left to the planner (shuffle join, with AQE splitting skewed
-partitions at run time). NULL join keys are salted so that rows which can
-never match do not all land in one reducer.
+No helper measures anything while a plan is built, and none forces a
+broadcast: whether a side is small enough is Spark's decision, by its size in
+bytes. Beyond that every join here has a plain exchange under both of its
+inputs, the one shape that adaptive execution can split when a partition is
+skewed, as finely as the data asks for.
 """
 
 from __future__ import annotations
@@ -11,140 +12,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A broadcast side is shipped to every executor and held in memory there.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-# Number of distinct salt values given to rows with a NULL join key.
+# Number of distinct salt values given to rows whose join key cannot match.
 NULL_SALT_BUCKETS = 1024
-# Row counts of checked dimensions, by the semantic hash of their plan, so a
-# dimension used by several outputs of one run is counted once.
-_COUNTS: dict[tuple[int, int], int] = {}
-# A key with more fact rows than this is "hot": its rows are spread over
-# several join tasks. At most MAX_HOT_KEYS such keys are salted (the list is
-# part of the plan); any further ones still join exactly, unsalted.
-MAX_KEY_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
-MAX_SALT = 1024
-_HOT: dict[tuple, list] = {}
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
-
-    The check counts at most ``max_rows + 1`` rows of an (already filtered)
-    dimension, so it stays cheap; a dimension that outgrows the bound falls
-    back to a shuffle join instead of exhausting executor memory.
-    """
-    key = (df.semanticHash(), max_rows)
-    if key not in _COUNTS:
-        _COUNTS[key] = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if _COUNTS[key] <= max_rows else df
 
 
-def salted_key(col: str | Column, buckets: int = NULL_SALT_BUCKETS, *spread: str) -> Column:
-    """Join key with NULLs replaced by one of ``buckets`` unmatchable values.
+def salted_key(col: str | Column, *spread: str, blank: bool = False,
+               buckets: int = NULL_SALT_BUCKETS) -> Column:
+    """Join key with NULLs (and ``''`` with ``blank``) replaced by unmatchable values.
 
     Spark hashes every NULL key to the same shuffle partition; for an outer
     join whose NULL-key rows are a large share of the input that partition
     becomes the straggler. The salt is a deterministic hash of ``spread``
-    columns (stable across task retries) prefixed by a control character;
-    callers also require the original key to be non-NULL in the join
-    condition, so a salted row can never match.
-    """
-    c = F.col(col) if isinstance(col, str) else col
-    salt = F.pmod(F.xxhash64(*[F.col(s) for s in spread]) if spread else F.spark_partition_id(),
-                  F.lit(buckets))
-    return F.coalesce(c.cast("string"), F.concat(F.lit("\u0001"), salt.cast("string")))
-
-
-def hot_keys(facts: DataFrame, key: str, max_key_rows: int | None = None) -> list[tuple]:
-    """Keys with more than ``max_key_rows`` fact rows, largest first.
-
-    One partial-aggregated count per key (map-side combined, so the hot keys
-    themselves cost almost nothing to count); at most MAX_HOT_KEYS come back
-    to the driver.
+    columns (the same on every task attempt) prefixed by a control character;
+    callers also require the original key in the join condition, so a salted
+    row can never match.
     """
-    bound = max_key_rows or MAX_KEY_ROWS
-    memo = (facts.semanticHash(), key, bound)
-    if memo not in _HOT:
-        rows = (facts.where(F.col(key).isNotNull()).groupBy(key).count()
-                .where(F.col("count") > bound).orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect())
-        _HOT[memo] = [(r[0], r[1]) for r in rows]
-    return _HOT[memo]
-
-
-def salted_dimension_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-                          how: str = "left", spread: tuple[str, ...] = (),
-                          max_key_rows: int | None = None,
-                          null_salt: bool = False, measure: DataFrame | None = None) -> DataFrame:
-    """Join facts to a dimension (at most a few rows per key), exact under skew.
-
-    Hot fact keys are measured first (``hot_keys``). Their fact rows get a
-    salt ``hash(spread) mod S`` (deterministic, so retried tasks place rows
-    identically) and only their dimension rows are replicated S times, so a
-    key holding a third of the facts is processed by S tasks instead of one.
-    Other keys join unsalted (salt 0). With ``null_salt`` (left joins), NULL
-    fact keys are also spread (see ``salted_key``); they never match.
-    ``measure`` (default ``facts``) is where hot keys are counted: a narrow
-    table whose per-key counts bound the facts' from above (e.g. the
-    filtered source before other joins) keeps the count to one cheap scan.
+    if not spread:
+        raise ValueError("salted_key needs columns to spread by")
+    c = (F.col(col) if isinstance(col, str) else col).cast("string")
+    salt = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("string"))
+    unmatchable = c.isNull() | (c == "") if blank else c.isNull()
+    return F.when(unmatchable, salt).otherwise(c)
+
+
+def skew_join(facts: DataFrame, dim: DataFrame, fact_key: str | Column, dim_key: str,
+              how: str = "left") -> DataFrame:
+    """Equi-join of facts with a side that is unique (or nearly so) on its key.
+
+    A side that was just de-duplicated or aggregated is already partitioned by
+    its key, so Spark would join it without an exchange — and adaptive
+    execution splits a skewed partition only where both inputs are plain
+    exchanges. A second key, the hash of the first, asks for an exchange of
+    its own; the extra shuffle is that of the narrow side. A key that holds a
+    third of all facts is then split at run time into as many tasks as its
+    size needs. NULL keys never match.
     """
-    bound = max_key_rows or MAX_KEY_ROWS
-    hot = hot_keys(measure if measure is not None else facts, fact_key, bound)
-    jk = salted_key(fact_key, NULL_SALT_BUCKETS, *spread) if null_salt else F.col(fact_key)
-    f = facts.withColumn("_sj_key", jk)
+    f = facts.withColumn("_sj_key", F.col(fact_key) if isinstance(fact_key, str) else fact_key)
+    f = f.withColumn("_sj_hash", F.xxhash64("_sj_key"))
     d = dim.withColumn("_sj_dkey", F.col(dim_key).cast(f.schema["_sj_key"].dataType))
-    if not hot:
-        out = f.join(d, (f["_sj_key"] == d["_sj_dkey"]) & f[fact_key].isNotNull(), how)
-        return out.drop("_sj_key", "_sj_dkey")
-    values = [v for v, _ in hot]
-    buckets = min(MAX_SALT, -(-max(n for _, n in hot) // bound))
-    is_hot = F.col(fact_key).isin(values)
-    spread_cols = [F.col(c) for c in spread] or [F.monotonically_increasing_id()]
-    f = f.withColumn("_sj_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread_cols), F.lit(buckets)))
-                     .otherwise(F.lit(0)).cast("int"))
-    d_is_hot = F.col(dim_key).isin(values)
-    d = (d.where(d_is_hot).withColumn("_sj_dsalt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-         .unionByName(d.where(~d_is_hot | F.col(dim_key).isNull()).withColumn("_sj_dsalt", F.lit(0))))
-    cond = ((f["_sj_key"] == d["_sj_dkey"]) & (f["_sj_salt"] == d["_sj_dsalt"])
-            & f[fact_key].isNotNull())
-    return f.join(d, cond, how).drop("_sj_key", "_sj_dkey", "_sj_salt", "_sj_dsalt")
+    d = d.withColumn("_sj_dhash", F.xxhash64("_sj_dkey"))
+    out = f.join(d, (f["_sj_key"] == d["_sj_dkey"]) & (f["_sj_hash"] == d["_sj_dhash"]), how)
+    return out.drop("_sj_key", "_sj_hash", "_sj_dkey", "_sj_dhash")
 
 
 def lookup_flag(facts: DataFrame, key: str, lookup_keys: DataFrame, lookup_col: str,
-                flag_name: str, spread: tuple[str, ...] = (),
-                measure: DataFrame | None = None) -> DataFrame:
+                flag_name: str, spread: tuple[str, ...]) -> DataFrame:
     """Add boolean ``flag_name``: does ``facts[key]`` occur in ``lookup_keys``?
 
     ``lookup_keys`` is de-duplicated first (partial aggregation), so the
     join never fans out: a fact row matches at most one lookup row (R9).
-    NULL keys are salted and hot keys split (``salted_dimension_join``).
+    NULL keys are salted by ``spread``; hot keys are split (``skew_join``).
     """
     lk = (lookup_keys.select(F.col(lookup_col).cast("string").alias("_lk_key"))
           .where(F.col("_lk_key").isNotNull()).distinct()
           .withColumn("_lk_hit", F.lit(True)))
-    out = salted_dimension_join(facts, lk, key, "_lk_key", "left", spread, null_salt=True,
-                                measure=measure)
-    return (out.withColumn(flag_name, F.coalesce(F.col("_lk_hit"), F.lit(False)))
-            .drop("_lk_key", "_lk_hit"))
+    out = skew_join(facts, lk, salted_key(key, *spread), "_lk_key", "left")
+    hit = F.coalesce(F.col("_lk_hit"), F.lit(False)) & F.col(key).isNotNull()
+    return out.withColumn(flag_name, hit).drop("_lk_key", "_lk_hit")
 
 
-def present_in(df: DataFrame, key: Column, keys: DataFrame, keys_col: str,
-               spread: tuple[str, ...] | None = None) -> DataFrame:
+def present_in(df: DataFrame, key: Column, keys: DataFrame, keys_col: str) -> DataFrame:
     """Rows of ``df`` whose key is in ``keys`` (``IN (SELECT ...)``, J6).
 
-    With ``spread`` (row columns to hash), hot keys of ``df`` are measured and
-    salted (``salted_dimension_join``) — for a large side keyed by something
-    that may be busy, such as an invoice.
+    A semi join needs no de-duplicated right side; without one a busy key on
+    either side stays splittable.
     """
-    k = keys.select(F.col(keys_col).alias("_in_key")).where(F.col("_in_key").isNotNull()).distinct()
-    if spread is None:
-        return df.join(k, key == k["_in_key"], "left_semi")
-    cols = df.columns
-    tagged = df.withColumn("_in_fkey", key)
-    return salted_dimension_join(tagged, k, "_in_fkey", "_in_key", "left_semi", spread).select(*cols)
+    k = keys.select(F.col(keys_col).alias("_in_key")).where(F.col("_in_key").isNotNull())
+    return df.join(k, key == k["_in_key"], "left_semi")
 
 
 def missing_in(df: DataFrame, key: Column, keys: DataFrame, keys_col: str) -> DataFrame:
     """Rows of ``df`` whose key is not in ``keys`` (left join + IS NULL, J15)."""
-    k = keys.select(F.col(keys_col).alias("_in_key")).where(F.col("_in_key").isNotNull()).distinct()
+    k = keys.select(F.col(keys_col).alias("_in_key")).where(F.col("_in_key").isNotNull())
     return df.join(k, key == k["_in_key"], "left_anti")

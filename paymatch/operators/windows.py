@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,66 +15,34 @@ def time_window(df: DataFrame, col: str, start: str, end: str) -> DataFrame:
     return df.where((F.col(col) >= ts_lit(start)) & (F.col(col) < ts_lit(end)))
 
 
-def in_window(col: str | Column, start: str, end: str) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return (c >= ts_lit(start)) & (c < ts_lit(end))
-
-
-# A key with more rows than this is numbered by the split path below.
-MAX_GROUP_ROWS = 1_000_000
-
-
 def number_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                   name: str, skew_safe: bool | str = "auto",
-                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                   name: str, part: Column, part_order: Column) -> DataFrame:
     """``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order)`` as ``name``.
 
-    A plain window sends every row of a key to one task. ``skew_safe="auto"``
-    (default) first measures the largest key (one partial-aggregated count,
-    a single number back to the driver) and uses the plain window only when
-    every key fits comfortably in one task; otherwise, or with
-    ``skew_safe=True``, the numbering is exact without any whole-key task:
-
-    1. range-partition on (keys, order) — the sort key is finer than the
-       key, so a hot key is spread over several consecutive partitions;
-    2. number rows within (partition, key) — a group no larger than one
-       partition;
-    3. add, per (partition, key), the rows of the same key in earlier
-       partitions. Only a partition's *first* key can continue from an
-       earlier partition, so the non-zero offsets are at most one row per
-       partition: a table with a proven size bound, broadcast back.
+    A plain window sends every row of a key to one task. Here a key's rows are
+    numbered part by part: ``part`` is a value that the order sorts by first
+    (such as the day of its first timestamp), ``part_order`` sorts the column
+    ``_rn_part`` the same way. Rows are numbered within (key, part), and the
+    rows of the key's earlier parts, counted by a partial aggregation, are
+    added. No task holds more than one part of a key and one count per part;
+    the plan is the same at every size and a function of the data alone.
 
     ``order`` must make the rows of a key totally ordered (ties would be
     numbered arbitrarily, as in any row_number).
     """
-    if skew_safe == "auto":
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        skew_safe = largest > max_group_rows
-    if not skew_safe:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    ranged = (df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order)
-              .withColumn("_rn_part", F.spark_partition_id()))
-    # Both readers below (the offsets and the final join) must see the same
-    # partition of every row. A partition id is not a function of the data,
-    # and Spark does not share plans that contain one, so the tagged rows are
-    # persisted once: every reader scans the same blocks; a lost block is
-    # recomputed from the same range shuffle (same bounds, same partition).
-    local = ranged.withColumn(
-        "_rn_local", F.row_number().over(Window.partitionBy("_rn_part", *keys).orderBy(*order))
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = local.groupBy("_rn_part", *keys).agg(F.max("_rn_local").alias("_rn_n"))
-    before = Window.partitionBy(*keys).orderBy("_rn_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (counts.withColumn("_rn_off", F.sum("_rn_n").over(before))
-               .where(F.col("_rn_off") > 0)
-               .select(F.col("_rn_part").alias("_rn_opart"), *[F.col(k).alias(f"_rn_k{i}") for i, k in
-                                                                enumerate(keys)], "_rn_off"))
-    # At most one row per partition (see 3.), so the broadcast is bounded by
-    # the number of partitions whatever the data size.
-    cond = [F.col("_rn_part") == F.col("_rn_opart")] + [
-        F.col(k).eqNullSafe(F.col(f"_rn_k{i}")) for i, k in enumerate(keys)]
-    out = local.join(F.broadcast(offsets), cond, "left")
-    return out.select(*df.columns,
-                      (F.col("_rn_local") + F.coalesce(F.col("_rn_off"), F.lit(0))).cast("int").alias(name))
+    parted = df.withColumn("_rn_part", part)
+    counts = parted.groupBy(*keys, "_rn_part").agg(F.count(F.lit(1)).alias("_rn_n"))
+    before = Window.partitionBy(*keys).orderBy(part_order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.coalesce(F.sum("_rn_n").over(before), F.lit(0)).alias("_rn_offset"),
+                            F.col("_rn_part").alias("_rn_opart"),
+                            *[F.col(k).alias(f"_rn_k{i}") for i, k in enumerate(keys)])
+    local = parted.withColumn("_rn_local", F.row_number().over(
+        Window.partitionBy(*keys, "_rn_part").orderBy(*order)))
+    same = F.col("_rn_part").eqNullSafe(F.col("_rn_opart"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_rn_k{i}"))
+    number = (F.col("_rn_local") + F.col("_rn_offset")).cast("int").alias(name)
+    return local.join(offsets, same, "inner").select(*df.columns, number)
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -89,17 +56,3 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     w = Window.partitionBy(*keys).orderBy(*order)
     fn = F.rank() if ties == "all" else F.row_number()
     return df.withColumn("_top_rank", fn.over(w)).where(F.col("_top_rank") == 1).drop("_top_rank")
-
-
-def earliest_rows(df: DataFrame, keys: Sequence[str], col: str,
-                  min_name: str = "_min") -> DataFrame:
-    """Rows whose ``col`` equals the per-key minimum (ties kept).
-
-    The minimum is a partial-aggregated ``groupBy`` (skew-safe); the
-    join back is on ``(keys, col)``, so a key with many rows spreads over
-    as many partitions as it has distinct ``col`` values.
-    """
-    mins = df.groupBy(*keys).agg(F.min(col).alias(min_name))
-    renamed = mins.select([F.col(k).alias(f"_k_{k}") for k in keys] + [F.col(min_name)])
-    cond = [df[k] == renamed[f"_k_{k}"] for k in keys] + [df[col] == renamed[min_name]]
-    return df.join(renamed, cond, "inner").drop(*[f"_k_{k}" for k in keys])

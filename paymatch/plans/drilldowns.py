@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paymatch.functions import to_text
-from paymatch.operators import missing_in, present_in
+from paymatch.operators import missing_in, present_in, skew_join
 from paymatch.sources import AuditSources
 
 
@@ -35,14 +35,13 @@ def unmatched_invoices(totals: DataFrame, processor: DataFrame, payments: DataFr
 def unmatched_payments(src: AuditSources, unmatched: DataFrame) -> DataFrame:
     """D5 "Check 1": all payment rows of the unmatched invoices."""
     pay = src.payment_for_check
-    return present_in(pay, pay["invoice_id"], unmatched, "invoice_id", spread=("id",))
+    return present_in(pay, pay["invoice_id"], unmatched, "invoice_id")
 
 
 def unmatched_items(src: AuditSources, unmatched: DataFrame) -> DataFrame:
     """D6 "Check 2": all invoice item rows of the unmatched invoices."""
     items = src.invoice_item
-    return present_in(items, items["invoice_id"], unmatched, "invoice_id",
-                      spread=("object_updated", "transaction_id", "amount"))
+    return present_in(items, items["invoice_id"], unmatched, "invoice_id")
 
 
 def unmatched_transactions(src: AuditSources, items: DataFrame) -> DataFrame:
@@ -67,7 +66,8 @@ def unmatched_owners(src: AuditSources, items: DataFrame, overrides: DataFrame)
     users = src.auth_user.select(F.col("id").alias("_au_id"))
     ovr = overrides.select(F.col("object_owner_id").alias("_o_owner"), "company_name_override",
                            "partner_platform")
-    j = (txn.join(users, txn["object_owner_id"] == users["_au_id"], "inner")
-         .join(ovr, txn["object_owner_id"] == ovr["_o_owner"], "left"))
+    # A busy owner's transactions are split over several tasks.
+    owners = users.join(ovr, users["_au_id"] == ovr["_o_owner"], "left").drop("_o_owner")
+    j = skew_join(txn.select("object_owner_id", "entry_point"), owners, "object_owner_id", "_au_id", "inner")
     return j.select("object_owner_id", "company_name_override", "partner_platform",
                     "entry_point").distinct()

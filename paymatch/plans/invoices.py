@@ -7,50 +7,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, TimestampNTZType
 
 from paymatch.functions import minute_text, money, to_text, ts_lit
-from paymatch.operators import attach_rate, convert, present_in, salted_dimension_join, time_window
+from paymatch.operators import attach_rate, convert, present_in, skew_join, time_window
 from paymatch.params import REFUND_PURPOSE, ReconParams
 from paymatch.sources import AuditSources
 
 SUM_TYPE = DecimalType(38, 2)
 
 
-def invoice_totals(src: AuditSources, p: ReconParams, by_owner: bool = False) -> DataFrame:
-    """Charges and refunds per paid invoice, local and converted to USD.
+def item_totals(src: AuditSources, p: ReconParams) -> DataFrame:
+    """Charges and refunds per (invoice, owner, rate) over the query window,
+    local and converted, not yet rounded. Both grains of C3 follow from it. The
+    amounts of one rate are summed first and divided once.
 
-    Grain (invoice_id, paid) — plus object_owner_id with ``by_owner`` (V2).
-    The reference sums per (invoice, paid, item update) and then sums those
-    sums; one aggregation gives the same rows (R6). Items are aggregated per
-    invoice *before* the join to invoices (map-side partial aggregation), so
-    an invoice with a huge number of items costs one row in the join. The
-    rounding cast to numeric(15,2) applies to the final sum only.
-    """
+    Items are aggregated *before* the join to invoices (map-side partial
+    aggregation), so an invoice with a huge number of items costs one row
+    per owner and rate in the join."""
     items = time_window(src.invoice_item, "object_updated", p.query_start, p.query_end)
     items = items.where(F.col("amount").isNotNull() & F.col("invoice_id").isNotNull())
     items = attach_rate(items, "currency_id", "object_updated", src.currency, src.fx_rates,
                         p.query_start, p.query_end)
     refund = F.col("object_purpose") == REFUND_PURPOSE
     charge = F.col("object_purpose") != REFUND_PURPOSE
-    amount, rate = F.col("amount"), F.col("fx_rate")
-    keys = ["invoice_id"] + (["object_owner_id"] if by_owner else [])
-    per_invoice = items.groupBy(*keys).agg(
-        F.sum(F.when(charge, amount)).alias("_charge"),
-        F.sum(F.when(refund, -amount)).alias("_refund"),
-        F.sum(F.when(charge, convert(amount, rate, p.on_zero_rate))).alias("_conv_charge"),
-        F.sum(F.when(refund, convert(-amount, rate, p.on_zero_rate))).alias("_conv_refund"),
-    )
+    amount = F.col("amount")
+    sums = items.groupBy("invoice_id", "object_owner_id", "fx_rate").agg(
+        F.sum(F.when(charge, amount)).alias("_charge"), F.sum(F.when(refund, -amount)).alias("_refund"))
+    return sums.select(
+        "invoice_id", "object_owner_id", "_charge", "_refund",
+        convert(F.col("_charge"), F.col("fx_rate"), p.on_zero_rate).alias("_conv_charge"),
+        convert(F.col("_refund"), F.col("fx_rate"), p.on_zero_rate).alias("_conv_refund"))
+
+
+def invoice_totals(src: AuditSources, p: ReconParams, items: DataFrame, by_owner: bool = False) -> DataFrame:
+    """Charges and refunds per paid invoice, local and converted to USD.
+
+    Grain (invoice_id, paid) — plus object_owner_id with ``by_owner`` (V2).
+    The reference sums per (invoice, paid, item update) and then sums those
+    sums; the sums of ``items`` (:func:`item_totals`) give the same rows
+    (R6). The rounding cast to numeric(15,2) applies to the final sum only.
+    """
     # Summing after the join keeps a duplicated invoice row exact (its item
     # sums count twice, as in the reference's join); the sum runs on data the
     # join already partitioned by invoice_id, so it adds no shuffle.
     invoices = (time_window(src.invoice, "paid", p.query_start, p.query_end)
                 .select(F.col("id").alias("_inv_id"), "paid"))
-    j = per_invoice.join(invoices, per_invoice["invoice_id"] == invoices["_inv_id"], "inner")
-    out = j.groupBy("invoice_id", "paid", *(["object_owner_id"] if by_owner else [])).agg(
+    j = items.join(invoices, items["invoice_id"] == invoices["_inv_id"], "inner")
+    return j.groupBy("invoice_id", "paid", *(["object_owner_id"] if by_owner else [])).agg(
         F.sum("_charge").cast(SUM_TYPE).alias("invcharge"),
         F.sum("_refund").cast(SUM_TYPE).alias("invrefund"),
         money(F.sum("_conv_charge")).alias("converted_invcharge"),
         money(F.sum("_conv_refund")).alias("converted_invrefund"),
     )
-    return out
 
 
 def item_dates(src: AuditSources) -> DataFrame:
@@ -69,31 +75,31 @@ def item_dates(src: AuditSources) -> DataFrame:
         F.min(F.when(has_amount, F.col("object_created"))).alias("_created_min"))
 
 
-def invoice_payment_dates(src: AuditSources, p: ReconParams, universe: DataFrame,
-                          dates: DataFrame | None = None) -> DataFrame:
+def payment_dates(src: AuditSources) -> DataFrame:
+    """Distinct (invoice, method, creation) of all payments: one scan serves D2 and D4."""
+    return src.payment_for_check.select("invoice_id", "payment_method_id", "object_created").distinct()
+
+
+def invoice_payment_dates(p: ReconParams, universe: DataFrame, dates: DataFrame, payments: DataFrame) -> DataFrame:
     """Per invoice of ``universe`` and payment date, latest item update as text.
 
     Inner joins of the universe to items and to non-special payments; the
     max over items is the same for every payment row, so items are reduced
-    to one row per invoice before joining.
+    to one row per invoice before joining (a busy invoice's payment dates
+    are split, see ``skew_join``).
     """
-    dates = dates if dates is not None else item_dates(src)
     latest = dates.select("invoice_id", F.col("_upd_max").alias("_ts"))
-    pay = (src.payment_for_check.where(~F.col("payment_method_id").isin(p.special_method))
+    latest = present_in(latest, to_text(latest["invoice_id"]), universe, "invoice_id")
+    pay = (payments.where(~F.col("payment_method_id").isin(p.special_method))
            .select(F.col("invoice_id").alias("_bp_id"), "object_created").distinct())
-    # One latest-update row per invoice against all its payment dates: a busy
-    # invoice's payment dates are salted over several tasks.
-    j = salted_dimension_join(pay, latest, "_bp_id", "invoice_id", "inner", spread=("object_created",))
-    j = present_in(j, to_text(j["invoice_id"]), universe, "invoice_id")
+    j = skew_join(pay, latest, "_bp_id", "invoice_id", "inner")
     return j.select(to_text("invoice_id").alias("invoice_id"),
                     F.col("object_created").alias("date_info_billing_date"),
                     minute_text("_ts").alias("date_info_invoice_date"))
 
 
-def first_item_cutoff(src: AuditSources, p: ReconParams, processor: DataFrame,
-                      dates: DataFrame | None = None) -> DataFrame:
+def first_item_cutoff(p: ReconParams, processor: DataFrame, dates: DataFrame) -> DataFrame:
     """D3: first item creation per processor-matched invoice, and a cut-off flag."""
-    dates = dates if dates is not None else item_dates(src)
     first = dates.select("invoice_id", F.col("_created_min").alias("_ts"))
     first = present_in(first, to_text(first["invoice_id"]), processor, "invoice_id")
     text = minute_text("_ts")
@@ -105,8 +111,7 @@ def first_item_cutoff(src: AuditSources, p: ReconParams, processor: DataFrame,
     )
 
 
-def late_update_flag(src: AuditSources, p: ReconParams, processor: DataFrame,
-                     dates: DataFrame | None = None) -> DataFrame:
+def late_update_flag(p: ReconParams, processor: DataFrame, dates: DataFrame, payments: DataFrame) -> DataFrame:
     """Per processor invoice number, is the latest item update after a payment?
 
     The reference joins every payment row and keeps DISTINCT flags. The set
@@ -115,8 +120,7 @@ def late_update_flag(src: AuditSources, p: ReconParams, processor: DataFrame,
     payment, no update day, or a payment at or after it. So payments are
     reduced to (min, max) per invoice — no fan-out, no hot group.
     """
-    latest = dates if dates is not None else item_dates(src)
-    pay = src.payment_for_check
+    latest, pay = dates, payments
     if p.late_update_invoice is not None:
         latest = latest.where(F.col("invoice_id") == p.late_update_invoice)
         pay = pay.where(F.col("invoice_id") == p.late_update_invoice)

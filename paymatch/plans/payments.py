@@ -19,33 +19,42 @@ def newest_first() -> list:
     return [F.col("object_created").desc_nulls_first(), F.col("object_updated").desc_nulls_first()]
 
 
-def payment_groups(src: AuditSources, p: ReconParams, special: bool) -> DataFrame:
-    """Payments created in the query window, method not special / special
-    (NULL methods are in neither), de-duplicated without their id (K9) and
-    summed per (invoice, created, updated). Both steps are partial
-    aggregations, so copies and busy invoices are reduced map-side."""
+def payment_groups(src: AuditSources, p: ReconParams) -> DataFrame:
+    """Payments created in the query window, de-duplicated without their id
+    (K9) and summed per (method is special, invoice, created, updated).
+
+    One pass serves both summaries (C4: ``is_special`` false, C5: true); rows
+    with a NULL method are in neither and are dropped first. Both steps are
+    partial aggregations, so copies and busy invoices are reduced map-side."""
     pay = time_window(src.payment, "object_created", p.query_start, p.query_end)
-    method = F.col("payment_method_id")
-    pay = pay.where(method.isin(p.special_method) if special else ~method.isin(p.special_method))
+    pay = pay.where(F.col("payment_method_id").isNotNull())
     # The rate day is the *update* day, which may fall outside the window.
     pay = attach_rate(pay, "currency_id", "object_updated", src.currency, src.fx_rates)
     rows = pay.select("invoice_id", "payment_method_id", "currency_id", "object_created",
-                      "object_updated", "amount",
-                      convert(F.col("amount"), F.col("fx_rate"), p.on_zero_rate).alias("converted_amount")
-                      ).distinct()
-    return rows.groupBy("invoice_id", "object_created", "object_updated").agg(
-        F.sum("amount").cast(SUM_TYPE).alias("amount"),
-        money(F.sum("converted_amount")).alias("amount_converted"))
+                      "object_updated", "amount", "fx_rate").distinct()
+    special = F.col("payment_method_id").isin(p.special_method)
+    keys = ["is_special", "invoice_id", "object_created", "object_updated"]
+    # The amounts of one rate are summed first and divided once.
+    per_rate = rows.withColumn("is_special", special).groupBy(*keys, "fx_rate").agg(F.sum("amount").alias("_sum"))
+    return per_rate.groupBy(*keys).agg(
+        F.sum("_sum").cast(SUM_TYPE).alias("amount"),
+        money(F.sum(convert(F.col("_sum"), F.col("fx_rate"), p.on_zero_rate))).alias("amount_converted"))
+
+
+def of_method(groups: DataFrame, special: bool) -> DataFrame:
+    """The payment groups of the special method, or of all others."""
+    return groups.where(F.col("is_special") == F.lit(special)).drop("is_special")
 
 
 def payment_summary(groups: DataFrame) -> DataFrame:
-    """C4 (``special=False``) / C5 (``special=True``): the payment groups
-    numbered newest first per invoice (``billing_row``). Ties on
-    ``object_created`` are broken by ``object_updated`` (K10); NULLs sort
-    first in DESC as in the reference dialect (T1). The numbering is the
-    skew-safe row_number: an invoice with millions of payment groups is
-    spread over many tasks."""
-    numbered = number_per_key(groups, ["invoice_id"], newest_first(), "billing_row")
+    """The payment groups numbered newest first per invoice
+    (``billing_row``). Ties on ``object_created`` are broken by
+    ``object_updated`` (K10); NULLs sort first in DESC as in the reference
+    dialect (T1). The numbering goes day by day, so an invoice with millions
+    of payment groups is spread over many tasks."""
+    numbered = number_per_key(groups, ["invoice_id"], newest_first(), "billing_row",
+                              part=F.to_date("object_created"),
+                              part_order=F.col("_rn_part").desc_nulls_first())
     return numbered.select("invoice_id", "object_created", "object_updated", "billing_row",
                            "amount", "amount_converted")
 

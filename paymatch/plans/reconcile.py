@@ -12,9 +12,11 @@ exactly, in linear work.
 
 Plan shape per direction: pre-aggregate the driving side on its own output
 keys (partial aggregation absorbs hot keys and copies), then one left join
-to a per-invoice profile that stacks all lookup sides (one shuffle, one
-join — the shape AQE can split when a key is skewed). Each result row is
-already unique on the output keys, so no final aggregation is needed.
+to a per-invoice profile that stacks all counted and summed lookup sides (one
+shuffle, one join, split at run time when an invoice number is busy). The top
+processor row, the one side that is not a sum, is a table of its own that only
+the backward direction joins. Each result row is already unique on the output
+keys, so no final aggregation is needed.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType
 
 from paymatch.functions import date_before, flag, month_label, to_text
-from paymatch.operators import salted_key
+from paymatch.operators import salted_key, skew_join, top_per_key
 from paymatch.params import PREAUTH_TEXT, ReconParams
 
 SUM_TYPE = DecimalType(38, 2)
+COUNT_TYPE = DecimalType(38, 0)
 MEASURES = ["customer_facing_amount", "gross", "net", "usd_invcharge", "usd_invrefund",
             "billing_amount", "braintree_amount"]
 FLAG_KEYS = ["strp_flag", "inv_flag", "billing_flag", "braintree_flag", "before_2021",
@@ -50,25 +53,23 @@ class ReconInputs:
     payment_check: DataFrame    # C8
 
 
+def _matchable(key: Column) -> Column:
+    """NULL and empty keys can never equal an invoice number."""
+    return key.isNotNull() & (key != "")
+
+
 def invoice_profile(inp: ReconInputs, p: ReconParams) -> DataFrame:
-    """Everything the two directions look up, as one row per invoice key.
+    """The counts and amounts that the two directions look up, one row per invoice key.
 
-    The check, payment-check, latest-payment and top-processor-row sides are
-    stacked (``unionByName``) and reduced by a single ``groupBy`` — one
+    The check, payment-check and latest-payment sides are stacked
+    (``unionByName``) and reduced by a single hash aggregation — one
     partial-aggregated shuffle, so a busy invoice is pre-reduced map-side —
-    instead of five separately shuffled join partners:
+    instead of four separately shuffled join partners:
 
     * invoice check (C7): row counts per (before_2021, paid_before), since
       those two flags are output keys (up to four combinations);
     * payment check (C8): row count — its only visible effect is fan-out;
-    * latest method-3 / other payment (C5/C4, ``billing_row = 1``): amount;
-    * processor row with the highest gross (W3): taken with ``min`` over an
-      ordering struct — gross DESC NULLS FIRST (T1), then balance transaction
-      id, net, amount, description (K10) — an aggregate, so no window
-      partition can grow with a hot invoice number.
-
-    Keys that are NULL or empty can never equal an invoice number and are
-    dropped on every side.
+    * latest method-3 / other payment (C5/C4, ``billing_row = 1``): amount.
     """
     def key(c: str) -> Column:
         return to_text(c).alias("_k")
@@ -83,16 +84,11 @@ def invoice_profile(inp: ReconInputs, p: ReconParams) -> DataFrame:
                                     F.col("amount_converted").alias("_amt")),
         inp.payments_other.select(key("invoice_id"), F.lit(4).alias("_src"),
                                   F.col("amount_converted").alias("_amt")),
-        inp.processor.select(key("invoice_id"), F.lit(5).alias("_src"), F.struct(
-            F.col("gross").isNotNull().alias("o_has_gross"), (-F.col("gross")).alias("o_neg_gross"),
-            F.col("balance_transaction_id").alias("o_txn"), F.col("net").alias("o_net"),
-            F.col("customer_facing_amount").alias("o_cfa"), F.col("description").alias("o_desc"),
-            F.col("gross").alias("gross")).alias("_top")),
     ]
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part, allowMissingColumns=True)
-    stacked = stacked.where(F.col("_k").isNotNull() & (F.col("_k") != ""))
+    stacked = stacked.where(_matchable(F.col("_k")))
     src = F.col("_src")
 
     def ic(b21: int, pb: int) -> Column:
@@ -103,10 +99,25 @@ def invoice_profile(inp: ReconInputs, p: ReconParams) -> DataFrame:
         F.count(F.when(src == 2, 1)).alias("_n_bc"),
         F.max(F.when(src == 3, True)).alias("_bt_hit"), F.sum(F.when(src == 3, F.col("_amt"))).alias("_bt"),
         F.max(F.when(src == 4, True)).alias("_bp_hit"), F.sum(F.when(src == 4, F.col("_amt"))).alias("_bp"),
-        F.min(F.when(src == 5, F.col("_top"))).alias("_top"),
     )
 
 
+def top_processor(processor: DataFrame) -> DataFrame:
+    """Per invoice number the processor row with the highest gross.
+
+    Order: gross DESC NULLS FIRST (T1), then balance transaction id, net,
+    amount, description (K10). A rank filtered to 1, so each map task sends on
+    only its own best row per invoice.
+    """
+    rows = processor.select(to_text("invoice_id").alias("_k"), "gross", "net", "customer_facing_amount",
+                            "description", "balance_transaction_id").where(_matchable(F.col("_k")))
+    order = [F.col("gross").desc_nulls_first(), *(F.col(c).asc_nulls_first() for c in (
+        "balance_transaction_id", "net", "customer_facing_amount", "description"))]
+    top = top_per_key(rows, ["_k"], order)
+    return top.select("_k", F.lit(True).alias("_t_hit"), F.col("gross").alias("_t_gross"), F.col("net").alias("_t_net"),
+                      F.col("customer_facing_amount").alias("_t_cfa"), F.col("description").alias("_t_desc"))
+
+
 def _check_rows() -> Column:
     """The invoice-check rows an invoice joins: (before_2021, paid_before, count)
     per non-empty combination, or one all-zero row standing for the NULL row
@@ -121,13 +132,16 @@ def _check_rows() -> Column:
     return F.when(F.size(present) > 0, present).otherwise(none)
 
 
-def _join_profile(left: DataFrame, key: Column, guard: Column, profile: DataFrame) -> DataFrame:
-    out = left.withColumn("_jk", key)
-    prof = profile.withColumnRenamed("_k", "_pk")
-    out = out.join(prof, (out["_jk"] == prof["_pk"]) & guard, "left").drop("_pk")
+def _join_profile(left: DataFrame, key: Column, profile: DataFrame) -> DataFrame:
+    out = skew_join(left, profile.withColumnRenamed("_k", "_pk"), key, "_pk", "left").drop("_pk")
     return out.select("*", F.inline(_check_rows()))
 
 
+def _number(c: Column) -> Column:
+    """A row count as a decimal, so products of counts cannot overflow."""
+    return c.cast(COUNT_TYPE)
+
+
 def _typed(c: Column, name: str) -> Column:
     return c.cast(SUM_TYPE).alias(name)
 
@@ -152,15 +166,17 @@ def forward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
                 F.sum("converted_invcharge").alias("_inv_charge"),
                 F.sum("converted_invrefund").alias("_inv_refund"))
            .withColumnRenamed("_k", "_ik"))
-    guard = F.col("invoice_id").isNotNull()
-    j = _join_profile(s, salted_key("invoice_id", 1024, "description", "stripe_month"), guard, profile)
-    j = j.join(inv, (j["_jk"] == inv["_ik"]) & guard, "left").drop("_ik", "_jk")
-    n_ic = F.col("_n_ic")
-    m_bc = F.greatest(F.col("_n_bc"), F.lit(1))
-    m_inv = F.greatest(F.coalesce(F.col("_n_inv"), F.lit(0)), F.lit(1))
-    per_s_row = m_inv * n_ic * m_bc          # joined rows per processor row
-    per_inv_row = F.col("_n_s") * n_ic * m_bc  # joined rows per invoice-total row
-    rows = F.col("_n_s") * per_s_row
+    # Rows without an invoice number, or with an empty one, match nothing: they
+    # are spread by a salt instead of meeting in one task.
+    key = salted_key("invoice_id", "description", "stripe_month", blank=True)
+    j = _join_profile(s.withColumn("_jk", key), F.col("_jk"), profile)
+    j = skew_join(j, inv, "_jk", "_ik", "left").drop("_ik", "_jk")
+    n_s, n_ic = _number(F.col("_n_s")), _number(F.col("_n_ic"))
+    m_bc = _number(F.greatest(F.col("_n_bc"), F.lit(1)))
+    m_inv = _number(F.greatest(F.coalesce(F.col("_n_inv"), F.lit(0)), F.lit(1)))
+    per_s_row = (m_inv * n_ic * m_bc).cast(COUNT_TYPE)          # joined rows per processor row
+    per_inv_row = (n_s * n_ic * m_bc).cast(COUNT_TYPE)  # joined rows per invoice-total row
+    rows = (n_s * per_s_row).cast(COUNT_TYPE)
     return j.select(
         F.col("stripe_month").alias("month"),
         F.lit(p.labels["forward"]).alias("category"),
@@ -185,7 +201,7 @@ def forward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
 
 
 def backward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
-             profile: DataFrame | None = None) -> DataFrame:
+             profile: DataFrame | None = None, top: DataFrame | None = None) -> DataFrame:
     """C9b, backward direction: every invoice total against the processor side."""
     profile = profile if profile is not None else invoice_profile(inp, p)
     keys = ["_k", "month"] + (["object_owner_id"] if by_owner else [])
@@ -194,25 +210,26 @@ def backward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
          .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_i"),
                              F.sum("converted_invcharge").alias("_inv_charge"),
                              F.sum("converted_invrefund").alias("_inv_refund")))
-    j = _join_profile(g, F.col("_k"), F.lit(True), profile).drop("_jk")
-    per_i_row = F.col("_n_ic") * F.greatest(F.col("_n_bc"), F.lit(1))
-    rows = F.col("_n_i") * per_i_row
-    top = F.col("_top")
+    top = top if top is not None else top_processor(inp.processor)
+    j = _join_profile(g, F.col("_k"), profile)
+    j = skew_join(j, top.withColumnRenamed("_k", "_tk"), "_k", "_tk", "left").drop("_tk")
+    per_i_row = (_number(F.col("_n_ic")) * _number(F.greatest(F.col("_n_bc"), F.lit(1)))).cast(COUNT_TYPE)
+    rows = (_number(F.col("_n_i")) * per_i_row).cast(COUNT_TYPE)
     return j.select(
         "month", F.lit(p.labels["backward"]).alias("category"),
         F.lit("").alias("reporting_category"), F.col("_k").alias("invoice_id"),
         F.lit("").alias("description"),
-        flag(top.isNotNull()).alias("strp_flag"),
+        flag(F.col("_t_hit")).alias("strp_flag"),
         F.lit(1).alias("inv_flag"),
         flag(F.col("_bp_hit")).alias("billing_flag"),
         flag(F.col("_bt_hit")).alias("braintree_flag"),
         "before_2021", "paid_before",
-        flag(top["o_desc"].contains(PREAUTH_TEXT)).alias("pre_auth"),
+        flag(F.col("_t_desc").contains(PREAUTH_TEXT)).alias("pre_auth"),
         F.lit(0).alias("invoices_retry"), F.lit(0).alias("net_suite"),
         *(["object_owner_id"] if by_owner else []),
-        _typed(top["o_cfa"] * rows, "customer_facing_amount"),
-        _typed(top["gross"] * rows, "gross"),
-        _typed(top["o_net"] * rows, "net"),
+        _typed(F.col("_t_cfa") * rows, "customer_facing_amount"),
+        _typed(F.col("_t_gross") * rows, "gross"),
+        _typed(F.col("_t_net") * rows, "net"),
         _typed(F.col("_inv_charge") * per_i_row, "usd_invcharge"),
         _typed(F.col("_inv_refund") * per_i_row, "usd_invrefund"),
         _typed(F.col("_bp") * rows, "billing_amount"),
@@ -220,14 +237,6 @@ def backward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
     )
 
 
-def summary(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
-            profile: DataFrame | None = None) -> DataFrame:
-    """Both directions. The branches differ in ``category`` and are each
-    unique on the keys, so UNION equals UNION ALL (R7): no dedup shuffle."""
-    profile = profile if profile is not None else invoice_profile(inp, p)
-    return forward(inp, p, by_owner, profile).unionByName(backward(inp, p, by_owner, profile))
-
-
 def report(summary_df: DataFrame) -> DataFrame:
     """The summary rolled up to the 12 flag keys.
 

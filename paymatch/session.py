@@ -9,7 +9,6 @@ recomputation from the raw sources.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,14 +41,24 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """Set what results and plans depend on (UTC, ANSI, AQE) on a session that others made."""
+    for key, value in SESSION_CONF.items():
+        if key.startswith("spark.sql."):
+            spark.conf.set(key, value)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a scratch folder only when unset (tests)."""
+    """The folder the context checkpoints to: one already set, else the
+    cluster's ``spark.checkpoint.dir``, else (tests) a scratch folder."""
     sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        d = tempfile.mkdtemp(prefix="paymatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        d = tempfile.mkdtemp(prefix="paymatch-ckpt-")
     sc.setCheckpointDir(d)
     return d
 

@@ -3,6 +3,7 @@
 from paymatch.sources.tables import (
     AuditSources,
     ProcessorBranch,
+    conform,
     load_sources,
     read_processor_exports,
     read_table,
@@ -12,6 +13,7 @@ from paymatch.sources.tables import (
 __all__ = [
     "AuditSources",
     "ProcessorBranch",
+    "conform",
     "load_sources",
     "read_processor_exports",
     "read_table",

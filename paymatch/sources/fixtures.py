@@ -23,7 +23,8 @@ PERIODS = {
     "next": ("1998-01-01 00:00:00", "1998-07-01 00:00:00"),
 }
 NEXT_FILE = "activity_1998-01.csv"
-REGION_RATES = (1, 2, 4, 5, 8)  # rate of region keys 0..4, before the +0.004
+# Rate of region keys 0..4, before the +0.004; quotients by 3 and 1.37 never end.
+REGION_RATES = ("1", "2", "3", "1.37", "8")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +67,7 @@ def fx_rates(lineitem: DataFrame, region: DataFrame) -> DataFrame:
     """
     traded = lineitem.select((F.col("l_suppkey") % 6).alias("rk"),
                              F.to_date("l_shipdate").alias("date")).distinct()
-    base = F.element_at(F.array(*[F.lit(r) for r in REGION_RATES]), F.col("r_regionkey") + 1)
+    base = F.element_at(F.array(*[F.lit(r).cast(DecimalType(15, 4)) for r in REGION_RATES]), F.col("r_regionkey") + 1)
     rate = (F.when((F.col("r_regionkey") == 4) & (F.dayofmonth("date") == 1), F.lit(0))
             .otherwise(base).cast(DecimalType(15, 4)) + F.lit(0.004).cast(DecimalType(15, 4)))
     return (traded.join(region, traded.rk == region.r_regionkey)

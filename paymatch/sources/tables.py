@@ -8,11 +8,12 @@ lookup table, optional file-name filters, retry rules).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from paymatch.sources.schemas import PROCESSOR_EXPORT_CSV, SCHEMAS
 
@@ -71,7 +72,6 @@ class AuditSources:
     # default the same snapshot as the schema-qualified ones.
     invoice_unqualified: DataFrame | None = None
     payment_unqualified: DataFrame | None = None
-    extra: dict = field(default_factory=dict)
 
     @property
     def invoice_for_check(self) -> DataFrame:
@@ -81,6 +81,14 @@ class AuditSources:
     def payment_for_check(self) -> DataFrame:
         return self.payment_unqualified if self.payment_unqualified is not None else self.payment
 
+    def check_zone(self) -> None:
+        """Refuse zoned timestamps in a session that is not on UTC: windows, rate
+        days and month labels would all shift. (``read_table`` casts on reading.)"""
+        spark = self.invoice.sparkSession
+        zoned = [f"{name}.{c}" for name, df in self.as_dict().items() for c, t in df.dtypes if t == "timestamp"]
+        if zoned and spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "+00:00"):
+            raise ValueError(f"set spark.sql.session.timeZone to UTC; zoned timestamps in {', '.join(zoned)}")
+
     def with_(self, **kw) -> "AuditSources":
         return replace(self, **kw)
 
@@ -104,12 +112,26 @@ class AuditSources:
         return out
 
 
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Parquet table with the documented columns selected and typed."""
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the documented columns of table ``name`` typed, all other
+    columns unchanged behind them (``SELECT *`` passes whole rows through, P2).
+
+    A documented column that is missing is an error that names all of them.
+    """
     schema = SCHEMAS[name]
-    df = spark.read.parquet(path)
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields
-                      if f.name in df.columns])
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"table {name} lacks the columns {', '.join(missing)}")
+    zoned = [f.name for f in schema.fields if df.schema[f.name].dataType == TimestampType()]
+    if zoned and df.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        raise ValueError(f"set spark.sql.session.timeZone to UTC: {name} has zoned timestamps ({', '.join(zoned)})")
+    known = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return df.select(*known, *[c for c in df.columns if c not in schema.names])
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Parquet table, documented columns typed, others passed through."""
+    return conform(spark.read.parquet(path), name)
 
 
 def read_processor_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -124,11 +146,22 @@ def read_processor_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def load_sources(spark: SparkSession, root: str, periods: dict[str, str],
-                 branches: tuple[ProcessorBranch, ...]) -> AuditSources:
-    """Reference tables stored as ``<root>/<table>`` Parquet directories."""
-    t = lambda n: read_table(spark, f"{root}/{n}", n)
+                 branches: tuple[ProcessorBranch, ...], exports: dict[str, list[str]] | None = None,
+                 unqualified_root: str | None = None) -> AuditSources:
+    """Reference tables stored as ``<root>/<table>`` Parquet directories.
+
+    ``periods``: processor periods by name, as Parquet folders below ``root``;
+    ``exports``: periods read from CSV files (or globs) instead.
+    ``unqualified_root``: folder of the second snapshot of ``api_invoice`` and
+    ``billing_payment`` that the unqualified table names meant (K11); without
+    it they are the same as the qualified ones.
+    """
+    def t(name: str, folder: str = root) -> DataFrame:
+        return read_table(spark, f"{folder}/{name}", name)
+
     processor = {p: read_table(spark, f"{root}/{d}", "processor_history")
                  for p, d in periods.items()}
+    processor |= {p: read_processor_exports(spark, paths) for p, paths in (exports or {}).items()}
     return AuditSources(
         user_override=t("user_useroverride"), user_type=t("user_usertype"),
         invoice_item=t("api_invoiceitem"), invoice=t("api_invoice"),
@@ -136,6 +169,8 @@ def load_sources(spark: SparkSession, root: str, periods: dict[str, str],
         processor=processor, branches=branches, address=t("api_apiaddress"),
         transaction=t("api_transaction"), rate=t("api_rate"),
         track_status=t("track_status"), auth_user=t("auth_user"), refund=t("api_refund"),
+        invoice_unqualified=t("api_invoice", unqualified_root) if unqualified_root else None,
+        payment_unqualified=t("billing_payment", unqualified_root) if unqualified_root else None,
     )
 
 

@@ -1,7 +1,7 @@
 """Every registered query against its DuckDB oracle on the smallest test tables.
 
-The oracle is the reference's literal SQL shape (fan-out joins, sums of sums,
-UNION, windows); the Spark plans use the rewrites. Equal row sets check both.
+The oracle takes the long way (fan-out joins, reports from the joined rows,
+UNION); the Spark plans use the rewrites. Equal row sets check both.
 """
 
 import pytest
@@ -44,4 +44,4 @@ def test_entry_point_runs(spark):
     import __spark_entry__ as ep
     df = ep.entry(spark)
     assert df.count() > 0
-    assert set(ep.queries()) == set(ep.oracle_sql())
+    assert set(OUTPUTS) <= set(ep.oracle_sql()) <= set(ep.queries())
