@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal as D
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paymatch.functions import (
-    contains_any,
     date_before,
     flag,
     minute_text,
@@ -20,15 +21,13 @@ from paymatch.functions import (
     trunc_text,
 )
 from paymatch.operators import (
-    checked_broadcast,
     convert,
-    earliest_rows,
     lookup_flag,
     missing_in,
     number_per_key,
     present_in,
-    salted_dimension_join,
     salted_key,
+    skew_join,
     time_window,
     top_per_key,
 )
@@ -59,7 +58,7 @@ def test_trunc_text_truncates_like_varchar(spark):
 
 def test_flag_null_condition_is_zero(spark):
     df = spark.createDataFrame([(None,), ("a-b",)], "d string")
-    assert [r[0] for r in df.select(flag(contains_any("d", ["-"]))).collect()] == [0, 1]
+    assert [r[0] for r in df.select(flag(F.col("d").contains("-"))).collect()] == [0, 1]
 
 
 def test_date_before_promotes_date_to_midnight(spark):
@@ -93,12 +92,6 @@ def test_top_per_key_ties_and_nulls_first(spark):
     assert ties.where("k = 2").count() == 2
 
 
-def test_earliest_rows_keeps_ties(spark):
-    df = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 7, "c"), (2, 9, "d")], "k int, t int, x string")
-    out = earliest_rows(df, ["k"], "t")
-    assert sorted(r.x for r in out.collect()) == ["a", "b", "d"]
-
-
 def test_lookup_flag_with_hot_null_and_hot_value(spark):
     rows = [(None, i) for i in range(200)] + [("hot", i) for i in range(200)] + [("cold", 1)]
     facts = spark.createDataFrame(rows, "d string, i int")
@@ -111,7 +104,7 @@ def test_lookup_flag_with_hot_null_and_hot_value(spark):
 
 def test_salted_key_spreads_nulls_and_never_matches(spark):
     df = spark.createDataFrame([(None, i) for i in range(1000)], "k string, i int")
-    salted = df.select(salted_key("k", 64, "i").alias("s"))
+    salted = df.select(salted_key("k", "i", buckets=64).alias("s"))
     assert salted.distinct().count() > 32
     assert salted.where(F.col("s").rlike("^[0-9]*$")).count() == 0
 
@@ -123,16 +116,21 @@ def test_semi_and_anti(spark):
     assert sorted(r.k for r in missing_in(df, df["k"], keys, "k").collect() if r.k is not None) == [1]
 
 
-def test_checked_broadcast_respects_bound(spark):
-    small = spark.range(10)
-    big = spark.range(100)
-    assert "broadcast" in checked_broadcast(small, 50)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in checked_broadcast(big, 50)._jdf.queryExecution().logical().toString().lower()
+def test_salted_key_spreads_empty_keys_on_request(spark):
+    df = spark.createDataFrame([("", i) for i in range(1000)] + [("7", 1), (None, 2)], "k string, i int")
+    assert df.select(salted_key("k", "i", blank=True, buckets=64).alias("s")).distinct().count() > 32
+    assert df.select(salted_key("k", "i").alias("s")).distinct().count() == 3
+    assert df.where(salted_key("k", "i", blank=True) == "7").count() == 1
+
+
+def test_salted_key_needs_columns_to_spread_by(spark):
+    with pytest.raises(ValueError):
+        salted_key("k")
 
 
-def test_skew_safe_row_number_equals_window(spark):
-    """A key with half of all rows spans many range partitions; numbering
-    must equal the plain window's, NULL keys and NULL order values included."""
+def test_numbering_in_parts_equals_window(spark):
+    """A key with half of all rows is numbered part by part; the numbers must
+    equal the plain window's, NULL keys and NULL order values included."""
     import random
     rnd = random.Random(7)
     rows = [(1, rnd.randrange(10_000_000), i) for i in range(3000)]           # hot key
@@ -140,21 +138,14 @@ def test_skew_safe_row_number_equals_window(spark):
     rows += [(None, i, 10_000 + i) for i in range(40)] + [(7, None, 20_000), (7, None, 20_001)]
     df = spark.createDataFrame(rows, "k int, t long, id int").repartition(13)
     order = [F.col("t").desc_nulls_first(), F.col("id").asc()]
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    try:
-        safe = number_per_key(df, ["k"], order, "rn", skew_safe=True).select("id", "rn")
-        auto = number_per_key(df, ["k"], order, "rn", max_group_rows=100).select("id", "rn")
-        assert auto.exceptAll(safe).count() == 0
-        plain = number_per_key(df, ["k"], order, "rn", skew_safe=False).select("id", "rn")
-        assert safe.exceptAll(plain).count() == 0 and plain.exceptAll(safe).count() == 0
-        assert safe.count() == len(rows)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    parts = number_per_key(df, ["k"], order, "rn", part=F.floor(F.col("t") / 1_000_000),
+                           part_order=F.col("_rn_part").desc_nulls_first()).select("id", "rn")
+    plain = df.select("id", F.row_number().over(Window.partitionBy("k").orderBy(*order)).alias("rn"))
+    assert parts.exceptAll(plain).count() == 0 and plain.exceptAll(parts).count() == 0
+    assert parts.count() == len(rows)
 
 
-def test_salted_dimension_join_equals_plain_join(spark):
-    """Hot keys (a third of the facts each) are salted and their dimension
-    rows replicated; the result must equal the plain join, for left and inner."""
+def test_skew_join_equals_plain_join(spark):
     facts = spark.createDataFrame(
         [("hot", i) for i in range(900)] + [("warm", i) for i in range(300)]
         + [(None, i) for i in range(300)] + [(f"k{i}", i) for i in range(600)], "k string, i int")
@@ -162,19 +153,30 @@ def test_salted_dimension_join_equals_plain_join(spark):
                                  (None, "null")], "dk string, v string")
     for how in ("left", "inner"):
         plain = facts.join(dim, facts.k == dim.dk, how).select("k", "i", "v")
-        salted = salted_dimension_join(facts, dim, "k", "dk", how, spread=("i",),
-                                       max_key_rows=100, null_salt=(how == "left")).select("k", "i", "v")
-        assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
-
-
-def test_salted_semi_join_equals_plain(spark, monkeypatch):
-    import paymatch.operators.joins as joins
-    monkeypatch.setattr(joins, "MAX_KEY_ROWS", 50)
-    df = spark.createDataFrame([(1, i) for i in range(400)] + [(2, i) for i in range(20)]
-                               + [(None, 1)], "k long, i int")
-    keys = spark.createDataFrame([(1,), (1,), (None,)], "k long")
-    plain = present_in(df, df["k"], keys, "k")
-    salted = present_in(df, df["k"], keys, "k", spread=("i",))
-    assert salted.columns == df.columns
-    assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
-    assert salted.count() == 400
+        split = skew_join(facts, dim, "k", "dk", how).select("k", "i", "v")
+        assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
+
+
+@pytest.mark.parametrize("join", ["lookup", "semi"])
+def test_a_hot_key_is_split_at_run_time(spark, join):
+    """With broadcasts off and small thresholds, the adaptive plan splits the
+    partition that holds a hot key, although the lookup side is de-duplicated."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.shuffle.partitions": "16",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        facts = spark.range(60_000, numPartitions=8).selectExpr(
+            "if(id % 2 = 0, 'hot', concat('k', id % 500)) AS k", "uuid() AS payload", "id")
+        keys = spark.range(3000).selectExpr("if(id < 50, 'hot', concat('k', id % 700)) AS k")
+        out = (lookup_flag(facts, "k", keys, "k", "m", spread=("id",)) if join == "lookup"
+               else present_in(facts, facts["k"], keys, "k"))
+        qe = out._jdf.queryExecution()
+        assert qe.toRdd().count() == 60_000
+        assert "skew=true" in qe.executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

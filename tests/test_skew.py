@@ -49,13 +49,7 @@ def skewed_rows() -> dict:
 
 @pytest.fixture(scope="module")
 def skewed(spark, tmp_path_factory):
-    # A small hot-key bound makes the hot groups here (600 rows) take the
-    # salted path, as a key with a third of 100 TB would.
-    import paymatch.operators.joins as joins
-    old = joins.MAX_KEY_ROWS
-    joins.MAX_KEY_ROWS = 100
-    yield _build(spark, tmp_path_factory)
-    joins.MAX_KEY_ROWS = old
+    return _build(spark, tmp_path_factory)
 
 
 def _build(spark, tmp_path_factory):
@@ -65,14 +59,20 @@ def _build(spark, tmp_path_factory):
     return audit, con, oracle_queries(fixture_params(), with_fixtures=False)
 
 
-def test_hot_descriptions_take_the_salted_path(skewed):
+def test_empty_invoice_numbers_are_spread(skewed):
+    """Rows whose description has no digits can never match; no task key holds all of them."""
+    from pyspark.sql import functions as F
+
+    from paymatch.operators import salted_key
     audit, _, _ = skewed
-    from paymatch.operators import hot_keys
-    hot = dict(hot_keys(audit.src.processor["current"], "description", 100))
-    assert hot.get("Payout", 0) >= 600 and "Invoice 100001" in hot
+    keys = (audit.processor_rows.where("invoice_id = ''")
+            .select("description", "stripe_month", salted_key("invoice_id", "description", "stripe_month", blank=True)
+                    .alias("k")))
+    assert keys.count() > 0 and keys.where(F.col("k") == "").count() == 0
 
 
 NAMES = ["invoice_totals_usd", "invoice_totals_usd_by_owner", "payments_other", "processor_rows",
+         "payments_method3", "invoice_payment_dates", "unmatched_payments", "unmatched_items",
          "invoice_check", "payment_check", "recon_summary", "recon_summary_by_owner", "recon_report",
          "recon_report_owner_grain", "late_update_flag", "first_item_cutoff", "unmatched_owners"]
 
