@@ -44,7 +44,9 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--billing-floor", help="earliest payment creation in the late-update drill-down")
     ap.add_argument("--late-update-invoice", type=int, help="only this invoice in the late-update drill-down")
     ap.add_argument("--on-zero-rate", default=ReconParams.on_zero_rate, choices=["null", "error"])
-    ap.add_argument("--payment-check-on", default=ReconParams.payment_check_on, choices=["id", "invoice_id"])
+    ap.add_argument("--payment-check-on", default=ReconParams.payment_check_on,
+                    choices=["id", "invoice_id", "none"])
+    ap.add_argument("--strip-leading-zeros", action="store_true", help="compare invoice numbers without leading zeros")
     ap.add_argument("--reuse", default="checkpoint", choices=["cache", "checkpoint", "none"])
     ap.add_argument("--only", action="append", choices=list(OUTPUTS), help="outputs to write")
     a = ap.parse_args(argv)
@@ -61,7 +63,8 @@ def main(argv: list[str] | None = None) -> None:
                          source_start=a.source_start, source_end=a.source_end,
                          special_method=a.special_method, first_item_cutoff=a.first_item_cutoff,
                          billing_floor=a.billing_floor, late_update_invoice=a.late_update_invoice,
-                         on_zero_rate=a.on_zero_rate, payment_check_on=a.payment_check_on,
+                         on_zero_rate=a.on_zero_rate, strip_leading_zeros=a.strip_leading_zeros,
+                         payment_check_on=None if a.payment_check_on == "none" else a.payment_check_on,
                          provider_id=None if a.provider_id < 0 else a.provider_id,
                          excluded_users=tuple(a.excluded_user) if a.excluded_user
                          else ReconParams.excluded_users)

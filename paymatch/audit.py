@@ -20,6 +20,7 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from paymatch.operators import rate_conflicts
 from paymatch.params import ReconParams
 from paymatch.plans import accounts, drilldowns, invoices, payments, processor, reconcile
 from paymatch.session import materialize
@@ -96,6 +97,17 @@ class Audit:
     def payments_special(self) -> DataFrame:
         return payments.payment_summary(self.payment_groups_special)
 
+    @cached_property
+    def payments_by_method(self) -> DataFrame:
+        """C4 with the payment method as a key and an output."""
+        groups = payments.payment_groups(self.src, self.p, by_method=True)
+        return payments.payment_summary(payments.of_method(groups, special=False))
+
+    @cached_property
+    def rate_conflicts(self) -> DataFrame:
+        """Rates that are not unique per currency and day (empty for a sound table)."""
+        return rate_conflicts(self.src.fx_rates)
+
     @cached_property
     def processor_rows(self) -> DataFrame:
         return self._shared(processor.processor_rows(self.src, self.p))
@@ -193,6 +205,10 @@ class Audit:
         return self._shared(drilldowns.unmatched_invoices(
             self.invoice_totals_by_owner, self.processor_rows, self.payment_groups_other))
 
+    @cached_property
+    def unmatched_flags(self) -> DataFrame:
+        return drilldowns.unmatched_flags(self.p, self.unmatched, self.invoice_check)
+
     @cached_property
     def unmatched_payments(self) -> DataFrame:
         return drilldowns.unmatched_payments(self.src, self.unmatched)
@@ -232,6 +248,8 @@ OUTPUTS = {
     "invoice_totals_usd_by_owner": lambda a: a.invoice_totals_by_owner,
     "payments_other": lambda a: a.payments_other,
     "payments_method3": lambda a: a.payments_special,
+    "payments_by_method": lambda a: a.payments_by_method,
+    "rate_conflicts": lambda a: a.rate_conflicts,
     "processor_rows": lambda a: a.processor_rows,
     "invoice_check": lambda a: a.invoice_check,
     "payment_check": lambda a: a.payment_check,
@@ -247,6 +265,7 @@ OUTPUTS = {
     "invoice_payment_dates": lambda a: a.invoice_payment_dates,
     "first_item_cutoff": lambda a: a.first_item_cutoff,
     "late_update_flag": lambda a: a.late_update_flag,
+    "unmatched_flags": lambda a: a.unmatched_flags,
     "unmatched_payments": lambda a: a.unmatched_payments,
     "unmatched_items": lambda a: a.unmatched_items,
     "unmatched_transactions": lambda a: a.unmatched_transactions,

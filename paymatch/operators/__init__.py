@@ -1,6 +1,6 @@
 """Generic DataFrame operators, reusable outside the audit."""
 
-from paymatch.operators.fx import attach_rate, convert, rate_lookup
+from paymatch.operators.fx import attach_rate, convert, rate_conflicts, rate_lookup
 from paymatch.operators.joins import (
     lookup_flag,
     missing_in,
@@ -17,6 +17,7 @@ from paymatch.operators.windows import (
 __all__ = [
     "attach_rate",
     "convert",
+    "rate_conflicts",
     "rate_lookup",
     "lookup_flag",
     "missing_in",

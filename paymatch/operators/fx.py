@@ -24,6 +24,11 @@ def rate_lookup(rates: DataFrame, start: str | None = None, end: str | None = No
     return out.distinct()
 
 
+def rate_conflicts(rates: DataFrame) -> DataFrame:
+    """Currency days with more than one rate: each would repeat the facts that look it up."""
+    return rate_lookup(rates).groupBy("fx_iso", "fx_date").agg(F.count(F.lit(1)).alias("rates")).where("rates > 1")
+
+
 def attach_rate(df: DataFrame, currency_id: str, ts: str, currencies: DataFrame,
                 rates: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Left-join the currency code and the exact-day rate as ``fx_rate``.

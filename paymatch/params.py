@@ -58,8 +58,12 @@ class ReconParams:
     # Division by a rate that rounds to 0.00: "null" (default) or "error".
     on_zero_rate: str = "null"
     # Payment-check key: "id" reproduces the reference (payment id compared
-    # with invoice numbers); "invoice_id" is the evident intent.
-    payment_check_on: str = "id"
+    # with invoice numbers); "invoice_id" is the evident intent; None leaves
+    # the check out (its only visible effect is fan-out, K12).
+    payment_check_on: str | None = "id"
+    # Compare the digits of a description without their leading zeros (T2);
+    # the reference compares them as they are.
+    strip_leading_zeros: bool = False
     labels: dict = field(default_factory=lambda: {"forward": FORWARD_LABEL,
                                                    "backward": BACKWARD_LABEL})
 

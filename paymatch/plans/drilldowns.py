@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paymatch.functions import to_text
+from paymatch.functions import date_before, flag, to_text, ts_lit
 from paymatch.operators import missing_in, present_in, skew_join
+from paymatch.params import ReconParams
 from paymatch.sources import AuditSources
 
 
@@ -32,6 +33,17 @@ def unmatched_invoices(totals: DataFrame, processor: DataFrame, payments: DataFr
     return missing_in(ids, ids["invoice_id"], payments, "invoice_id")
 
 
+def unmatched_flags(p: ReconParams, unmatched: DataFrame, checks: DataFrame) -> DataFrame:
+    """The date flags that D5, D6 and D8 carry per unmatched invoice and invoice
+    check row: before_2021, paid_before and paid_after (paid after the query
+    window's end); all 0 without a check row."""
+    created, paid = F.col("invoice_created"), F.col("invoice_paid")
+    j = unmatched.join(checks, unmatched["invoice_id"] == checks["id"], "left")
+    return j.select("invoice_id", flag(date_before(created, p.source_start)).alias("before_2021"),
+                    flag(date_before(paid, p.query_start)).alias("paid_before"),
+                    flag(F.to_date(paid) > ts_lit(p.query_end)).alias("paid_after"))
+
+
 def unmatched_payments(src: AuditSources, unmatched: DataFrame) -> DataFrame:
     """D5 "Check 1": all payment rows of the unmatched invoices."""
     pay = src.payment_for_check

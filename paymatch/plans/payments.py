@@ -19,9 +19,10 @@ def newest_first() -> list:
     return [F.col("object_created").desc_nulls_first(), F.col("object_updated").desc_nulls_first()]
 
 
-def payment_groups(src: AuditSources, p: ReconParams) -> DataFrame:
+def payment_groups(src: AuditSources, p: ReconParams, by_method: bool = False) -> DataFrame:
     """Payments created in the query window, de-duplicated without their id
-    (K9) and summed per (method is special, invoice, created, updated).
+    (K9) and summed per (method is special, invoice, created, updated), with
+    ``by_method`` per method as well (the drill-downs read it from C4).
 
     One pass serves both summaries (C4: ``is_special`` false, C5: true); rows
     with a NULL method are in neither and are dropped first. Both steps are
@@ -33,7 +34,8 @@ def payment_groups(src: AuditSources, p: ReconParams) -> DataFrame:
     rows = pay.select("invoice_id", "payment_method_id", "currency_id", "object_created",
                       "object_updated", "amount", "fx_rate").distinct()
     special = F.col("payment_method_id").isin(p.special_method)
-    keys = ["is_special", "invoice_id", "object_created", "object_updated"]
+    keys = ["is_special", "invoice_id", "object_created", "object_updated",
+            *(["payment_method_id"] if by_method else [])]
     # The amounts of one rate are summed first and divided once.
     per_rate = rows.withColumn("is_special", special).groupBy(*keys, "fx_rate").agg(F.sum("amount").alias("_sum"))
     return per_rate.groupBy(*keys).agg(
@@ -52,10 +54,12 @@ def payment_summary(groups: DataFrame) -> DataFrame:
     ``object_updated`` (K10); NULLs sort first in DESC as in the reference
     dialect (T1). The numbering goes day by day, so an invoice with millions
     of payment groups is spread over many tasks."""
-    numbered = number_per_key(groups, ["invoice_id"], newest_first(), "billing_row",
+    order = newest_first() + ([F.col("payment_method_id")] if "payment_method_id" in groups.columns else [])
+    numbered = number_per_key(groups, ["invoice_id"], order, "billing_row",
                               part=F.to_date("object_created"),
                               part_order=F.col("_rn_part").desc_nulls_first())
-    return numbered.select("invoice_id", "object_created", "object_updated", "billing_row",
+    method = [c for c in ("payment_method_id",) if c in groups.columns]
+    return numbered.select("invoice_id", "object_created", "object_updated", *method, "billing_row",
                            "amount", "amount_converted")
 
 
@@ -85,6 +89,8 @@ def payment_check(src: AuditSources, p: ReconParams, processor: DataFrame) -> Da
     and may be empty or longer than a BIGINT.
     """
     pay = src.payment_for_check
+    if p.payment_check_on is None:
+        return pay.where(F.lit(False)).select("invoice_id", F.col("object_created").alias("billing_created"), "amount")
     key = "id" if p.payment_check_on == "id" else "invoice_id"
     hit = present_in(pay, to_text(pay[key]), clean_invoice_numbers(processor), "invoice_id")
     return hit.select("invoice_id", F.col("object_created").alias("billing_created"), "amount").distinct()

@@ -36,7 +36,7 @@ def _branch_facts(src: AuditSources, b: ProcessorBranch) -> DataFrame:
     return facts
 
 
-def branch_rows(src: AuditSources, b: ProcessorBranch) -> DataFrame:
+def branch_rows(src: AuditSources, b: ProcessorBranch, strip_zeros: bool = False) -> DataFrame:
     """One UNION branch: facts tagged with the invoice number of their description.
 
     The reference left-joins every lookup row with the same description and
@@ -52,7 +52,10 @@ def branch_rows(src: AuditSources, b: ProcessorBranch) -> DataFrame:
                          "created_utc", "available_on_utc", "gross", "net", "customer_facing_amount")
     tagged = lookup_flag(facts, "description", lookup, "description", "_matched",
                          spread=("balance_transaction_id", "created_utc"))
-    invoice_id = F.when(F.col("_matched"), reference_digits("description"))
+    digits = reference_digits("description")
+    if strip_zeros:
+        digits = F.regexp_replace(digits, "^0+(?=.)", "")
+    invoice_id = F.when(F.col("_matched"), digits)
     length = F.length(invoice_id)
     return tagged.select(
         "balance_transaction_id", "description", "reporting_category", "created_utc",
@@ -71,7 +74,7 @@ def processor_rows(src: AuditSources, p: ReconParams) -> DataFrame:
     The DISTINCT is needed: a period table may hold identical rows, and the
     branches may overlap. It is one partial-aggregated shuffle.
     """
-    return union_all([branch_rows(src, b) for b in src.branches]).distinct()
+    return union_all([branch_rows(src, b, p.strip_leading_zeros) for b in src.branches]).distinct()
 
 
 def invoice_check(src: AuditSources, p: ReconParams, processor: DataFrame) -> DataFrame:

@@ -236,3 +236,29 @@ def test_rank_ties_kept(edge):
     assert sorted(r.company_name_override for r in top) == ["B", "C"]
     nul = audit.latest_override.where(F.col("object_owner_id") == 11).collect()
     assert [r.id for r in nul] == [None]
+
+
+OPTIONS = {"strip_leading_zeros": True, "payment_check_on": None}
+
+
+@pytest.mark.parametrize("option", list(OPTIONS))
+@pytest.mark.parametrize("name", ["processor_rows", "payment_check", "recon_summary", "recon_report"])
+def test_options_match_oracle(edge, option, name):
+    """T2 and K12 as options, against the oracle with the same option."""
+    audit, con, _ = edge
+    p = audit.p.with_(**{option: OPTIONS[option]})
+    cols, expected = duck_digest(con, oracle_queries(p, with_fixtures=False)[name])
+    df = Audit(audit.src, p, reuse="none").output(name)
+    assert sorted(df.columns) == cols
+    assert spark_digest(df) == expected
+
+
+def test_leading_zeros_match_when_stripped(edge):
+    audit, _, _ = edge
+    fwd = Audit(audit.src, audit.p.with_(strip_leading_zeros=True), reuse="none").recon_forward()
+    assert fwd.where(F.col("invoice_id") == "00100001").count() == 0
+
+
+def test_two_rates_for_a_day_are_reported(edge):
+    audit, _, _ = edge
+    assert [(r.fx_iso, r.rates) for r in audit.rate_conflicts.collect()] == [("GBP", 2)]
