@@ -3,8 +3,8 @@
 Two zstandard dictionaries are trained, one from good and one from bad
 labelled texts. A text that the good dictionary compresses better than the bad
 one is likelier good: the difference of the two compressed sizes, as a share
-of the text's bytes, becomes a probability by a logistic fit on further
-labelled texts that neither dictionary has seen.
+of the text's bytes (damped for short texts), becomes a probability by a
+logistic fit on further labelled texts that neither dictionary has seen.
 
 The fit uses a bounded sample of labelled rows (``DICTIONARY_ROWS`` a class,
 ``CALIBRATION_ROWS`` more, in hash order, none above ``SAMPLE_BYTES``); its
@@ -30,6 +30,8 @@ LEVEL = 3
 SEGMENT, DMER = 1000, 8
 #: Differences of this size count in full; larger ones by their logarithm, so that outliers don't steer the fit.
 UNIT = 0.01
+#: Bytes added to every length: a few odd words weigh less in a short text.
+DAMPING = 200
 THRESHOLD = 0.3
 
 
@@ -60,7 +62,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _difference(compressors: list[zstandard.ZstdCompressor], text: bytes) -> float:
     good, bad = (len(c.compress(text)) for c in compressors)
-    return float(np.arcsinh((bad - good) / max(len(text), 1) / UNIT))
+    return float(np.arcsinh((bad - good) / (len(text) + DAMPING) / UNIT))
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
