@@ -1,7 +1,11 @@
 """The pipeline's stages take effect, in order, over what their predecessors kept."""
 
+import os
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from paymatch.llm import decontaminate, mixing, near_dups, quality
+from paymatch.llm import decontaminate, mixing, near_dups, quality, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +24,7 @@ def test_stages(spark):
     assert ids[2] == sorted(r.doc_id for r in near_dups.near_duplicates(kept[1]).where("kept").collect())
     leaked = {r.doc_id for r in decontaminate.leaks(kept[2], items).collect()}
     assert leaked and ids[3] == [i for i in ids[2] if i not in leaked]
-    uses = {r.doc_id: r.uses for r in mixing.mix(kept[3], __import__("pyspark.sql.functions").sql.functions.array("source")).collect()}
+    uses = {r.doc_id: r.uses for r in mixing.mix(kept[3], F.array("source")).collect()}
     assert ids[4] == sorted(i for i, n in uses.items() for _ in range(n))
     assert ids[5] == ids[4]
     assert {r.shard for r in kept[5].collect()} <= set(range(40))
@@ -32,3 +36,13 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "shard", "slot"]
     assert out.count() > 0
+
+
+def test_clear_deletes_the_applications_tables(spark):
+    df = store.save(spark.range(3), "three")
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder) and store.save(spark.range(2), "two").count() == 2
+    store.drop(df)
+    assert not os.path.exists(folder)
+    store.clear(spark)
+    assert not os.path.exists(os.path.dirname(folder))
