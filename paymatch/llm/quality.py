@@ -19,7 +19,7 @@ from dataclasses import astuple, dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DICTIONARY_BYTES = 512 << 10
@@ -92,8 +92,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str, int]]:
-    """Labelled texts for the fit: (place in the hash order of its label, text, label)."""
+def _sample(docs: DataFrame, labels: DataFrame) -> dict[int, list[bytes]]:
+    """Labelled texts for the fit by label, in hash order."""
     marked = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
               .select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"))
               .groupBy("id").agg(F.max("label").alias("label"), F.min("label").alias("least"))
@@ -105,14 +105,13 @@ def _sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str, int]]:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where(F.octet_length("text") <= SAMPLE_BYTES)
     found = texts.join(F.broadcast(ids), texts.doc_id == F.col("id")).where("text != ''")
-    place = F.row_number().over(Window.partitionBy("label").orderBy("order", "id", F.xxhash64("text")))
-    return [tuple(r) for r in found.select(place.alias("place"), "text", "label").orderBy("label", "place").collect()]
+    rows = sorted(tuple(r) for r in found.select("label", "order", "id", "text").collect())
+    return {v: [text.encode() for label, _, _, text in rows if label == v] for v in (0, 1)}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     """Train from ``labels.quality``; with one label missing, that label's share as a constant score."""
-    rows = _sample(docs, labels)
-    share = {v: [t.encode() for _, t, label in rows if label == v] for v in (0, 1)}
+    share = _sample(docs, labels)
     if not share[0] or not share[1]:
         return 1.0 if share[1] else 0.0 if share[0] else 0.5
     marked = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
