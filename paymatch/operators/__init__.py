@@ -7,6 +7,7 @@ from paymatch.operators.joins import (
     present_in,
     salted_key,
     skew_join,
+    skew_joins,
 )
 from paymatch.operators.windows import (
     number_per_key,
@@ -24,6 +25,7 @@ __all__ = [
     "present_in",
     "salted_key",
     "skew_join",
+    "skew_joins",
     "number_per_key",
     "time_window",
     "top_per_key",

@@ -9,6 +9,8 @@ skewed, as finely as the data asks for.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,12 +49,20 @@ def skew_join(facts: DataFrame, dim: DataFrame, fact_key: str | Column, dim_key:
     third of all facts is then split at run time into as many tasks as its
     size needs. NULL keys never match.
     """
-    f = facts.withColumn("_sj_key", F.col(fact_key) if isinstance(fact_key, str) else fact_key)
-    f = f.withColumn("_sj_hash", F.xxhash64("_sj_key"))
-    d = dim.withColumn("_sj_dkey", F.col(dim_key).cast(f.schema["_sj_key"].dataType))
-    d = d.withColumn("_sj_dhash", F.xxhash64("_sj_dkey"))
-    out = f.join(d, (f["_sj_key"] == d["_sj_dkey"]) & (f["_sj_hash"] == d["_sj_dhash"]), how)
-    return out.drop("_sj_key", "_sj_hash", "_sj_dkey", "_sj_dhash")
+    return skew_joins(facts, fact_key, [(dim, dim_key)], how)
+
+
+def skew_joins(facts: DataFrame, fact_key: str | Column, dims: Sequence[tuple[DataFrame, str]],
+               how: str = "left") -> DataFrame:
+    """:func:`skew_join` with several sides on one key; the facts are shuffled once."""
+    key = F.col(fact_key) if isinstance(fact_key, str) else fact_key
+    out = facts.withColumn("_sj_key", key).withColumn("_sj_hash", F.xxhash64("_sj_key"))
+    for dim, dim_key in dims:
+        d = dim.withColumn("_sj_dkey", F.col(dim_key).cast(out.schema["_sj_key"].dataType))
+        d = d.withColumn("_sj_dhash", F.xxhash64("_sj_dkey"))
+        out = out.join(d, (out["_sj_key"] == d["_sj_dkey"]) & (out["_sj_hash"] == d["_sj_dhash"]), how)
+        out = out.drop("_sj_dkey", "_sj_dhash")
+    return out.drop("_sj_key", "_sj_hash")
 
 
 def lookup_flag(facts: DataFrame, key: str, lookup_keys: DataFrame, lookup_col: str,

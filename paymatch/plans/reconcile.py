@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType
 
 from paymatch.functions import date_before, flag, month_label, to_text
-from paymatch.operators import salted_key, skew_join, top_per_key
+from paymatch.operators import salted_key, skew_joins, top_per_key
 from paymatch.params import PREAUTH_TEXT, ReconParams
 
 SUM_TYPE = DecimalType(38, 2)
@@ -132,9 +132,10 @@ def _check_rows() -> Column:
     return F.when(F.size(present) > 0, present).otherwise(none)
 
 
-def _join_profile(left: DataFrame, key: Column, profile: DataFrame) -> DataFrame:
-    out = skew_join(left, profile.withColumnRenamed("_k", "_pk"), key, "_pk", "left").drop("_pk")
-    return out.select("*", F.inline(_check_rows()))
+def _join_sides(left: DataFrame, key: Column, profile: DataFrame, other: DataFrame, other_key: str) -> DataFrame:
+    """``left`` with its invoice's profile and one more side, a row per kind of check row."""
+    out = skew_joins(left, key, [(profile.withColumnRenamed("_k", "_pk"), "_pk"), (other, other_key)])
+    return out.drop("_pk", other_key).select("*", F.inline(_check_rows()))
 
 
 def _number(c: Column) -> Column:
@@ -169,8 +170,7 @@ def forward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
     # Rows without an invoice number, or with an empty one, match nothing: they
     # are spread by a salt instead of meeting in one task.
     key = salted_key("invoice_id", "description", "stripe_month", blank=True)
-    j = _join_profile(s.withColumn("_jk", key), F.col("_jk"), profile)
-    j = skew_join(j, inv, "_jk", "_ik", "left").drop("_ik", "_jk")
+    j = _join_sides(s, key, profile, inv, "_ik")
     n_s, n_ic = _number(F.col("_n_s")), _number(F.col("_n_ic"))
     m_bc = _number(F.greatest(F.col("_n_bc"), F.lit(1)))
     m_inv = _number(F.greatest(F.coalesce(F.col("_n_inv"), F.lit(0)), F.lit(1)))
@@ -211,8 +211,7 @@ def backward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
                              F.sum("converted_invcharge").alias("_inv_charge"),
                              F.sum("converted_invrefund").alias("_inv_refund")))
     top = top if top is not None else top_processor(inp.processor)
-    j = _join_profile(g, F.col("_k"), profile)
-    j = skew_join(j, top.withColumnRenamed("_k", "_tk"), "_k", "_tk", "left").drop("_tk")
+    j = _join_sides(g, F.col("_k"), profile, top.withColumnRenamed("_k", "_tk"), "_tk")
     per_i_row = (_number(F.col("_n_ic")) * _number(F.greatest(F.col("_n_bc"), F.lit(1)))).cast(COUNT_TYPE)
     rows = (_number(F.col("_n_i")) * per_i_row).cast(COUNT_TYPE)
     return j.select(
