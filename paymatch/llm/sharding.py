@@ -3,12 +3,15 @@
 All rows are put in one order (by text hash, then doc_id, so that equal texts
 lie side by side) and cut into shards of near equal bytes. The cuts come from
 refined histograms of a narrow (key, bytes) table, so rows are exchanged once,
-straight to their shard. A text that fills more than a shard is cut by doc_id,
-so one hot text never fills a shard beyond its share. DataFrame operations only.
+straight to their part of a shard. A text that fills more than a shard is cut by
+doc_id, so one hot text never fills a shard beyond its share. Within a shard rows
+are sorted and numbered in ``PARTS`` stretches of its key range, so no task
+holds a whole shard. DataFrame operations only.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +22,8 @@ from paymatch.llm.store import drop, save
 
 SHARDS = 40
 OVERHEAD = 16
+#: Stretches of each shard that are sorted and numbered apart.
+PARTS = 64
 
 
 def size_of(text: Column) -> Column:
@@ -47,12 +52,28 @@ def shards(docs: DataFrame, count: int = SHARDS, tolerance: float = 0.0, keep: l
     base = docs.drop("shard", "slot", "size")
     narrow = save(base.select(F.lit("all").alias("group"), key_of(text, F.col("doc_id")).alias("key"),
                               size_of(text).alias("weight")), "shard-keys")
-    total = narrow.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    total, least, most = narrow.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.min("key"), F.max("key")).first()
     cuts = find_cuts(narrow, {"all": [total * i / count for i in range(1, count)]}, tolerance)["all"]
+    edges = [int(least or 0), *cuts, int(most or 0) + 1]
+    spans = [(s, Decimal(a), Decimal(max(1, -(-(b - a) // PARTS)))) for s, (a, b) in enumerate(zip(edges, edges[1:]))]
+    ranges = docs.sparkSession.createDataFrame(spans, f"shard int, _low {KEY}, _width {KEY}")
+    counted = _placed(narrow.withColumnRenamed("key", "_key"), cuts, ranges).groupBy("shard", "_part").count()
+    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = save(counted.select("shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")),
+                   "shard-offsets")
     drop(narrow)
     keyed = base.select(*[c for c in (keep or base.columns) if c in base.columns], size_of(text).alias("size"),
                         key_of(text, F.col("doc_id")).alias("_key"))
+    # the offsets have at most ``count * PARTS`` rows
+    placed = _placed(keyed, cuts, ranges).join(F.broadcast(offsets), ["shard", "_part"])
+    slot = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_key")) - 1 + F.col("_before")
+    kept = [c for c in keyed.columns if c != "_key"]
+    return placed.withColumn("slot", slot.cast("long")).select(*kept, "shard", "slot")
+
+
+def _placed(rows: DataFrame, cuts: list[int], ranges: DataFrame) -> DataFrame:
+    """``rows`` with the shard of their ``_key`` and the stretch of it (``_part``); one range a shard."""
     above = [F.when(F.col("_key") >= F.lit(str(c)).cast(KEY), 1).otherwise(0) for c in cuts]
-    placed = keyed.withColumn("shard", reduce(lambda a, b: a + b, above, F.lit(0)).cast("int"))
-    slot = F.row_number().over(Window.partitionBy("shard").orderBy("_key")) - 1
-    return placed.withColumn("slot", slot.cast("long")).drop("_key")
+    sharded = rows.withColumn("shard", reduce(lambda a, b: a + b, above, F.lit(0)).cast("int"))
+    return (sharded.join(F.broadcast(ranges), "shard")
+            .withColumn("_part", F.expr("cast((_key - _low) div _width as int)")).drop("_low", "_width"))
