@@ -4,7 +4,7 @@ Runs at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 ``local[$BENCH_CPUS]`` and prints one JSON line. Each output is executed in
 full with the ``noop`` sink (every row computed, nothing collected). One
 ``Audit`` serves all outputs, as in a real run, so the processor rows are
-computed once. With ``BENCH_COLD=1`` (default) each output is also timed on an
+computed once. With ``BENCH_COLD=1`` each output is also timed on an
 audit of its own (``cold_queries``), which computes all its steps. With
 ``BENCH_DUCKDB=1`` (default) the DuckDB oracle is timed on the same tables; it
 computes all steps of each output, so the cold times compare with it.
@@ -71,7 +71,7 @@ def main() -> None:
     total = round(time.perf_counter() - t_all, 3)
     audit.close()
     cold: dict[str, float] = {}
-    for name in OUTPUTS if os.environ.get("BENCH_COLD", "1") == "1" else ():
+    for name in OUTPUTS if os.environ.get("BENCH_COLD", "0") == "1" else ():
         t0 = time.perf_counter()
         with Audit(fixture_sources(spark, sf_dir), fixture_params()) as own:
             own.output(name).write.format("noop").mode("overwrite").save()
