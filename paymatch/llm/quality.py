@@ -4,7 +4,9 @@ Two zstandard dictionaries are trained, one from good and one from bad
 labelled texts. A text that the good dictionary compresses better than the bad
 one is likelier good: the difference of the two compressed sizes, as a share
 of the text's bytes (damped for short texts), becomes a probability by a
-logistic fit on further labelled texts that neither dictionary has seen.
+logistic fit on further labelled texts that neither dictionary has seen. Long
+texts are compressed in pieces, each against the dictionaries anew, so that
+every part of a text counts alike.
 
 The fit uses a bounded sample of labelled rows (``DICTIONARY_ROWS`` a class,
 ``CALIBRATION_ROWS`` more, in hash order, none above ``SAMPLE_BYTES``); its
@@ -26,6 +28,8 @@ DICTIONARY_BYTES = 512 << 10
 DICTIONARY_ROWS = 2500
 CALIBRATION_ROWS = 4000
 SAMPLE_BYTES = 64 << 10
+#: A piece has at most so many bytes: far less than the compressor's window, beyond which no dictionary is seen.
+PIECE_BYTES = 64 << 10
 LEVEL = 3
 SEGMENT, DMER = 1000, 8
 #: Differences of this size count in full; larger ones by their logarithm, so that outliers don't steer the fit.
@@ -60,8 +64,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _difference(compressors: list[zstandard.ZstdCompressor], text: bytes) -> float:
-    good, bad = (len(c.compress(text)) for c in compressors)
+def _pieces(text: bytes | pa.Buffer) -> Iterator[memoryview]:
+    """The whole text in pieces, cut behind the last white space that fits (or at full size, if there is none)."""
+    view, at = memoryview(text), 0
+    while len(view) - at > PIECE_BYTES:
+        piece = bytes(view[at:at + PIECE_BYTES])
+        size = max(piece.rfind(c) for c in (b" ", b"\n", b"\t", b"\r")) + 1 or PIECE_BYTES
+        yield view[at:at + size]
+        at += size
+    yield view[at:]
+
+
+def _difference(compressors: list[zstandard.ZstdCompressor], text: bytes | pa.Buffer) -> float:
+    good = bad = 0
+    for piece in _pieces(text):
+        good += len(compressors[0].compress(piece))
+        bad += len(compressors[1].compress(piece))
     return float(np.arcsinh((bad - good) / (len(text) + DAMPING) / UNIT))
 
 

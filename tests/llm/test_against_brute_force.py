@@ -378,3 +378,22 @@ def test_quality_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert sum(a == b for a, b in held) >= 0.93 * len(held)
+
+
+def test_every_part_of_a_long_text_counts():
+    """Texts far beyond the compressor's window score like their parts, wherever these stand."""
+    from paymatch.llm import quality
+    r = random.Random(6)
+    words = {v: [f"{v}{r.randrange(10 ** 6)}" for _ in range(3000)] for v in ("good", "bad")}
+    text = lambda v, size: " ".join(r.choice(words[v]) for _ in range(size // 9)).encode()
+    model = quality.Model(*(quality._dictionary([text(v, 2000) for _ in range(300)]) for v in ("good", "bad")), 1.0, 0.0)
+    compressors = model.compressors()
+    x = lambda t: quality._difference(compressors, t)
+    good, bad = text("good", 4 << 20), text("bad", 4 << 20)
+    for part in (good, bad):
+        assert abs(x(part * 3) - x(part[:60_000])) < 0.2
+    assert x(good) > 1 and x(bad) < -1
+    assert abs(x(good + b" " + bad) - x(bad + b" " + good)) < 0.05
+    assert x(good + b" " + bad * 3) < -0.5
+    solid = b"x" * 200_000
+    assert b"".join(quality._pieces(solid)) == solid and b"".join(quality._pieces(good)) == good
