@@ -7,7 +7,8 @@ its nearest forward and reverse neighbours together, and each keeps the nearest
 it has met. A query starts at its nearest pivots (and at itself, if it is a
 node) and expands its best open nodes, step by step for all queries at once,
 until its ``BEAM`` best nodes are all expanded. On the way vectors travel with
-eight bits a component; the result is scored in double on the original vectors.
+all their digits (float32 where the input is, else double), so that the members
+of a dense cluster are told apart; the result is scored in double.
 """
 
 from __future__ import annotations
@@ -63,27 +64,29 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[
         yield tuple(held[0].column(i)[0].as_py() for i in range(keys)), pa.Table.from_batches(held)
 
 
-def _packed(vectors: np.ndarray) -> list[bytes]:
-    """Each vector as its largest absolute component (float64) and int8 shares of it."""
-    scale = np.abs(vectors).max(1, keepdims=True)
-    shares = np.rint(vectors / scale * 127).astype(np.int8)
-    return [a.tobytes() + b.tobytes() for a, b in zip(scale, shares)]
+def _packed(vectors: np.ndarray, width: int) -> list[bytes]:
+    """Each vector as one byte ``width`` and its components in so many bytes."""
+    mark = bytes([width])
+    return [mark + row.tobytes() for row in vectors.astype(np.float32 if width == 4 else np.float64)]
 
 
 def _vectors(column: pa.ChunkedArray | pa.Array | list[bytes]) -> np.ndarray:
     packed = column if isinstance(column, list) else column.to_pylist()
     if not packed:
-        return np.zeros((0, 1), np.float32)
+        return np.zeros((0, 1))
     raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
-    scale = raw[:, :8].copy().view(np.float64) / 127
-    return raw[:, 8:].view(np.int8).astype(np.float32) * scale.astype(np.float32)
+    return raw[:, 1:].copy().view(np.float32 if raw[0, 0] == 4 else np.float64).astype(np.float64)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances; centred first, so that a common offset costs no digits."""
     middle = b.mean(0)
     a, b = a - middle, b - middle
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
+    gaps = a @ b.T
+    gaps *= -2
+    gaps += (a * a).sum(1)[:, None]
+    gaps += (b * b).sum(1)[None, :]
+    return np.maximum(gaps, 0, out=gaps)
 
 
 def _nearest(ids: np.ndarray, vectors: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,13 +157,15 @@ def _cells(pivots: tuple[np.ndarray, np.ndarray], keep: int) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gaps = _distances(_vectors(batch.column(1)), places)
-            near = np.argpartition(gaps, count - 1, axis=1)[:, :count]
-            for j in range(count):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[near[:, j]], pa.int64()), batch.column(0), batch.column(1),
-                     pa.array(np.take_along_axis(gaps, near[:, j:j + 1], 1)[:, 0], pa.float32())],
-                    ["cell", "node", "vector", "gap"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                gaps = _distances(_vectors(part.column(1)), places)
+                near = np.argpartition(gaps, count - 1, axis=1)[:, :count]
+                for j in range(count):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[near[:, j]], pa.int64()), part.column(0), part.column(1),
+                         pa.array(np.take_along_axis(gaps, near[:, j:j + 1], 1)[:, 0], pa.float32())],
+                        ["cell", "node", "vector", "gap"])
 
     return run
 
@@ -182,6 +187,7 @@ def nodes_of(embeddings: DataFrame, copies: int) -> DataFrame:
     the most frequent length or has a null or non-finite component are left
     out. Repeated rows count once.
     """
+    width = 4 if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else 8
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"),
                              F.col("embedding").cast("array<double>").alias("exact"))
     rows = rows.where(F.col("vec_id").isNotNull() & (F.size("exact") > 0) & _proper(F.col("exact")))
@@ -191,16 +197,19 @@ def nodes_of(embeddings: DataFrame, copies: int) -> DataFrame:
     first = rows.withColumn("place", place).where(F.col("place") <= copies)
     found = first.groupBy("exact").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     packed = found.select(F.get("ids", F.lit(0)).alias("node"), "ids", "exact")
-    return packed.mapInArrow(_pack, "node long, vector binary, exact array<double>, ids array<long>")
+    return packed.mapInArrow(_pack(width), "node long, vector binary, exact array<double>, ids array<long>")
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        exact = batch.column(2)
-        if batch.num_rows:
-            flat = np.asarray(exact.flatten(), np.float64).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_packed(flat), pa.binary()), exact,
-                                              batch.column(1)], ["node", "vector", "exact", "ids"])
+def _pack(width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            exact = batch.column(2)
+            if batch.num_rows:
+                flat = np.asarray(exact.flatten(), np.float64).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_packed(flat, width), pa.binary()), exact,
+                                                  batch.column(1)], ["node", "vector", "exact", "ids"])
+
+    return run
 
 
 def _sample(nodes: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:

@@ -320,6 +320,24 @@ def test_nearest_with_many_equal_vectors(spark):
         assert got == [(k + 1, v, 0.0) for k, v in enumerate([i for i in range(12) if i != q][:10])]
 
 
+def test_nearest_in_a_dense_cluster(spark):
+    """Near copies whose differences are far below a hundredth of the components."""
+    from pyspark.sql import functions as F
+    r = np.random.default_rng(11)
+    center = r.normal(size=16)
+    data = np.concatenate([center + 1e-3 * r.normal(size=(2000, 16)), r.normal(size=(1000, 16))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    found: dict = {}
+    for x in nn_descent.nearest(table, F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(x.query_id, set()).add(x.vec_id)
+    hits = 0
+    for q, got in found.items():
+        gaps = ((data - data[q]) ** 2).sum(1)
+        hits += len(got & {int(i) for i in np.argsort(gaps)[1:11]})
+    print("recall", hits / (10 * len(found)))
+    assert hits >= 0.95 * 10 * len(found) and len(found) == 30
+
+
 def plain_leak(doc, item):
     """Best stretch along any diagonal that shares a mask hit."""
     best, n = 0, len(item)
