@@ -2,9 +2,10 @@
 
 Equal vectors become one node (with the smallest ids that a top-k list can
 need). The graph starts from brute force inside small cells around sampled
-pivots and is refined by joins of neighbours of neighbours: every node brings
+pivots (crowded cells are split again around pivots of their own, until all are
+small) and is refined by joins of neighbours of neighbours: every node brings
 its nearest forward and reverse neighbours together, and each keeps the nearest
-it has met. A query starts at its nearest pivots (and at itself, if it is a
+it has met, until few entries change. A query starts at its nearest pivots (and at itself, if it is a
 node) and expands its best open nodes, step by step for all queries at once,
 until its ``BEAM`` best nodes are all expanded. On the way vectors travel with
 all their digits (float32 where the input is, else double), so that the members
@@ -23,13 +24,18 @@ from pyspark.sql import functions as F
 from paymatch.llm.store import drop, save
 
 NEIGHBOURS = 20
-ROUNDS = 2
+#: Rounds go on until at most this share of the neighbour entries is new.
+DELTA = 0.02
 #: Sampled pivots: one for so many nodes, up to a bound (the only part that reaches the driver).
 NODES_PER_PIVOT = 64
 MOST_PIVOTS = 4096
-#: Each node joins the cells of so many nearest pivots; a larger cell is dealt in parts of this size.
+#: Each node joins the cells of so many nearest pivots; a cell above CELL rows is split around pivots of its own, one
+#: for so many rows (at most SPLIT at a time), by tasks that see CHUNK of its rows.
 CELLS = 12
 CELL = 2048
+ROWS_PER_SPLIT = 512
+SPLIT = 128
+CHUNK = 16384
 ENTRIES = 16
 BEAM = 224
 EXPAND = 72
@@ -223,21 +229,89 @@ def _regroup(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(count, *keys).sortWithinPartitions(*keys)
 
 
-def build_graph(nodes: DataFrame, pivots: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> DataFrame:
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (cell, chunk, kind, node, vector), kind 0: the cell's own pivots, to its rows with their new cells.
+
+    Each row goes to its nearest pivot; equal distances are dealt by hash, so a split always makes a cell smaller.
+    """
+    for (cell, _), table in _groups(batches, 2):
+        kinds = np.asarray(table.column(2))
+        pivots = table.filter(pa.array(kinds == 0))
+        rows = table.filter(pa.array(kinds == 1)).combine_chunks()
+        names, first = np.unique(np.asarray(pivots.column(3)), return_index=True)
+        places = _vectors(pivots.column(4))[first]
+        mixed = names.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) + np.uint64(cell & (1 << 64) - 1)
+        mixed = mixed * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(29)
+        for batch in rows.to_batches(max_chunksize=1024):
+            nodes = np.asarray(batch.column(3))
+            gaps = _distances(_vectors(batch.column(4)), places)
+            gaps[nodes[:, None] == names[None, :]] = -1
+            dealt = (nodes.astype(np.uint64)[:, None] * np.uint64(0xBF58476D1CE4E5B9)) ^ mixed[None, :]
+            dealt = (dealt ^ (dealt >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(1)
+            near = np.where(gaps == gaps.min(1, keepdims=True), dealt, np.uint64(0xFFFFFFFFFFFFFFFF)).argmin(1)
+            yield pa.RecordBatch.from_arrays([pa.array(mixed[near].view(np.int64), pa.int64()), batch.column(3),
+                                              batch.column(4)], ["cell", "node", "vector"])
+
+
+def _small_cells(cells: DataFrame) -> list[DataFrame]:
+    """All of ``cells`` (cell, node, vector) as saved tables whose cells have at most ``CELL`` rows each."""
+    done: list[DataFrame] = []
+    while True:
+        crowded = save(cells.groupBy(F.col("cell").alias("at")).agg(F.count("*").alias("n"))
+                       .where(F.col("n") > CELL), "crowded")
+        if not crowded.limit(1).count():
+            drop(crowded)
+            return [*done, cells]
+        done.append(save(cells.join(crowded, F.col("cell") == F.col("at"), "left_anti"), "cells"))
+        wide = save(cells.join(crowded, F.col("cell") == F.col("at")).select("cell", "node", "vector", "n"), "wide")
+        drop(cells)
+        # pivots: about as many as wanted by hash, and always the two first nodes
+        wanted = F.least(F.lit(SPLIT), F.ceil(F.col("n") / ROWS_PER_SPLIT))
+        lot = F.pmod(F.xxhash64("node", "cell", F.lit("split")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        ends = wide.groupBy(F.col("cell").alias("at")).agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        chosen = (wide.join(ends, F.col("cell") == F.col("at"))
+                  .where((lot < wanted / F.col("n")) | F.col("node").isin(F.col("low"), F.col("high"))))
+        chunks = F.ceil(F.col("n") / CHUNK).cast("long")
+        columns = ["cell", "chunk", "kind", "node", "vector"]
+        pivots = chosen.select("*", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"),
+                               F.lit(0).alias("kind")).select(*columns)
+        rows = wide.select("*", F.pmod(F.xxhash64("node"), chunks).alias("chunk"), F.lit(1).alias("kind")).select(*columns)
+        cells = save(_regroup(pivots.union(rows), "cell", "chunk")
+                     .mapInArrow(_split, "cell long, node long, vector binary"), "cells")
+        drop(wide)
+        drop(crowded)
+
+
+def build_graph(nodes: DataFrame, pivots: tuple[np.ndarray, np.ndarray], delta: float = DELTA) -> DataFrame:
     """NN-descent: (node, ids, gaps), the nearest neighbours found of every node."""
     vectors = nodes.select("node", "vector")
-    cells = save(vectors.mapInArrow(_cells(pivots, CELLS), "cell long, node long, vector binary, gap float").drop("gap"),
-                 "cells")
-    # as many rows as pivots; a crowded cell is dealt in parts by hash
-    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL).alias("parts"))
-    dealt = cells.join(F.broadcast(parts), "cell").select(
-        "cell", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "vector")
-    graph = save(_regroup(_regroup(dealt, "cell", "part").mapInArrow(_meet(2, NEIGHBOURS), _LISTS), "node")
-                 .mapInArrow(_best, _LISTS), "graph")
-    drop(cells)
-    for _ in range(rounds):
-        graph = _refine(graph, vectors)
-    return graph
+    cells = _small_cells(save(vectors.mapInArrow(_cells(pivots, CELLS), "cell long, node long, vector binary, gap float")
+                              .drop("gap"), "cells"))
+    graph = None
+    for level in cells:
+        met = _regroup(level, "cell").mapInArrow(_meet(1, NEIGHBOURS), _LISTS)
+        graph = met if graph is None else graph.union(met)
+    graph = save(_regroup(graph, "node").mapInArrow(_best, _LISTS), "graph")
+    for level in cells:
+        drop(level)
+    while True:
+        better = _refine(graph, vectors)
+        share = _changed(graph, better)
+        drop(graph)
+        graph = better
+        if share <= delta:
+            return graph
+
+
+def _changed(graph: DataFrame, better: DataFrame) -> float:
+    """Share of the neighbour entries of ``better`` that ``graph`` has not."""
+    before = graph.select(F.col("node").alias("at"), F.col("ids").alias("had"))
+    both = better.select("node", "ids").join(before, F.col("node") == F.col("at"), "left")
+    new = F.coalesce(F.size(F.array_except("ids", "had")), F.size("ids"))
+    row = both.agg(F.sum(new).alias("new"), F.sum(F.size("ids")).alias("all")).first()
+    return row["new"] / row["all"] if row["all"] else 0.0
 
 
 def _both_ways(graph: DataFrame) -> DataFrame:
@@ -258,7 +332,6 @@ def _refine(graph: DataFrame, vectors: DataFrame) -> DataFrame:
     met = _regroup(brought, "center").mapInArrow(_meet(1, PROPOSED), _LISTS)
     better = save(_regroup(met.union(graph), "node").mapInArrow(_best, _LISTS), "graph")
     drop(pairs)
-    drop(graph)
     return better
 
 

@@ -338,6 +338,30 @@ def test_nearest_in_a_dense_cluster(spark):
     assert hits >= 0.95 * 10 * len(found) and len(found) == 30
 
 
+def test_crowded_cells_are_split_around_near_pivots(spark, monkeypatch):
+    """Few pivots for many nodes, as above the bound on pivots: the nearest still meet, and no cell stays crowded."""
+    monkeypatch.setattr(nn_descent, "CELL", 64)
+    monkeypatch.setattr(nn_descent, "ROWS_PER_SPLIT", 32)
+    monkeypatch.setattr(nn_descent, "CHUNK", 500)
+    r = np.random.default_rng(12)
+    data = r.normal(size=(3000, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    nodes = nn_descent.save(nn_descent.nodes_of(table, 11), "vectors")
+    pivots = nn_descent._sample(nodes, 4)
+    # every vector is in the one cell of all nodes
+    one = nodes.selectExpr("0L AS cell", "node", "vector")
+    levels = nn_descent._small_cells(nn_descent.save(one, "cells"))
+    sizes = [x["count"] for level in levels for x in level.groupBy("cell").count().collect()]
+    assert max(sizes) <= 64 and sum(sizes) == 3000
+    graph = {x.node: set(x.ids[:10]) for x in nn_descent.build_graph(nodes, pivots).where("node % 50 = 0").collect()}
+    hits = 0
+    for q, got in graph.items():
+        gaps = ((data - data[q]) ** 2).sum(1)
+        hits += len(got & {int(i) for i in np.argsort(gaps)[1:11]})
+    print("graph recall", hits / (10 * len(graph)))
+    assert len(graph) == 60 and hits >= 0.95 * 600
+
+
 def plain_leak(doc, item):
     """Best stretch along any diagonal that shares a mask hit."""
     best, n = 0, len(item)
