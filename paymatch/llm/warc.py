@@ -31,7 +31,6 @@ DATE = "2024-01-01T00:00:00Z"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _END = b"\r\n\r\n"
-_HEADER_BYTES = 1 << 16
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORDS = ("archive string, start long, stop long, kind string, reason string, record_type string, record_id string, "
@@ -163,8 +162,9 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Header fields, block and end of the record at ``at``, all checks made."""
     if not _VERSION.match(data, at):
         raise Damaged("no version line")
-    top = data.find(_END, at, at + _HEADER_BYTES)
-    if top < 0:
+    # a header of any length, but never into the next record
+    top, later = data.find(_END, at), _VERSION.search(data, at + 1)
+    if top < 0 or later and later.start() < top:
         raise Damaged("no end of header")
     fields: dict[str, str] = {}
     for line in data[at:top].split(b"\r\n")[1:]:
@@ -245,7 +245,9 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}", text) else None
+    """A number in the range of a long, else none."""
+    number = int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return number if number is not None and -1 << 63 <= number < 1 << 63 else None
 
 
 def _row(archive: str, item: Record | tuple[int, int, str], keep_payload: bool) -> dict:

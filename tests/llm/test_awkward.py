@@ -143,6 +143,17 @@ def test_warc(spark):
     assert warc.write_archives(rows.where("false"), nothing).count() == 0
 
 
+def test_warc_large_ids_and_long_urls(spark):
+    page = "<p>" + "x" * 200 + "</p>"
+    ids = [10 ** 18, 2 ** 63 - 1, -2 ** 63, 7]
+    rows = spark.createDataFrame([(i, "http://a/" + "u" * n, page + str(k // 2)) for k, (i, n) in
+                                  enumerate(zip(ids, (1, 70_000, 200_000, 10)))], "page_id long, url string, html string")
+    found = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(rows).collect()}
+    assert found == {10 ** 18: ("response", None), 2 ** 63 - 1: ("revisit", 10 ** 18),
+                     -2 ** 63: ("response", None), 7: ("revisit", -2 ** 63)}
+    assert warc._number(str(2 ** 63)) is None
+
+
 def test_nearest(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], None), (3, None, 1), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1),
