@@ -10,7 +10,11 @@ meet in pairs. One representative per distinct set then goes through:
    cut again at the next depth until it fits (adaptive depth). Rows equal over
    the whole label are taken in overlapping stretches. Within a region,
    documents whose signatures agree in ``ESTIMATE`` of all values are
-   candidates; only a spanning forest of them leaves the task.
+   candidates; only a spanning forest of them leaves the task. Rows of a
+   region that was cut, or that may go on in another task, are marked and meet
+   again in whole regions of further trees, as many as the depth needs for a
+   miss chance of ``MISS``; those of crowded regions at the next depth. At the
+   last depth a crowded region is one candidate component as a whole.
 2. *Confirmation.* Candidate components (a superset of the true ones) receive
    the whole texts once; links are confirmed on full sets. A large component
    is dealt in blocks, each pair of blocks being one group of bounded weight.
@@ -18,12 +22,14 @@ meet in pairs. One representative per distinct set then goes through:
 3. Connected components of the confirmed links are the classes.
 
 With 10 trees at depth 2, a pair at similarity 0.85 shares no region with
-chance (1 - 0.85^2)^10 = 3e-6.
+chance (1 - 0.85^2)^10 = 3e-6; each further depth adds at most ``MISS`` for the
+pairs that get there.
 """
 
 from __future__ import annotations
 
 import hashlib
+from math import comb
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paymatch.llm.components import components
+from paymatch.llm.nn_descent import _groups
 from paymatch.llm.store import drop, save
 from paymatch.llm.words import shingle_sets
 
@@ -40,6 +47,9 @@ TREES = 10
 DEPTH = 12
 MIN_DEPTH = 2
 REGION = 2048
+#: Depths of the further trees, and the chance that a pair at 0.85 shares none of their regions.
+FURTHER = (2, 4, 8)
+MISS = 1e-5
 ESTIMATE = 0.68
 GROUP_DOCS = 1024
 GROUP_SHINGLES = 1_000_000
@@ -158,8 +168,9 @@ def _regions(shared: np.ndarray, a: int, b: int, depth: int) -> Iterator[tuple[i
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (tree, label, node, brief) rows to candidate edges (a, b)."""
     kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    opened = True  # the next region may have begun elsewhere
 
-    def emit(rows) -> pa.RecordBatch:
+    def emit(rows, last: bool = False) -> pa.RecordBatch:
         label, node, brief = (np.concatenate(x) for x in zip(*rows))
         shared = np.zeros(len(node), np.int64)
         differ = label[1:] != label[:-1]
@@ -167,6 +178,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = []
         for x, y in _regions(shared, 0, len(node), MIN_DEPTH):
             edges += _close(node[x:y], brief[x:y])
+        # regions that are not whole here are marked: (node, null)
+        cuts = [0, *np.flatnonzero(shared[1:] < MIN_DEPTH) + 1, len(node)]
+        for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if y - x > REGION or (i == 0 and opened) or (last and y == len(node)):
+                edges += [(int(n), None) for n in node[x:y]]
         a, b = zip(*edges) if edges else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -187,12 +203,79 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done = [*kept[:-1], tuple(x[:cut] for x in kept[-1])]
             kept = [tuple(x[cut:] for x in kept[-1])]
             yield emit(done)
+            opened = False
         elif sum(len(k[1]) for k in kept) > 16 * REGION:
             # a very long stretch goes on in parts that share half a region
             yield emit(kept)
+            opened = True
             kept = [tuple(x[-REGION // 2:] for x in kept[-1])]
     if kept:
-        yield emit(kept)
+        yield emit(kept, last=True)
+
+
+def _trees(depth: int) -> int:
+    """Trees of ``depth`` values each, drawn from one signature, that miss a pair at 0.85 with chance ``MISS`` at most."""
+    n = PERMUTATIONS
+    chance = [comb(n, k) * 0.85 ** k * 0.15 ** (n - k) for k in range(n + 1)]
+    trees = 1
+    while sum(c * (1 - comb(k, depth) / comb(n, depth)) ** trees for k, c in enumerate(chance)) > MISS:
+        trees += 1
+    return trees
+
+
+def _keyed(depth: int):
+    """(node, signature) to one row per further tree: (region, node, brief)."""
+    draw = np.random.Generator(np.random.PCG64(100 + depth))
+    choices = [draw.permutation(PERMUTATIONS)[:depth] for _ in range(_trees(depth))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sign = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
+            brief = pa.array([row.tobytes() for row in sign.astype(np.uint8)], pa.binary())
+            for tree, places in enumerate(choices):
+                key = np.full(len(sign), tree + 1, np.uint64) * _MULTIPLY[0]
+                for p in places:
+                    key = (key ^ sign[:, p]) * _MULTIPLY[1]
+                    key ^= key >> np.uint64(29)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), brief],
+                                                 ["region", "node", "brief"])
+
+    return run
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (region, node, brief) rows, regions of bounded size, to candidate edges (a, b)."""
+    for _, table in _groups(batches):
+        brief = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
+        edges = _close(np.asarray(table.column(1)), brief)
+        a, b = zip(*edges) if edges else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _further(one: DataFrame, marked: DataFrame, partitions: int) -> list[DataFrame]:
+    """Candidate edges among the marked nodes from whole regions of further trees, as saved tables."""
+    found: list[DataFrame] = []
+    for depth in FURTHER:
+        rows = one.join(marked, F.col("node") == F.col("at")).select("node", "signature")
+        labels = save(rows.mapInArrow(_keyed(depth), "region long, node long, brief binary"), "labels")
+        crowded = save(labels.groupBy(F.col("region").alias("hot")).agg(F.count("*").alias("n"), F.min("node").alias("least"))
+                       .where(F.col("n") > REGION), "crowded")
+        # one of so many rows at most
+        small = labels.join(F.broadcast(crowded), F.col("region") == F.col("hot"), "left_anti")
+        found.append(save(small.repartition(partitions, "region").sortWithinPartitions("region", "node")
+                          .mapInArrow(_within, "a long, b long"), "further"))
+        hot = labels.join(F.broadcast(crowded), F.col("region") == F.col("hot"))
+        marked = save(hot.select(F.col("node").alias("at"), "least").distinct(), "marked")
+        if not marked.limit(1).count():
+            break
+        if depth == FURTHER[-1]:
+            found.append(marked.where("at != least").select(F.col("at").alias("a"), F.col("least").alias("b")))
+        else:
+            marked = marked.select("at").distinct()
+        drop(labels)
+    return found
 
 
 def _confirm(percent: int):
@@ -261,15 +344,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # one representative row per distinct set: the smallest doc_id
     reps = save(table.where("node is not null").groupBy("node")
                 .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("weight")), "nodes")
-    one = (table.where("node is not null").alias("t")
+    one = save(table.where("node is not null").alias("t")
            .join(reps.alias("r").hint("merge"), (F.col("t.node") == F.col("r.node")) & F.col("t.doc_id").eqNullSafe(F.col("r.rep")))
-           .select("t.node", "t.signature"))
+           .select("t.node", "t.signature").dropDuplicates(["node"]), "representatives")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = (one.mapInArrow(_labels, "tree int, label binary, node long, brief binary")
                    .repartitionByRange(partitions, "tree", "label", "node")
                    .sortWithinPartitions("tree", "label", "node"))
     candidates = save(sorted_rows.mapInArrow(_candidates, "a long, b long"), "candidates")
-    cluster = components(candidates)
+    edges = candidates.where("b is not null")
+    for more in _further(one, candidates.where("b is null").select(F.col("a").alias("at")).distinct(), partitions):
+        edges = edges.union(more)
+    cluster = components(edges)
     links = _confirmed(rows, reps, cluster, percent, partitions)
     label = components(links)
     for used in (candidates, links):

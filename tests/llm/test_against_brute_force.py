@@ -94,6 +94,28 @@ def test_regions_are_cut_deeper_and_whole_labels_overlap(monkeypatch):
     assert set(range(7)) <= covered and {9, 10, 11, 12} <= covered | {8, 9}
 
 
+def test_near_dups_in_crowded_and_cut_regions(spark, monkeypatch):
+    """Texts on one template, linked in pairs alone: regions far above the bound, cut between tasks too."""
+    from paymatch.llm import near_dups
+    monkeypatch.setattr(near_dups, "REGION", 8)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for p in range(10, 200, 20):
+            words[p] = f"p{i}x{p}"
+        rows.append((2 * i + 1, " ".join(words)))
+        for p in r.sample(range(0, 200, 20), 2):
+            words[p] = f"q{i}x{p}"
+        rows.append((2 * i + 2, " ".join(words)))
+    found = {x.doc_id: (x.n_shingles, x.component_id)
+             for x in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    expected = brute_classes(rows)
+    print("wrong rows", sum(found[i] != expected[i] for i in expected), "classes", len({c for _, c in expected.values()}))
+    assert found == expected
+
+
 def test_shards(spark, documents):
     rows = {r.doc_id: r for r in run(spark, "op1_sharding").collect()}
     assert len(rows) == len(documents)
