@@ -116,6 +116,19 @@ def test_near_dups_in_crowded_and_cut_regions(spark, monkeypatch):
     assert found == expected
 
 
+def test_rows_of_regions_cut_between_tasks_are_marked():
+    import pyarrow as pa
+    from paymatch.llm import near_dups
+    sign = np.ones((1, 128), np.uint32).tobytes()
+    marked = set()
+    for node in (1, 2):  # two equal signatures, each in a task of its own
+        batch = pa.RecordBatch.from_pydict({"node": [node], "signature": [sign]})
+        rows = list(near_dups._labels(iter([batch])))
+        for out in near_dups._candidates(iter(rows)):
+            marked |= {a for a, b in zip(*(c.to_pylist() for c in out.columns)) if b is None}
+    assert marked == {1, 2}
+
+
 def test_shards(spark, documents):
     rows = {r.doc_id: r for r in run(spark, "op1_sharding").collect()}
     assert len(rows) == len(documents)
