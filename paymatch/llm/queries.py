@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: each applies its operator to whole tables."""
+"""Registered queries of the thirteen operators: each applies its operator to whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paymatch.llm import decontaminate, licenses, line_dedup, mixing, near_dups, nn_descent, pii_crf, quality, sharding, warc
+from paymatch.llm import (conversations, decontaminate, licenses, line_dedup, merkle, mixing, near_dups, nn_descent, pieces,
+                          pii_crf, quality, sharding, warc)
+
+#: Model file of the tokenizer that op13 applies, among those of the ``public_tokenizers`` module.
+PIECES = "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -83,6 +87,39 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    changed = F.when(tampered, merkle.leaf_of(merkle.lowered(F.col("text"))))
+    manifest = merkle.build(docs, {"changed": changed})
+    return merkle.verify(manifest, manifest.leaves)
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    fixed = conversations.repair(conversations.damage(rows))
+    summary = fixed.summary.withColumnRenamed("conv_id", "_summed")
+    digests = conversations.digests(fixed.turns).withColumnRenamed("conv_id", "_hashed")
+    ids = rows.select("conv_id").distinct()
+    found = (ids.join(summary, F.col("conv_id").eqNullSafe(F.col("_summed")), "left")
+             .join(digests, F.col("conv_id").eqNullSafe(F.col("_hashed")), "left"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (
+        "gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = pieces.Model(public_tokenizers.path(PIECES))
+    encoded = pieces.encode(_read(spark, sf_dir, "documents"), model, ["doc_id"])
+    decoded = pieces.decode(encoded, model, ["doc_id", "ids", "spans"])
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                          F.sha2("spans", 256).alias("spans_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
