@@ -1,5 +1,5 @@
-"""Training-data pipeline operators: ten DataFrame operators on documents,
-web pages and embeddings. Nothing else in the library imports this package.
+"""Training-data pipeline operators: thirteen DataFrame operators on documents,
+web pages, conversations and embeddings. Nothing else in the library imports this package.
 
 Functions that run inside tasks are shipped by value, so executors need no
 copy of this package.

@@ -235,9 +235,11 @@ class Repair:
     turns: DataFrame
 
 
-def same_of(role: Column, text: Column) -> Column:
-    """Digest of a turn's role and text."""
-    return F.unhex(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256))
+def same_of(conv_id: Column, role: Column, text: Column) -> Column:
+    """Digest of a turn's conversation, role and text."""
+    conv = F.coalesce(conv_id.cast("string"), F.lit("-"))
+    sizes = [F.octet_length(c).cast("string") for c in (conv, role)]
+    return F.unhex(F.sha2(F.concat(F.concat_ws(":", conv_id.isNull().cast("string"), *sizes, conv), role, text), 256))
 
 
 def repair(rows: DataFrame) -> Repair:
@@ -254,13 +256,13 @@ def repair(rows: DataFrame) -> Repair:
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("role", "text"))
     end = F.rtrim(text, F.lit(SPACE))
     named = rows.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"),
-                        end.alias("end")).withColumn("same", same_of(F.col("role"), F.col("text")))
+                        end.alias("end")).withColumn("same", same_of(*map(F.col, ("conv_id", "role", "text"))))
     fault = F.when(F.col("end") == "", BLANK).when(~F.substring("end", -1, 1).isin(".", "!", "?"), CUT_SHORT).otherwise(0)
     narrow = named.select("conv_id", "turn", "role", "same", fault.alias("fault"))
     ordered = in_order(narrow, ["conv_id", "turn", "role", "same"], "turns")
     # blocks of about the square root of all rows
     bits = max(_LEAST_BITS, (isqrt(ordered.count()) - 1).bit_length())
-    first = ordered.groupBy("conv_id", "same").agg(F.min("place").alias("at")).select("at")
+    first = ordered.groupBy("same").agg(F.min("place").alias("at")).select("at")
     start = F.substring("role", 1, 1)
     initial = F.when(start == "s", 0).when(start == "u", 1).when(start == "a", 2).otherwise(3)
     seen = (F.col("fault") != BLANK) & F.col("at").isNull()
@@ -317,10 +319,9 @@ def _summary(coded: DataFrame, points: DataFrame, chosen: DataFrame) -> DataFram
 
 
 def _turns(items: DataFrame, named: DataFrame) -> DataFrame:
-    texts = (named.select(F.col("conv_id").alias("_conv"), F.col("same").alias("_same"), "text")
-             .groupBy("_conv", "_same").agg(F.first("text").alias("text")))
-    kept = items.where("same is not null").join(texts, F.col("conv_id").eqNullSafe(F.col("_conv"))
-                                                & (F.col("same") == F.col("_same")))
+    # the join takes the partitioning of the aggregation: texts are shuffled once
+    texts = named.groupBy(F.col("same").alias("_same")).agg(F.first("text").alias("text"))
+    kept = items.where("same is not null").join(texts, F.col("same") == F.col("_same"))
     columns = ["conv_id", "place", "step", "edit", "role", "text"]
     inserted = items.where("same is null").withColumn("text", F.lit(""))
     return kept.select(*columns).unionByName(inserted.select(*columns))

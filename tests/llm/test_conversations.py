@@ -66,8 +66,10 @@ def brute(rows):
         convs[conv].append((turn, role, text))
     out = {}
     for conv, turns in convs.items():
+        name = "-" if conv is None else str(conv)
+        key = f"{str(conv is None).lower()}:{len(name)}"
         turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1], hashlib.sha256(
-            f"{len(t[1].encode())}:{t[1]}{t[2]}".encode()).digest()))
+            f"{key}:{len(t[1].encode())}:{name}{t[1]}{t[2]}".encode()).digest()))
         faults, (cost, audit, lines) = cheapest([t[1:] for t in turns])
         known = [t[0] for t in turns if t[0] is not None]
         gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
