@@ -23,10 +23,11 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import chain
+from math import inf
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +38,9 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
 #: Stretches up to so many characters are remembered, so many at a time.
 _SHORT = 64
-_REMEMBERED = 500_000
-#: Bytes of ids and spans held before a batch is handed on.
-_BATCH = 8 << 20
+_REMEMBERED = 200_000
+#: Bytes of texts or ids that are worked on together (a longer one alone).
+_BATCH = 1 << 20
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -161,7 +162,7 @@ class Model:
         self.map = CharacterMap(normalizer.get(2, b""))
         self.dummy, self.squeeze, self.escape = (bool(normalizer.get(k, 1)) for k in (3, 4, 5))
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
-        self.scores = {p: s for p, s, kind in pieces if kind == NORMAL}
+        self.costs = {p: -s for p, s, kind in pieces if kind == NORMAL}
         self.byte_ids = [0] * 256
         self.id_bytes = np.full(len(pieces), -1, np.int32)
         for i, (p, _, kind) in enumerate(pieces):
@@ -174,10 +175,10 @@ class Model:
         # a word's mark never follows another character inside a piece: words are apart
         apart = not any(b == MARK and a != MARK for a, b in self.pairs)
         self.stretch = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if apart else r"[\s\S]+")
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, bytes] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("merges", "surfaces")} | {"_known": {}}
 
     # normalisation
 
@@ -240,16 +241,25 @@ class Model:
         A character that no piece holds becomes its bytes: the last of these ids spans it, the ones
         before are empty spans at its start.
         """
-        plain, starts = self.normalize(text)
+        return next(self.encode_many([text]))
+
+    def encode_many(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`encode` of each text; stretches that are new to all of them are merged together."""
+        plain = [self.normalize(t) for t in texts]
+        parts = [self.stretch.findall(p) for p, _ in plain]
         known = self._known
-        out = []
-        for part in self.stretch.findall(plain):
-            ids = known.get(part)
-            if ids is None:
-                ids = self._merged(part)
-            out.append(ids)
-        ids = np.fromiter(chain.from_iterable(out), np.uint32)
-        return ids, self._spans(ids, starts)
+        new = set().union(*parts).difference(known)
+        if len(known) + len(new) > _REMEMBERED:
+            known.clear()
+            new = set().union(*parts)
+        known.update(self._merge_all([p for p in new if len(p) <= _SHORT]))
+        long = {p: self.merged(p) for p in new if len(p) > _SHORT}
+        known.update(long)
+        for (_, starts), found in zip(plain, parts):
+            ids = np.frombuffer(b"".join(map(known.__getitem__, found)), "<u4")
+            yield ids, self._spans(ids, starts)
+        for p in long:
+            del known[p]
 
     def _spans(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         width = self.lengths[ids]
@@ -260,47 +270,92 @@ class Model:
         end = np.cumsum(width)
         return np.stack([starts[end - width], starts[end]], 1).astype(np.int32)
 
-    def _merged(self, part: str) -> tuple[int, ...]:
-        if len(part) <= _SHORT:
-            if len(self._known) >= _REMEMBERED:
-                self._known.clear()
-            ids = self._known[part] = tuple(self._to_ids(self._merge_few(part)))
-            return ids
+    @cached_property
+    def merges(self) -> tuple[np.ndarray, ...]:
+        """Id of every character that is a piece; and, sorted, the pairs of pieces that make a piece, with its id and cost."""
+        chars = np.full(0x110000, -1, np.int64)
+        found = {}
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                chars[ord(piece)] = i
+            for k in range(1, len(piece)):
+                left, right = self.ids.get(piece[:k]), self.ids.get(piece[k:])
+                if left is not None and right is not None:
+                    found[left * len(self.pieces) + right] = i
+        keys = np.array(sorted(found), np.int64)
+        made = np.array([found[k] for k in keys.tolist()], np.int64)
+        cost = np.array([-score for _, score, _ in self.pieces])
+        # one more entry, which no pair equals
+        return chars, np.append(keys, -1), np.append(made, 0), np.append(cost[made], inf)
+
+    def _pairs_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What merging each pair makes, and its cost (infinite: no piece)."""
+        _, keys, made, cost = self.merges
+        key = left * len(self.pieces) + right
+        at = np.searchsorted(keys[:-1], key)
+        hit = (keys[at] == key) & (left >= 0) & (right >= 0)
+        return made[at], np.where(hit, cost[at], inf)
+
+    def _merge_all(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Packed ids of short stretches: in all of one length at once, merge each one's best pair (the
+        leftmost of equals) until none has any left."""
+        by_length: dict[int, list[str]] = {}
+        for p in parts:
+            by_length.setdefault(len(p), []).append(p)
+        for n, words in by_length.items():
+            points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(-1, n)
+            symbols = self.merges[0][points]
+            # a character that is no piece is kept as a negative number
+            symbols = np.where(symbols < 0, -1 - points, symbols)
+            made, cost = self._pairs_of(symbols[:, :-1], symbols[:, 1:])
+            rows = np.arange(len(words))
+            while len(rows):
+                width = symbols.shape[1]
+                if width > 1:
+                    best = cost.argmin(1)
+                    more = cost[np.arange(len(rows)), best] < inf
+                else:
+                    more = np.zeros(len(rows), bool)
+                done, ids = rows[~more].tolist(), symbols[~more]
+                raw = ids.astype("<u4").tobytes()
+                for i, r in enumerate(done):
+                    yield words[r], raw[4 * width * i:4 * width * (i + 1)]
+                for i in np.flatnonzero((ids < 0).any(1)).tolist():
+                    yield words[done[i]], self._packed(ids[i])
+                rows, symbols = rows[more], symbols[more]
+                if not len(rows):
+                    break
+                made, cost, best = made[more], cost[more], best[more]
+                every = np.arange(len(rows))
+                symbols[every, best] = made[every, best]
+                left = np.ones(symbols.shape, bool)
+                left[every, best + 1] = False
+                symbols = symbols[left].reshape(len(rows), width - 1)
+                left = np.ones(cost.shape, bool)
+                left[every, best] = False
+                made, cost = made[left].reshape(len(rows), width - 2), cost[left].reshape(len(rows), width - 2)
+                for side in (0, 1):
+                    # the pair that ends with the new piece, and the one that begins with it
+                    at = best - 1 + side
+                    has = (at >= 0) & (at < width - 2)
+                    at, row = at[has], every[has]
+                    made[row, at], cost[row, at] = self._pairs_of(symbols[row, at], symbols[row, at + 1])
+
+    def _packed(self, symbols: np.ndarray) -> bytes:
+        """Ids as packed integers; a character that is no piece (-1 - its code point) by its bytes."""
         out: list[int] = []
-        a = 0
-        for b in [*(i for i in range(1, len(part)) if part[i - 1:i + 1] not in self.pairs), len(part)]:
-            out += self._to_ids((self._merge_few if b - a <= _SHORT else self._merge_many)(part[a:b]))
-            a = b
-        return tuple(out)
-
-    def _to_ids(self, symbols: list[str]) -> Iterator[int]:
-        for s in symbols:
-            i = self.ids.get(s)
-            if i is None:
-                yield from (self.byte_ids[b] for b in s.encode())
-            else:
-                yield i
-
-    def _merge_few(self, part: str) -> list[str]:
-        """Merge the best pair (the leftmost of equals) until none is left."""
-        symbols = list(part)
-        scores = self.scores
-        rank = [scores.get(a + b) for a, b in zip(symbols, symbols[1:])]
-        while True:
-            best = None
-            for i, r in enumerate(rank):
-                if r is not None and (best is None or r > rank[best]):
-                    best = i
-            if best is None:
-                return symbols
-            symbols[best:best + 2] = [symbols[best] + symbols[best + 1]]
-            del rank[best]
-            if best < len(rank):
-                rank[best] = scores.get(symbols[best] + symbols[best + 1])
-            if best:
-                rank[best - 1] = scores.get(symbols[best - 1] + symbols[best])
-
-    def _merge_many(self, part: str) -> list[str]:
+        for s in symbols.tolist():
+            out += [s] if s >= 0 else [self.byte_ids[b] for b in chr(-1 - s).encode()]
+        return np.array(out, "<u4").tobytes()
+
+    def merged(self, part: str) -> bytes:
+        """Packed ids of a long stretch: cut where no piece goes on, then merged."""
+        cuts = [0, *(i for i in range(1, len(part)) if part[i - 1:i + 1] not in self.pairs), len(part)]
+        pieces = [part[a:b] for a, b in zip(cuts, cuts[1:])]
+        short = dict(self._merge_all(list({p for p in pieces if len(p) <= _SHORT})))
+        return b"".join(short[p] if len(p) <= _SHORT else self._merge_many(p) for p in pieces)
+
+    def _merge_many(self, part: str) -> bytes:
         """The same by a heap, for long stretches."""
         symbols: list[str | None] = list(part)
         left = list(range(-1, len(part) - 1))
@@ -310,9 +365,9 @@ class Model:
         def offer(i: int, k: int) -> None:
             if i >= 0 and k < len(symbols):
                 both = symbols[i] + symbols[k]
-                score = self.scores.get(both)
-                if score is not None:
-                    heap.append((-score, i, k, both))
+                cost = self.costs.get(both)
+                if cost is not None:
+                    heap.append((cost, i, k, both))
 
         for i in range(len(symbols) - 1):
             offer(i, i + 1)
@@ -333,23 +388,21 @@ class Model:
             del heap[held:]
             for entry in fresh:
                 heapq.heappush(heap, entry)
-        return [s for s in symbols if s is not None]
+        return self._packed(np.array([self.ids.get(s, -1 - ord(s[0])) for s in symbols if s is not None], np.int64))
 
     # decoding
 
     @cached_property
     def surfaces(self) -> list[str | None]:
-        """Text of every id but bytes (None)."""
-        shown = {NORMAL: lambda p: p.replace(MARK, " "), UNKNOWN: lambda p: self.unknown_surface,
-                 CONTROL: lambda p: "", BYTE: lambda p: None}
+        """Text of every id but bytes beyond ASCII (None)."""
+        shown = {NORMAL: lambda p: p.replace(MARK, " "), UNKNOWN: lambda p: self.unknown_surface, CONTROL: lambda p: "",
+                 BYTE: lambda p: chr(int(p[1:-1], 16)) if int(p[1:-1], 16) < 0x80 else None}
         return [shown[kind](p) for p, _, kind in self.pieces]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: control ids are silent, runs of byte ids are UTF-8 (a byte that is none: U+FFFD)."""
-        surfaces = self.surfaces
-        ids = ids.tolist()
-        out: list[str] = []
         at = 0
+        out: list[str] = []
         # the mark in front, which encoding added
         while self.dummy or self.squeeze:
             while at < len(ids) and self.pieces[ids[at]][2] == CONTROL:
@@ -361,22 +414,20 @@ class Model:
             at += 1
             if out[-1] or (piece.startswith(MARK) and not self.squeeze):
                 break
-        held = bytearray()
-        for i in ids[at:]:
-            s = surfaces[i]
-            if s is None:
-                held.append(self.id_bytes[i])
-                continue
-            if held:
-                out.append(_text_of(held))
-                held.clear()
-            out.append(s)
-        if held:
-            out.append(_text_of(held))
+        ids = ids[at:]
+        surface = self.surfaces.__getitem__
+        # runs of bytes beyond ASCII, which make characters together
+        wide = np.flatnonzero(self.id_bytes[ids] >= 0x80)
+        at = 0
+        for run in np.split(wide, np.flatnonzero(np.diff(wide) > 1) + 1) if len(wide) else ():
+            out += map(surface, ids[at:run[0]].tolist())
+            out.append(_text_of(self.id_bytes[ids[run]].astype(np.uint8).tobytes()))
+            at = int(run[-1]) + 1
+        out += map(surface, ids[at:].tolist())
         return "".join(out)
 
 
-def _text_of(raw: bytearray) -> str:
+def _text_of(raw: bytes) -> str:
     try:
         return raw.decode()
     except UnicodeDecodeError:
@@ -397,19 +448,19 @@ def _text_of(raw: bytearray) -> str:
 
 
 def _rows(names: list[str], schema: pa.Schema, kept: int, produce) -> object:
-    """A function over batches: the first ``kept`` columns as they are, and what ``produce`` makes of the next one."""
+    """A function over batches: the first ``kept`` columns as they are, and what ``produce`` makes of the next one,
+    for about so many of its bytes at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple] = []
-            begun = size = 0
-            for i, value in enumerate(batch.column(kept)):
-                found.append(produce(value.as_py()))
-                size += sum(map(len, found[-1]))
-                if size > _BATCH or i == batch.num_rows - 1:
+            values = batch.column(kept)
+            sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy().astype(np.int64)
+            filled = np.cumsum(sizes) // _BATCH
+            cuts = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    found = produce(values.slice(a, b - a).to_pylist())
                     columns = [pa.array(c, t) for c, t in zip(zip(*found), schema.types)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(k).slice(begun, len(found)) for k in range(kept)] + columns, names)
-                    begun, size, found = i + 1, 0, []
+                    yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in range(kept)] + columns, names)
 
     return run
 
@@ -425,20 +476,21 @@ def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", e
     """
     keep = [c for c in keep if c not in ("ids", "spans")]
 
-    def one(value: str | None) -> tuple:
-        ids, spans = model.encode(value or "")
-        if ends:
-            size = len((value or "").encode())
-            ids = np.concatenate([[model.bos], ids, [model.eos]])
-            spans = np.concatenate([[[0, 0]], spans, [[size, size]]])
-        ids, spans = ids.astype("<u4"), spans.astype("<i4")
-        return (ids.astype(np.int32), spans.ravel()) if arrays else (ids.tobytes(), spans.tobytes())
+    def all_of(values: list[str | None]) -> Iterator[tuple]:
+        texts = [v or "" for v in values]
+        for text, (ids, spans) in zip(texts, model.encode_many(texts)):
+            if ends:
+                size = len(text.encode())
+                ids = np.concatenate([[model.bos], ids, [model.eos]])
+                spans = np.concatenate([[[0, 0]], spans, [[size, size]]])
+            ids, spans = ids.astype("<u4"), spans.astype("<i4")
+            yield (ids.astype(np.int32), spans.ravel()) if arrays else (ids.tobytes(), spans.tobytes())
 
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string"))
     kind, arrow = ("array<int>", pa.list_(pa.int32())) if arrays else ("binary", pa.binary())
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(keep)]]
                        + [f"ids {kind}", f"spans {kind}"])
-    return rows.mapInArrow(_rows([*keep, "ids", "spans"], pa.schema([("ids", arrow), ("spans", arrow)]), len(keep), one),
+    return rows.mapInArrow(_rows([*keep, "ids", "spans"], pa.schema([("ids", arrow), ("spans", arrow)]), len(keep), all_of),
                            schema)
 
 
@@ -446,11 +498,12 @@ def decode(rows: DataFrame, model: Model, keep: list[str], ids: str = "ids") ->
     """Texts of packed ids: the columns ``keep`` and ``decoded`` (null ids: an empty text)."""
     keep = [c for c in keep if c != "decoded"]
 
-    def one(value: bytes | None) -> tuple[str]:
-        return (model.decode(np.frombuffer(value or b"", "<u4")),)
+    def all_of(values: list[bytes | None]) -> Iterator[tuple[str]]:
+        for value in values:
+            yield (model.decode(np.frombuffer(value or b"", "<u4")),)
 
     chosen = rows.select(*[F.col(c) for c in keep], F.col(ids))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:len(keep)]]
                        + ["decoded string"])
-    return chosen.mapInArrow(_rows([*keep, "decoded"], pa.schema([("decoded", pa.string())]), len(keep), one), schema)
+    return chosen.mapInArrow(_rows([*keep, "decoded"], pa.schema([("decoded", pa.string())]), len(keep), all_of), schema)
 
