@@ -10,6 +10,7 @@ shared intermediates in the cluster's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import argparse
+from decimal import Decimal
 
 from pyspark.sql import SparkSession
 
@@ -46,6 +47,10 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--on-zero-rate", default=ReconParams.on_zero_rate, choices=["null", "error"])
     ap.add_argument("--payment-check-on", default=ReconParams.payment_check_on,
                     choices=["id", "invoice_id", "none"])
+    ap.add_argument("--fuzzy-min-days", type=int, default=ReconParams.fuzzy_min_days)
+    ap.add_argument("--fuzzy-max-months", type=int, default=ReconParams.fuzzy_max_months)
+    ap.add_argument("--fuzzy-tolerance", type=Decimal, default=ReconParams.fuzzy_tolerance,
+                    help="difference of amounts that a fuzzy match lets pass")
     ap.add_argument("--strip-leading-zeros", action="store_true", help="compare invoice numbers without leading zeros")
     ap.add_argument("--reuse", default="checkpoint", choices=["cache", "checkpoint", "none"])
     ap.add_argument("--only", action="append", choices=list(OUTPUTS), help="outputs to write")
@@ -65,6 +70,8 @@ def main(argv: list[str] | None = None) -> None:
                          billing_floor=a.billing_floor, late_update_invoice=a.late_update_invoice,
                          on_zero_rate=a.on_zero_rate, strip_leading_zeros=a.strip_leading_zeros,
                          payment_check_on=None if a.payment_check_on == "none" else a.payment_check_on,
+                         fuzzy_min_days=a.fuzzy_min_days, fuzzy_max_months=a.fuzzy_max_months,
+                         fuzzy_tolerance=a.fuzzy_tolerance,
                          provider_id=None if a.provider_id < 0 else a.provider_id,
                          excluded_users=tuple(a.excluded_user) if a.excluded_user
                          else ReconParams.excluded_users)

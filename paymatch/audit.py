@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from paymatch.operators import rate_conflicts
 from paymatch.params import ReconParams
-from paymatch.plans import accounts, drilldowns, invoices, payments, processor, reconcile
+from paymatch.plans import accounts, drilldowns, invoices, matching, payments, processor, reconcile
 from paymatch.session import materialize
 from paymatch.sources import AuditSources
 
@@ -79,7 +79,7 @@ class Audit:
     @cached_property
     def payment_groups(self) -> DataFrame:
         """Payment sums of both kinds of method: one pass for C4 and C5."""
-        return self._shared(payments.payment_groups(self.src, self.p))
+        return self._shared(payments.payment_groups(payments.payment_sums(self.src, self.p), self.p))
 
     @cached_property
     def payment_groups_other(self) -> DataFrame:
@@ -100,7 +100,8 @@ class Audit:
     @cached_property
     def payments_by_method(self) -> DataFrame:
         """C4 with the payment method as a key and an output."""
-        groups = payments.payment_groups(self.src, self.p, by_method=True)
+        sums = payments.payment_sums(self.src, self.p)
+        groups = self._shared(payments.payment_groups(sums, self.p, by_method=True))
         return payments.payment_summary(payments.of_method(groups, special=False))
 
     @cached_property
@@ -163,6 +164,23 @@ class Audit:
         invoice totals it joins are at owner grain, so amounts repeat per owner."""
         return reconcile.report(self.recon_summary(by_owner))
 
+    # --- matches beyond equal invoice numbers --------------------------
+    @cached_property
+    def fuzzy_candidates(self) -> DataFrame:
+        """C1's bounds: invoices near in amount and date to rows that match none."""
+        return matching.fuzzy_candidates(self.p, self.processor_rows, self.invoice_totals)
+
+    @cached_property
+    def reference_candidates(self) -> DataFrame:
+        """Known invoices among all numbers of a description."""
+        return matching.reference_candidates(self.processor_rows, self.src.invoice)
+
+    @cached_property
+    def recon_allocated(self) -> DataFrame:
+        """C9 with each amount counted once: receipts allocated to charges."""
+        return matching.recon_allocated(self._shared(matching.charge_intervals(self.invoice_totals_by_owner)),
+                                        self._shared(matching.receipt_intervals(self.processor_rows)))
+
     # --- C11, C12 ------------------------------------------------------
     @cached_property
     def default_address(self) -> DataFrame:
@@ -259,6 +277,9 @@ OUTPUTS = {
     "recon_summary_by_owner": lambda a: a.recon_summary(by_owner=True),
     "recon_report": lambda a: a.recon_report(),
     "recon_report_owner_grain": lambda a: a.recon_report(by_owner=True),
+    "fuzzy_candidates": lambda a: a.fuzzy_candidates,
+    "reference_candidates": lambda a: a.reference_candidates,
+    "recon_allocated": lambda a: a.recon_allocated,
     "default_address": lambda a: a.default_address,
     "label_detail": lambda a: a.label_detail,
     "invoice_universe": lambda a: a.invoice_universe,

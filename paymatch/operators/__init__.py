@@ -1,5 +1,6 @@
 """Generic DataFrame operators, reusable outside the audit."""
 
+from paymatch.operators.bands import Band, band_join
 from paymatch.operators.fx import attach_rate, convert, rate_conflicts, rate_lookup
 from paymatch.operators.joins import (
     lookup_flag,
@@ -9,6 +10,7 @@ from paymatch.operators.joins import (
     skew_join,
     skew_joins,
 )
+from paymatch.operators.running import add, later, row_numbers, running
 from paymatch.operators.windows import (
     number_per_key,
     time_window,
@@ -16,6 +18,12 @@ from paymatch.operators.windows import (
 )
 
 __all__ = [
+    "Band",
+    "band_join",
+    "add",
+    "later",
+    "row_numbers",
+    "running",
     "attach_rate",
     "convert",
     "rate_conflicts",

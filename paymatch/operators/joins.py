@@ -81,17 +81,21 @@ def lookup_flag(facts: DataFrame, key: str, lookup_keys: DataFrame, lookup_col:
     return out.withColumn(flag_name, hit).drop("_lk_key", "_lk_hit")
 
 
+def _key_set(keys: DataFrame, keys_col: str) -> DataFrame:
+    k = F.col(keys_col)
+    return keys.select(k.alias("_in_key")).where(k.isNotNull()).distinct()
+
+
 def present_in(df: DataFrame, key: Column, keys: DataFrame, keys_col: str) -> DataFrame:
     """Rows of ``df`` whose key is in ``keys`` (``IN (SELECT ...)``, J6).
 
-    A semi join needs no de-duplicated right side; without one a busy key on
-    either side stays splittable.
+    Spark splits only the left side of a semi or anti join at run time, so the
+    keys are reduced to distinct ones first (map-side), and a key with
+    a third of all rows on either side fills no task.
     """
-    k = keys.select(F.col(keys_col).alias("_in_key")).where(F.col("_in_key").isNotNull())
-    return df.join(k, key == k["_in_key"], "left_semi")
+    return skew_join(df, _key_set(keys, keys_col), key, "_in_key", "left_semi")
 
 
 def missing_in(df: DataFrame, key: Column, keys: DataFrame, keys_col: str) -> DataFrame:
-    """Rows of ``df`` whose key is not in ``keys`` (left join + IS NULL, J15)."""
-    k = keys.select(F.col(keys_col).alias("_in_key")).where(F.col("_in_key").isNotNull())
-    return df.join(k, key == k["_in_key"], "left_anti")
+    """Rows of ``df`` whose key is not in ``keys`` (left join + IS NULL, J15); NULL keys are in none."""
+    return skew_join(df, _key_set(keys, keys_col), key, "_in_key", "left_anti")

@@ -8,6 +8,7 @@ pushes the time windows down to the Parquet scans.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 
 # --- Fixed values: these must equal the reference's for right results. ---
 # Reporting window and source window of the audit run.
@@ -21,6 +22,11 @@ SPECIAL_PAYMENT_METHOD = 3
 LOOKUP_CATEGORIES = ("charge", "refund", "charge_failure")
 # Categories the match flags and checks look at.
 CHARGE_CATEGORIES = ("charge", "refund")
+# The one of them that is money received.
+RECEIPT_CATEGORY = "charge"
+# Bounds of the fuzzy match: days before and months after.
+FUZZY_MIN_DAYS = -16
+FUZZY_MAX_MONTHS = 6
 # Invoice item purpose counted as a refund.
 REFUND_PURPOSE = "REFUND"
 # Description text marking a pre-authorisation hold.
@@ -61,6 +67,11 @@ class ReconParams:
     # with invoice numbers); "invoice_id" is the evident intent; None leaves
     # the check out (its only visible effect is fan-out, K12).
     payment_check_on: str | None = "id"
+    # Fuzzy match of rows without an invoice: date bounds around the paid date, and the
+    # difference of amounts that is let pass.
+    fuzzy_min_days: int = FUZZY_MIN_DAYS
+    fuzzy_max_months: int = FUZZY_MAX_MONTHS
+    fuzzy_tolerance: Decimal = Decimal("0.00")
     # Compare the digits of a description without their leading zeros (T2);
     # the reference compares them as they are.
     strip_leading_zeros: bool = False
@@ -82,4 +93,5 @@ def fixture_params() -> ReconParams:
         excluded_users=(1,),
         first_item_cutoff="1996-01-01",
         billing_floor="1997-01-01",
+        fuzzy_tolerance=Decimal("50.00"),
     )

@@ -7,37 +7,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from paymatch.functions import money, to_text
-from paymatch.operators import (attach_rate, convert, number_per_key, present_in, time_window,
-                                top_per_key)
+from paymatch.operators import (attach_rate, convert, present_in, row_numbers, time_window, top_per_key)
 from paymatch.params import CHARGE_CATEGORIES, ReconParams
 from paymatch.sources import AuditSources
 
 SUM_TYPE = DecimalType(38, 2)
+# Sums of one rate before they are divided: wider ones would leave the quotient fewer digits.
+RATE_SUM_TYPE = DecimalType(25, 2)
 
 
 def newest_first() -> list:
     return [F.col("object_created").desc_nulls_first(), F.col("object_updated").desc_nulls_first()]
 
 
-def payment_groups(src: AuditSources, p: ReconParams, by_method: bool = False) -> DataFrame:
+def payment_sums(src: AuditSources, p: ReconParams) -> DataFrame:
     """Payments created in the query window, de-duplicated without their id
-    (K9) and summed per (method is special, invoice, created, updated), with
-    ``by_method`` per method as well (the drill-downs read it from C4).
+    (K9) and summed per (method, invoice, created, updated, rate).
 
-    One pass serves both summaries (C4: ``is_special`` false, C5: true); rows
-    with a NULL method are in neither and are dropped first. Both steps are
-    partial aggregations, so copies and busy invoices are reduced map-side."""
+    Rows with a NULL method are in no summary and are dropped first. Copies are removed on the raw columns, so rates are looked up
+    for what is left; both steps are partial aggregations, so copies and busy
+    invoices are reduced map-side."""
     pay = time_window(src.payment, "object_created", p.query_start, p.query_end)
     pay = pay.where(F.col("payment_method_id").isNotNull())
-    # The rate day is the *update* day, which may fall outside the window.
-    pay = attach_rate(pay, "currency_id", "object_updated", src.currency, src.fx_rates)
     rows = pay.select("invoice_id", "payment_method_id", "currency_id", "object_created",
-                      "object_updated", "amount", "fx_rate").distinct()
+                      "object_updated", "amount").distinct()
+    # The rate day is the *update* day, which may fall outside the window. Sums per currency, then
+    # per rate: the de-duplicated rows keep their partitioning, so the first sum needs no exchange.
+    keys = ["invoice_id", "payment_method_id", "currency_id", "object_created", "object_updated"]
+    sums = rows.groupBy(*keys).agg(F.sum("amount").alias("_sum"))
+    priced = attach_rate(sums, "currency_id", "object_updated", src.currency, src.fx_rates)
     special = F.col("payment_method_id").isin(p.special_method)
+    return priced.select(special.alias("is_special"), *[k for k in keys if k != "currency_id"], "fx_rate", "_sum")
+
+
+def payment_groups(sums: DataFrame, p: ReconParams, by_method: bool = False) -> DataFrame:
+    """Payments per (method is special, invoice, created, updated), with ``by_method`` per
+    method as well (the drill-downs read it from C4). C4 is ``is_special`` false, C5 true."""
     keys = ["is_special", "invoice_id", "object_created", "object_updated",
             *(["payment_method_id"] if by_method else [])]
     # The amounts of one rate are summed first and divided once.
-    per_rate = rows.withColumn("is_special", special).groupBy(*keys, "fx_rate").agg(F.sum("amount").alias("_sum"))
+    per_rate = sums.groupBy(*keys, "fx_rate").agg(F.sum("_sum").cast(RATE_SUM_TYPE).alias("_sum"))
     return per_rate.groupBy(*keys).agg(
         F.sum("_sum").cast(SUM_TYPE).alias("amount"),
         money(F.sum(convert(F.col("_sum"), F.col("fx_rate"), p.on_zero_rate))).alias("amount_converted"))
@@ -52,12 +61,14 @@ def payment_summary(groups: DataFrame) -> DataFrame:
     """The payment groups numbered newest first per invoice
     (``billing_row``). Ties on ``object_created`` are broken by
     ``object_updated`` (K10); NULLs sort first in DESC as in the reference
-    dialect (T1). The numbering goes day by day, so an invoice with millions
-    of payment groups is spread over many tasks."""
+    dialect (T1). The numbering goes by days and by the seconds of a day, so an
+    invoice with millions of payment groups on one day is spread over many tasks."""
     order = newest_first() + ([F.col("payment_method_id")] if "payment_method_id" in groups.columns else [])
-    numbered = number_per_key(groups, ["invoice_id"], order, "billing_row",
-                              part=F.to_date("object_created"),
-                              part_order=F.col("_rn_part").desc_nulls_first())
+    created = F.col("object_created")
+    second = F.hour(created) * 3600 + F.minute(created) * 60 + F.second(created).cast("int")
+    # negative, as the newest come first
+    levels = [F.negative(F.unix_date(F.to_date(created))), F.negative(second)]
+    numbered = row_numbers(groups, ["invoice_id"], levels, order, "billing_row")
     method = [c for c in ("payment_method_id",) if c in groups.columns]
     return numbered.select("invoice_id", "object_created", "object_updated", *method, "billing_row",
                            "amount", "amount_converted")

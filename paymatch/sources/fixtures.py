@@ -63,16 +63,20 @@ def fx_rates(lineitem: DataFrame, region: DataFrame) -> DataFrame:
 
     Built by an equi-join of the traded (currency id, day) pairs to the
     region dimension — no cross product. Region 4 quotes 0.004 on the first
-    of each month, which rounds to 0.00 (trap T5).
+    of each month, which rounds to 0.00 (trap T5); region 1 quotes two rates on
+    the 20th of the months before 1997.
     """
     traded = lineitem.select((F.col("l_suppkey") % 6).alias("rk"),
                              F.to_date("l_shipdate").alias("date")).distinct()
     base = F.element_at(F.array(*[F.lit(r).cast(DecimalType(15, 4)) for r in REGION_RATES]), F.col("r_regionkey") + 1)
     rate = (F.when((F.col("r_regionkey") == 4) & (F.dayofmonth("date") == 1), F.lit(0))
             .otherwise(base).cast(DecimalType(15, 4)) + F.lit(0.004).cast(DecimalType(15, 4)))
+    # region 1 quotes a second rate, one higher, on the 20th of each month before the reporting window
+    second = F.when((F.col("r_regionkey") == 1) & (F.dayofmonth("date") == 20) & (F.year("date") < 1997), 1)
     return (traded.join(region, traded.rk == region.r_regionkey)
             .select(F.substring("r_name", 1, 3).alias("currency"), "date",
-                    rate.cast(DecimalType(15, 4)).alias("rate")))
+                    F.explode(F.array_compact(F.array(F.lit(0), second))).alias("_more"), rate.alias("_rate"))
+            .select("currency", "date", (F.col("_rate") + F.col("_more")).cast(DecimalType(15, 4)).alias("rate")))
 
 
 def payment(lineitem: DataFrame) -> DataFrame:

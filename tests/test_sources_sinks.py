@@ -104,7 +104,8 @@ def test_batch_cli_on_reference_tables(spark, reference_tables):
               "--query-start", p.query_start, "--query-end", p.query_end,
               "--source-start", p.source_start, "--source-end", p.source_end,
               "--provider-id", str(p.provider_id), "--excluded-user", str(p.excluded_users[0]),
-              "--first-item-cutoff", p.first_item_cutoff, "--billing-floor", p.billing_floor, "--reuse", "cache"])
+              "--first-item-cutoff", p.first_item_cutoff, "--billing-floor", p.billing_floor,
+              "--fuzzy-tolerance", str(p.fuzzy_tolerance), "--reuse", "cache"])
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     con, sql = duck_given(SF_SMALL), oracle_queries(p)
