@@ -437,11 +437,64 @@ def test_substituted_passages(spark):
     assert found == expected and len(found) > 10
 
 
-def test_shuffled_seed_join_gives_the_same(spark, monkeypatch):
-    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    expected = digest(*_rows(decontaminate.leaks(docs, items)))
-    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
-    assert digest(*_rows(decontaminate.leaks(docs, items))) == expected
+def test_long_and_short_items_with_substitutions(spark):
+    """A 400-word item scores whole; any item of 8 words or more is found with any one word substituted."""
+    long = [f"L{i}" for i in range(400)]
+    items = [(0, " ".join(long))] + [(n, " ".join(f"s{n}x{i}" for i in range(n))) for n in range(4, 20)]
+    docs = [(0, "before " + " ".join(long) + " after")]
+    whole, changed = {}, {}
+    for n in range(4, 20):
+        for gone in [None, *range(n)]:
+            words = items[n - 3][1].split()
+            if gone is not None:
+                words[gone] = "other"
+            key = len(docs)
+            docs.append((key, f"w{key} v{key} " + " ".join(words) + f" u{key}"))
+            (whole if gone is None else changed)[key] = n
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(
+        frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found[0, 0] == 400
+    assert {k for k in whole if (k, whole[k]) in found} == {k for k, n in whole.items() if n >= 5}
+    assert {k for k, n in changed.items() if (k, n) in found} >= {k for k, n in changed.items() if n >= 8}
+    assert not [k for k, n in changed.items() if (k, n) in found and n < 8]
+
+
+def test_whole_tables_by_brute_force(spark, documents):
+    """The registered query against every diagonal of every document and item that share five words in a row."""
+    items = {r.item_id: r.text.lower().split() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    starts = {}
+    for k, words in items.items():
+        for m in decontaminate.MASKS:
+            for i in range(len(words) - m[-1]):
+                starts.setdefault(tuple(words[i + j] for j in m) + (m,), []).append((k, i))
+    expected = {}
+    for row in documents:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", (row.text or "").strip(" \t\n\x0b\x0c\r").lower())]
+        diagonals = set()
+        for at in range(len(words)):
+            for m in decontaminate.MASKS:
+                if at + m[-1] < len(words):
+                    diagonals |= {(k, at - i) for k, i in starts.get(tuple(words[at + j] for j in m) + (m,), ())}
+        for k, shift in diagonals:
+            now = best = 0
+            for i, w in enumerate(items[k]):
+                if 0 <= i + shift < len(words):
+                    now = max(0, now + (1 if words[i + shift] == w else -decontaminate.PENALTY))
+                    best = max(best, now)
+            if best >= min(decontaminate.LEAST, len(items[k]) - 3):
+                expected[row.doc_id, k] = max(best, expected.get((row.doc_id, k), 0))
+    found = {(r.doc_id, r.item_id): r.score for r in run(spark, "op9_decontaminate").collect()}
+    assert found == expected and expected
+
+
+def test_no_text_leaves_with_the_seeds(spark):
+    """The exchange by seed holds no words, and the plan is one at every size."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    found = decontaminate.leaks(rows, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(seed" in x and "words" in x]
+    assert "ArrowEval" not in plan and "MapIn" not in plan and "Python" not in plan
 
 
 def _rows(df):
