@@ -112,15 +112,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     found = repeated_lines(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
                                         F.col("removed").alias("_removed"))
-    base = docs.drop("removed").withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    # the other columns travel as one, so no name of theirs can clash
+    rest = [c for c in docs.columns if c not in ("removed", "text")]
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), "doc_id", "text",
+                       F.xxhash64(F.col("text").cast("string")).alias("_text_hash"))
     joined = base.join(found.hint("merge"), base["doc_id"].eqNullSafe(F.col("_id"))
                        & (F.col("_text_hash") == F.col("_hash")), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
     text = F.when(F.col("_removed").isNull(), F.col("text").cast("string")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    rest = [c for c in docs.columns if c not in ("removed", "text")]
-    return joined.select(*rest, text.alias("text"),
+    return joined.select("row.*", text.alias("text"),
                          F.coalesce("_removed", F.array().cast("array<int>")).alias("removed"))
 
 

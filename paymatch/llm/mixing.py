@@ -126,8 +126,10 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float] = WEIGHTS, se
     pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>")))),
                         {"ignoreNullFields": "false"})
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), text), 1).cast(KEY)
-    rows = base.select(*[c for c in (keep or base.columns) if c in base.columns], words_of(text).alias("size"),
-                       pattern.alias("pattern"), chance.alias("_chance"), members.alias("_members"))
+    # the rows travel as one column, so no name of theirs can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in (keep or base.columns) if c in base.columns]).alias("row")
+    rows = base.select(row, words_of(text).alias("size"), pattern.alias("pattern"), chance.alias("_chance"),
+                       members.alias("_members"))
     narrow = save(rows.select(F.col("pattern").alias("group"), F.col("_chance").alias("key"),
                               F.col("size").alias("weight"), "_members"), "mix-sizes")
     # one row per pattern: bounded by the source catalogue
@@ -138,8 +140,8 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float] = WEIGHTS, se
         [(p, n, str(cuts[p][0]) if p in cuts else "0") for p, n in uses.items()], "p string, whole int, cut string")
     chosen = rows.join(F.broadcast(planned), F.col("pattern") == F.col("p"), "left")
     more = F.when(F.col("_chance") < F.col("cut").cast(KEY), 1).otherwise(0)
-    return chosen.withColumn("uses", F.coalesce(F.col("whole") + more, F.lit(0))).drop(
-        "p", "whole", "cut", "_chance", "_members")
+    uses = F.coalesce(F.col("whole") + more, F.lit(0)).alias("uses")
+    return chosen.select("row.*", "size", "pattern", uses)
 
 
 def _plan(found: list, narrow: DataFrame, weights: Sequence[float]) -> tuple[dict[str, int], dict[str, list[int]]]:
@@ -175,8 +177,9 @@ def source_targets(docs: DataFrame, source: str = "source", weights: Sequence[fl
 def repeated(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns as they are."""
     # columns that mix() would replace travel under other names
-    held = {f"_doc_{c}": c for c in docs.columns}
-    renamed = docs.select("doc_id", "text", *[F.col(c).alias(h) for h, c in held.items()])
-    mixed = mix(renamed, F.array(F.col("_doc_source").cast("string")), weights, seed, keep=list(held))
+    held = {f"_doc_{i}": c for i, c in enumerate(docs.columns)}
+    renamed = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(h) for h, c in held.items()])
+    source = F.col(f"_doc_{docs.columns.index('source')}").cast("string")
+    mixed = mix(renamed, F.array(source), weights, seed, keep=list(held))
     return (mixed.where("uses > 0").withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("uses"))))
             .select(*[F.col(h).alias(c) for h, c in held.items()]))

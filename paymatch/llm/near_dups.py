@@ -401,11 +401,12 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     Repeated rows of a kept doc_id are of its class: the first by text hash
     stays. Rows without an id can't be named by a class and stay.
     """
-    columns = docs.columns
     kept = (near_duplicates(docs, percent).where("kept and doc_id is not null")
-            .select(F.col("doc_id").alias("_kept")).distinct())
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    found = named.join(kept, F.col("_id") == F.col("_kept"))
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
-    one = found.withColumn("_n", first).where("_n = 1").select(*columns)
+            .select(F.col("doc_id").alias("kept")).distinct())
+    # the rows travel as one column, so no name of theirs can clash
+    named = docs.where("doc_id is not null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                                                    F.col("doc_id").cast("long").alias("id"))
+    found = named.join(kept, F.col("id") == F.col("kept"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row.text")))
+    one = found.withColumn("n", first).where("n = 1").select("row.*")
     return one.unionByName(docs.where("doc_id is null"))

@@ -9,7 +9,7 @@ texts are compressed in pieces, each against the dictionaries anew, so that
 every part of a text counts alike.
 
 The fit uses a bounded sample of labelled rows (``DICTIONARY_ROWS`` a class,
-``CALIBRATION_ROWS`` more, in hash order, none above ``SAMPLE_BYTES``); its
+``CALIBRATION_ROWS`` more, in hash order, none above ``SAMPLE_BYTES``, ``LABEL_BYTES`` in all); its
 rows alone reach the driver. Scores come from every whole text.
 """
 
@@ -21,13 +21,15 @@ from dataclasses import astuple, dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DICTIONARY_BYTES = 512 << 10
 DICTIONARY_ROWS = 2500
 CALIBRATION_ROWS = 4000
 SAMPLE_BYTES = 64 << 10
+#: Bytes of all texts of a label that the fit may use: what reaches the driver is twice this at most.
+LABEL_BYTES = 64 << 20
 #: A piece has at most so many bytes: far less than the compressor's window, beyond which no dictionary is seen.
 PIECE_BYTES = 64 << 10
 LEVEL = 3
@@ -122,7 +124,12 @@ def _sample(docs: DataFrame, labels: DataFrame) -> dict[int, list[bytes]]:
     ids = chosen[0].union(chosen[1]).select("id", "label", "order")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where(F.octet_length("text") <= SAMPLE_BYTES)
-    found = texts.join(F.broadcast(ids), texts.doc_id == F.col("id")).where("text != ''")
+    # one row an id, however often it is repeated, and a bounded number of bytes a label
+    found = (texts.join(F.broadcast(ids), texts.doc_id == F.col("id")).where("text != ''")
+             .groupBy("label", "order", "id").agg(F.min("text").alias("text")))
+    held = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy("order", "id")
+                                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = found.withColumn("held", held).where(F.col("held") <= LABEL_BYTES)
     rows = sorted(tuple(r) for r in found.select("label", "order", "id", "text").collect())
     return {v: [text.encode() for label, _, _, text in rows if label == v] for v in (0, 1)}
 

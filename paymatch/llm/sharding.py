@@ -62,13 +62,13 @@ def shards(docs: DataFrame, count: int = SHARDS, tolerance: float = 0.0, keep: l
     offsets = save(counted.select("shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")),
                    "shard-offsets")
     drop(narrow)
-    keyed = base.select(*[c for c in (keep or base.columns) if c in base.columns], size_of(text).alias("size"),
-                        key_of(text, F.col("doc_id")).alias("_key"))
+    # the rows travel as one column, so no name of theirs can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in (keep or base.columns) if c in base.columns]).alias("row")
+    keyed = base.select(row, size_of(text).alias("size"), key_of(text, F.col("doc_id")).alias("_key"))
     # the offsets have at most ``count * PARTS`` rows
     placed = _placed(keyed, cuts, ranges).join(F.broadcast(offsets), ["shard", "_part"])
     slot = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_key")) - 1 + F.col("_before")
-    kept = [c for c in keyed.columns if c != "_key"]
-    return placed.withColumn("slot", slot.cast("long")).select(*kept, "shard", "slot")
+    return placed.withColumn("slot", slot.cast("long")).select("row.*", "size", "shard", "slot")
 
 
 def _placed(rows: DataFrame, cuts: list[int], ranges: DataFrame) -> DataFrame:

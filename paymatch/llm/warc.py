@@ -195,40 +195,78 @@ def payload_of(fields: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-def _unpack(data: bytes, at: int) -> tuple[bytes, int]:
+def _unpack(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member at ``at`` unpacks to, the place behind it, and what is wrong with it (empty: nothing).
+
+    Of a damaged member, everything before the damage is unpacked.
+    """
     unpacker = zlib.decompressobj(31)
     view = memoryview(data)
     out, place = [], at
-    try:
-        while not unpacker.eof and place < len(data):
+    while not unpacker.eof and place < len(data):
+        before = unpacker.copy()
+        try:
             out.append(unpacker.decompress(view[place:place + (1 << 16)]))
             place += 1 << 16
-    except zlib.error as e:
-        raise Damaged("bad gzip member") from e
+        except zlib.error:
+            # byte by byte up to the damage
+            try:
+                while place < len(data):
+                    out.append(before.decompress(view[place:place + 1]))
+                    place += 1
+            except zlib.error:
+                pass
+            return b"".join(out), min(place, len(data)), "bad gzip member"
     if not unpacker.eof:
-        raise Damaged("gzip member is cut off")
-    return b"".join(out), min(place, len(data)) - len(unpacker.unused_data)
+        return b"".join(out), len(data), "gzip member is cut off"
+    return b"".join(out), min(place, len(data)) - len(unpacker.unused_data), ""
+
+
+def _within(inner: bytes, start: int, stop: int) -> Iterator[Record | tuple[int, int, str]]:
+    """Valid records of a member's unpacked bytes; gaps are those of the member, with the inner bytes as part of the reason."""
+    at, gap, reason = 0, -1, ""
+    while at < len(inner):
+        try:
+            fields, block, to = parse_record(inner, at)
+        except Damaged as e:
+            if gap < 0:
+                gap, reason = at, str(e)
+            later = _VERSION.search(inner, at + 1)
+            at = later.start() if later else len(inner)
+            continue
+        if gap >= 0:
+            yield start, stop, f"{reason} at unpacked bytes {gap} to {at}"
+            gap = -1
+        yield Record(start, stop, fields, block)
+        at = to
+    if gap >= 0:
+        yield start, stop, f"{reason} at unpacked bytes {gap} to {len(inner)}"
 
 
-def _step(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The record (or the member's records) at ``at`` and the place behind."""
+def _step(data: bytes, at: int) -> tuple[list[Record | tuple[int, int, str]], int, str]:
+    """The record (or the member's records and gaps) at ``at``, the place behind, and what is wrong with the member."""
     if data[at:at + 3] == b"\x1f\x8b\x08":
-        inner, stop = _unpack(data, at)
-        found, place = [], 0
-        while place < len(inner):
-            fields, block, place = parse_record(inner, place)
-            found.append(Record(at, stop, fields, block))
-        return found, stop
+        inner, stop, wrong = _unpack(data, at)
+        found = list(_within(inner, at, stop))
+        if not any(isinstance(f, Record) for f in found) and (found or wrong):
+            raise Damaged(wrong or found[0][2])
+        return found, stop, wrong
     fields, block, stop = parse_record(data, at)
-    return [Record(at, stop, fields, block)], stop
+    return [Record(at, stop, fields, block)], stop, ""
 
 
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """All valid records of an archive, and a (start, stop, reason) for each byte gap between them."""
+    """All valid records of an archive, and a (start, stop, reason) for each byte gap between them.
+
+    A bad record costs itself alone, also inside a gzip member of several: the search for the next version line goes
+    on in what the member unpacks to, before damage to the compressed bytes and, if they still unpack, behind
+    it. Such a gap has the bytes of the member and, in its reason, those of what it unpacks to. A member whose compressed
+    bytes are damaged is a gap itself after the records in front of the damage.
+    """
     at, gap, reason = 0, -1, ""
     while at < len(data):
         try:
-            found, stop = _step(data, at)
+            found, stop, wrong = _step(data, at)
         except Damaged as e:
             if gap < 0:
                 gap, reason = at, str(e)
@@ -239,7 +277,13 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
             yield gap, at, reason
             gap = -1
         yield from found
-        at = stop
+        if wrong:
+            # what the unpacker read may already belong to the next member: look for that from the start
+            gap, reason = at, wrong
+            later = _NEXT.search(data, at + 1)
+            at = later.start() if later else len(data)
+        else:
+            at = stop
     if gap >= 0:
         yield gap, len(data), reason
 

@@ -175,3 +175,74 @@ def test_stages_take_awkward_rows(spark, docs, empty, labels, benchmark, tmp_pat
             out = stage(spark, given.select(plain), str(tmp_path))
             out.collect()
             assert out.columns[:5] == plain and (i == len(corpus_pipeline.STAGES) - 1 or out.columns == plain)
+
+
+CLASHING = ["_id", "_n", "_key", "_chance", "_text_hash", "_kept", "_hash", "row", "id", "kept", "n", "hash", "_low", "_part", "p",
+            "cut", "whole", "_members", "group", "weight", "_removed", "first", "place", "words", "seed", "at", "a.b"]
+
+
+def test_no_column_name_clashes(spark, benchmark):
+    """Columns that are called like the operators' own come back as they went in."""
+    rows = [(i, "en", f"s{i % 3}", f"text {i // 2} " * 20, *[f"{c}{i}" for c in CLASHING]) for i in range(30)]
+    schema = ", ".join(["doc_id long", "lang string", "source string", "text string", *[f"`{c}` string" for c in CLASHING]])
+    docs = spark.createDataFrame(rows, schema)
+    for out in (near_dups.keep_one(docs), sharding.shards(docs, 3), mixing.mix(docs, F.array("source")), mixing.repeated(docs),
+                line_dedup.dedup_lines(docs), decontaminate.drop_leaked(docs, benchmark)):
+        found = out.collect()
+        assert set(docs.columns) <= set(out.columns) and found
+        for r in found:
+            assert [r[c] for c in CLASHING] == [f"{c}{r.doc_id}" for c in CLASHING]
+
+
+def test_a_label_repeated_very_often_is_one_text(spark):
+    """Neither repeated documents nor long ones send more than the bound to the driver."""
+    rows = [(1, "good words here", 0)] * 3000 + [(i, f"bad {i}" * 50, 0) for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    labels = spark.createDataFrame([(1, 1)] * 500 + [(i, i % 2) for i in range(2, 40)], "doc_id long, quality int")
+    taken = quality._sample(docs, labels)
+    assert len(taken[0]) + len(taken[1]) <= 39
+    assert all(0 <= r.score <= 1 for r in quality.scores(docs, labels).collect())
+    before = quality.LABEL_BYTES
+    quality.LABEL_BYTES = 1000
+    try:
+        assert sum(len(t) for v in (0, 1) for t in quality._sample(docs, labels)[v]) <= 2000
+    finally:
+        quality.LABEL_BYTES = before
+
+
+def _archive(n, **change):
+    """``n`` records in one member, the payload of record ``k`` damaged where ``change`` says."""
+    out = b""
+    for k in range(n):
+        block = (f"payload {k} " + "x" * 50 * k).encode()
+        import hashlib
+        digest = hashlib.sha256(block).hexdigest()
+        if k == change.get("bad"):
+            block = block.replace(b"p", b"q", 1)
+        out += (f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{k}>\r\nWARC-Block-Digest: sha256:{digest}\r\n"
+                f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    return out
+
+
+def _salvaged(data):
+    found = list(warc.salvage(data))
+    return ([f.fields["warc-record-id"] for f in found if isinstance(f, warc.Record)],
+            [f for f in found if not isinstance(f, warc.Record)])
+
+
+def test_salvage_inside_a_member_of_many_records():
+    import gzip
+    ids = [f"<urn:{k}>" for k in range(5)]
+    plain = _archive(5)
+    assert _salvaged(gzip.compress(plain)) == (ids, [])
+    # a record that fails its digest costs itself alone
+    packed = gzip.compress(_archive(5, bad=2)) + gzip.compress(plain)
+    records, gaps = _salvaged(packed)
+    assert records == ids[:2] + ids[3:] + ids and len(gaps) == 1 and "unpacked bytes" in gaps[0][2]
+    # compressed bytes that are damaged or cut off: what stands before is kept, and so are the next members
+    whole = gzip.compress(_archive(400))
+    for broken in (whole[:len(whole) // 2], whole[:len(whole) // 2] + b"\xff" * 40 + whole[len(whole) // 2 + 40:],
+                   whole[:-8] + b"12345678"):
+        records, gaps = _salvaged(broken + gzip.compress(plain))
+        assert records[-5:] == ids and len(records) >= 100 and records[:100] == [f"<urn:{k}>" for k in range(100)]
+        assert gaps or records == [f"<urn:{k}>" for k in range(400)] + ids
