@@ -9,7 +9,7 @@ meet in pairs. One representative per distinct set then goes through:
    least ``MIN_DEPTH`` values form a region; a region above ``REGION`` rows is
    cut again at the next depth until it fits (adaptive depth). Rows equal over
    the whole label are taken in overlapping stretches. Within a region,
-   documents whose signatures agree in ``ESTIMATE`` of all values are
+   documents whose signatures agree in :func:`estimate` of all values are
    candidates; only a spanning forest of them leaves the task. Rows of a
    region that was cut, or that may go on in another task, are marked and meet
    again in whole regions of further trees, as many as the depth needs for a
@@ -22,15 +22,17 @@ meet in pairs. One representative per distinct set then goes through:
 3. Connected components of the confirmed links are the classes.
 
 With 10 trees at depth 2, a pair at similarity 0.85 shares no region with
-chance (1 - 0.85^2)^10 = 3e-6; each further depth adds at most ``MISS`` for the
-pairs that get there.
+chance (1 - 0.85^2)^10 = 3e-6, one at ``LEAST_PERCENT`` with 4e-5; each further
+depth adds at most ``MISS`` for the pairs that get there. Lower similarities
+would need more trees and are refused.
 """
 
 from __future__ import annotations
 
 import hashlib
-from math import comb
 from collections.abc import Iterator
+from functools import partial
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +49,13 @@ TREES = 10
 DEPTH = 12
 MIN_DEPTH = 2
 REGION = 2048
-#: Depths of the further trees, and the chance that a pair at 0.85 shares none of their regions.
+#: Depths of the further trees, and the chance that a pair at the similarity asked for shares none of their regions.
 FURTHER = (2, 4, 8)
 MISS = 1e-5
-ESTIMATE = 0.68
+#: Lowest similarity, in per cent, that the trees are made for.
+LEAST_PERCENT = 80
+#: Standard deviations of an estimate below the similarity that are let pass.
+DEVIATIONS = 5.38
 GROUP_DOCS = 1024
 GROUP_SHINGLES = 1_000_000
 _CHUNK = 1 << 16
@@ -111,6 +116,12 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  batch.column(0), brief], ["tree", "label", "node", "brief"])
 
 
+def estimate(percent: int) -> int:
+    """Values of two signatures that agree at least, but for a chance of 4e-8, in a pair of so many per cent."""
+    p = percent / 100
+    return int((p - DEVIATIONS * (p * (1 - p) / PERMUTATIONS) ** 0.5) * PERMUTATIONS)
+
+
 class _Forest:
     """Union-find over positions of one region; yields a spanning forest."""
 
@@ -139,10 +150,9 @@ class _Forest:
                 self.up[b] = a
 
 
-def _close(nodes: np.ndarray, brief: np.ndarray) -> list[tuple[int, int]]:
+def _close(nodes: np.ndarray, brief: np.ndarray, need: int) -> list[tuple[int, int]]:
     """Spanning forest of one region's candidate graph."""
     forest = _Forest(len(nodes))
-    need = int(ESTIMATE * PERMUTATIONS)
     for i in range(len(nodes) - 1):
         same = (brief[i + 1:] == brief[i]).sum(1, dtype=np.int32)
         forest.link(i, i + 1 + np.flatnonzero(same >= need))
@@ -165,7 +175,7 @@ def _regions(shared: np.ndarray, a: int, b: int, depth: int) -> Iterator[tuple[i
                 yield at, min(at + REGION, y)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], need: int = estimate(85)) -> Iterator[pa.RecordBatch]:
     """Sorted (tree, label, node, brief) rows to candidate edges (a, b)."""
     kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     opened = True  # the next region may have begun elsewhere
@@ -177,7 +187,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared[1:] = np.where(differ.any(1), differ.argmax(1), DEPTH)
         edges = []
         for x, y in _regions(shared, 0, len(node), MIN_DEPTH):
-            edges += _close(node[x:y], brief[x:y])
+            edges += _close(node[x:y], brief[x:y], need)
         # regions that are not whole here are marked: (node, null)
         cuts = [0, *np.flatnonzero(shared[1:] < MIN_DEPTH) + 1, len(node)]
         for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -213,20 +223,21 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(kept, last=True)
 
 
-def _trees(depth: int) -> int:
-    """Trees of ``depth`` values each, drawn from one signature, that miss a pair at 0.85 with chance ``MISS`` at most."""
-    n = PERMUTATIONS
-    chance = [comb(n, k) * 0.85 ** k * 0.15 ** (n - k) for k in range(n + 1)]
+def _trees(depth: int, percent: int) -> int:
+    """Trees of ``depth`` values each, drawn from one signature, that miss a pair of so many per cent with chance
+    ``MISS`` at most."""
+    n, p = PERMUTATIONS, percent / 100
+    chance = [comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(n + 1)]
     trees = 1
     while sum(c * (1 - comb(k, depth) / comb(n, depth)) ** trees for k, c in enumerate(chance)) > MISS:
         trees += 1
     return trees
 
 
-def _keyed(depth: int):
+def _keyed(depth: int, percent: int):
     """(node, signature) to one row per further tree: (region, node, brief)."""
     draw = np.random.Generator(np.random.PCG64(100 + depth))
-    choices = [draw.permutation(PERMUTATIONS)[:depth] for _ in range(_trees(depth))]
+    choices = [draw.permutation(PERMUTATIONS)[:depth] for _ in range(_trees(depth, percent))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,28 +256,27 @@ def _keyed(depth: int):
     return run
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _within(batches: Iterator[pa.RecordBatch], need: int) -> Iterator[pa.RecordBatch]:
     """Sorted (region, node, brief) rows, regions of bounded size, to candidate edges (a, b)."""
     for _, table in _groups(batches):
         brief = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
-        edges = _close(np.asarray(table.column(1)), brief)
+        edges = _close(np.asarray(table.column(1)), brief, need)
         a, b = zip(*edges) if edges else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _further(one: DataFrame, marked: DataFrame, partitions: int) -> list[DataFrame]:
+def _further(one: DataFrame, marked: DataFrame, partitions: int, percent: int) -> list[DataFrame]:
     """Candidate edges among the marked nodes from whole regions of further trees, as saved tables."""
     found: list[DataFrame] = []
     for depth in FURTHER:
         rows = one.join(marked, F.col("node") == F.col("at")).select("node", "signature")
-        labels = save(rows.mapInArrow(_keyed(depth), "region long, node long, brief binary"), "labels")
+        labels = save(rows.mapInArrow(_keyed(depth, percent), "region long, node long, brief binary"), "labels")
         crowded = save(labels.groupBy(F.col("region").alias("hot")).agg(F.count("*").alias("n"), F.min("node").alias("least"))
                        .where(F.col("n") > REGION), "crowded")
-        # one of so many rows at most
-        small = labels.join(F.broadcast(crowded), F.col("region") == F.col("hot"), "left_anti")
+        small = labels.join(crowded, F.col("region") == F.col("hot"), "left_anti")
         found.append(save(small.repartition(partitions, "region").sortWithinPartitions("region", "node")
-                          .mapInArrow(_within, "a long, b long"), "further"))
-        hot = labels.join(F.broadcast(crowded), F.col("region") == F.col("hot"))
+                          .mapInArrow(partial(_within, need=estimate(percent)), "a long, b long"), "further"))
+        hot = labels.join(crowded, F.col("region") == F.col("hot"))
         marked = save(hot.select(F.col("node").alias("at"), "least").distinct(), "marked")
         if not marked.limit(1).count():
             break
@@ -332,13 +342,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     ``docs`` needs ``doc_id`` (long) and ``text``; other columns are not read.
     Returns per row: doc_id, n_shingles, component_id (smallest doc_id that can
-    be reached over links of at least ``percent`` per cent), kept.
+    be reached over links of at least ``percent`` per cent, from ``LEAST_PERCENT`` to 100), kept.
 
     Null or blank texts have no shingles and no links: each is its own class.
     Rows with equal sets are one node, so repeated rows share their class. A
     null doc_id takes part in links but never names a class unless all ids of
     the class are null; it is kept only then. No rows give no rows.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is from {LEAST_PERCENT} to 100, not {percent}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = save(rows.mapInArrow(_digest, "doc_id long, n_shingles long, node long, signature binary"), "signatures")
     # one representative row per distinct set: the smallest doc_id
@@ -351,9 +363,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sorted_rows = (one.mapInArrow(_labels, "tree int, label binary, node long, brief binary")
                    .repartitionByRange(partitions, "tree", "label", "node")
                    .sortWithinPartitions("tree", "label", "node"))
-    candidates = save(sorted_rows.mapInArrow(_candidates, "a long, b long"), "candidates")
+    candidates = save(sorted_rows.mapInArrow(partial(_candidates, need=estimate(percent)), "a long, b long"), "candidates")
     edges = candidates.where("b is not null")
-    for more in _further(one, candidates.where("b is null").select(F.col("a").alias("at")).distinct(), partitions):
+    for more in _further(one, candidates.where("b is null").select(F.col("a").alias("at")).distinct(), partitions, percent):
         edges = edges.union(more)
     cluster = components(edges)
     links = _confirmed(rows, reps, cluster, percent, partitions)

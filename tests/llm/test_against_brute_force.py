@@ -397,6 +397,32 @@ def test_crowded_cells_are_split_around_near_pivots(spark, monkeypatch):
     assert len(graph) == 60 and hits >= 0.95 * 600
 
 
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_classes_at_other_similarities(spark, percent):
+    """Planted pairs just above and below the similarity asked for; lower ones are refused."""
+    from paymatch.llm import near_dups
+    rng = random.Random(percent)
+    rows = []
+    for k in range(150):
+        words = [f"w{k}x{i}" for i in range(rng.randint(60, 160))]
+        other = list(words)
+        for _ in range(rng.randint(0, 4)):
+            other[rng.randrange(len(other))] = f"o{k}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other[:len(other) - rng.randint(0, 9)]))]
+    sets = {i: shingles(t) for i, t in rows}
+    expected = {}
+    for k in range(150):
+        a, b = sets[2 * k], sets[2 * k + 1]
+        linked = 100 * len(a & b) >= percent * len(a | b)
+        expected |= {2 * k: 2 * k, 2 * k + 1: 2 * k if linked else 2 * k + 1}
+    found = {r.doc_id: r.component_id for r in near_dups.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    assert found == expected and 20 < sum(i != c for i, c in found.items()) < 150
+    for refused in (60, 101):
+        with pytest.raises(ValueError):
+            near_dups.near_duplicates(spark.createDataFrame(rows[:2], "doc_id long, text string"), refused)
+
+
 def plain_leak(doc, item):
     """Best stretch along any diagonal that shares a mask hit."""
     best, n = 0, len(item)
