@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from helpers import digest, duck_digest, spark_digest
-from paymatch.llm import decontaminate, mixing, nn_descent, pii_crf, queries, warc
+from paymatch.llm import decontaminate, mixing, nn_descent, pii_crf, queries, sharding, warc
 from paymatch.llm.histogram import find_cuts
 
 SF = "/root/testdata/sf0.001"
@@ -143,6 +143,29 @@ def test_shards(spark, documents):
         assert slots == list(range(len(slots)))
 
 
+def test_stretches_follow_the_weight(spark):
+    """A hot text with clustered ids and many small texts: stretches within their bytes, the same slots as one sort."""
+    r = random.Random(4)
+    rows = [(i if i < 900 else 10 ** 15 + i, "hot text " * 5) for i in range(1500)]
+    rows += [(2 * 10 ** 16 + i, f"text {r.randrange(700)} " * 5) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    fine = {r.doc_id: (r.shard, r.slot) for r in sharding.shards(docs, 4, stretch=1000).collect()}
+    assert fine == {r.doc_id: (r.shard, r.slot) for r in sharding.shards(docs, 4).collect()}
+    narrow = docs.select(sharding.key_of(docs.text, docs.doc_id).alias("_key"), sharding.size_of(docs.text).alias("weight"))
+    levels, counted = sharding._stretches(narrow, [], 1000)
+    assert len(levels) >= 2
+    assert counted.where("low < high").agg({"weight": "max"}).first()[0] <= 2000
+    sizes = {i: len(t) + 16 for i, t in rows}
+    sums = [sum(sizes[i] for i, (s, _) in fine.items() if s == n) for n in range(4)]
+    share = sum(sizes.values()) / 4
+    assert all(abs(x - share) <= 2 * (sharding.SLACK * share + max(sizes.values())) for x in sums)
+    # only the hot text, which is larger than a shard, lies in more than one
+    homes: dict[str, set[int]] = {}
+    for i, t in rows:
+        homes.setdefault(t, set()).add(fine[i][0])
+    assert {t for t, found in homes.items() if len(found) > 1} == {"hot text " * 5}
+
+
 def test_cuts_are_exact(spark):
     r = random.Random(1)
     rows = [("g", r.choice([7, 10 ** 30, r.randrange(10 ** 37)]), r.randrange(50)) for _ in range(3000)]
