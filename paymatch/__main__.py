@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from paymatch.audit import OUTPUTS, Audit
 from paymatch.params import ReconParams
 from paymatch.session import apply_settings
-from paymatch.sinks import write_outputs
+from paymatch.sinks import publish_outputs, write_outputs
 from paymatch.sources import load_sources, reference_branches
 
 
@@ -54,6 +54,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--strip-leading-zeros", action="store_true", help="compare invoice numbers without leading zeros")
     ap.add_argument("--reuse", default="checkpoint", choices=["cache", "checkpoint", "none"])
     ap.add_argument("--only", action="append", choices=list(OUTPUTS), help="outputs to write")
+    ap.add_argument("--publish", action="store_true",
+                    help="replace --out as a whole, and only if the control totals of the outputs agree")
     a = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("paymatch").getOrCreate()
@@ -76,6 +78,10 @@ def main(argv: list[str] | None = None) -> None:
                          excluded_users=tuple(a.excluded_user) if a.excluded_user
                          else ReconParams.excluded_users)
     with Audit(src, params, reuse=a.reuse) as audit:
+        if a.publish:
+            for name, totals in publish_outputs(audit, a.out, a.only).items():
+                print(f"{name}\t{a.out.rstrip('/')}/{name}\t{totals['rows']} rows")
+            return
         for name, path in write_outputs(audit, a.out, a.only).items():
             print(f"{name}\t{path}")
 

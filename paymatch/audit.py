@@ -29,12 +29,14 @@ from paymatch.sources import AuditSources
 
 class Audit:
     def __init__(self, sources: AuditSources, params: ReconParams | None = None,
-                 reuse: str = "cache"):
+                 reuse: str = "cache", partials: dict[str, DataFrame] | None = None):
         if reuse not in ("cache", "checkpoint", "none"):
             raise ValueError(f"reuse must be cache, checkpoint or none, not {reuse!r}")
         self.src = sources
         self.p = params or ReconParams()
         self.reuse = reuse
+        # daily partials by table (``paymatch.incremental``) instead of whole items and payments
+        self.partials = partials or {}
         self._built: dict[tuple, DataFrame] = {}
         self._persisted: list[DataFrame] = []
         sources.check_zone()
@@ -66,7 +68,9 @@ class Audit:
     @cached_property
     def item_totals(self) -> DataFrame:
         """Unrounded item sums per (invoice, owner): one pass for both grains of C3."""
-        return self._shared(invoices.item_totals(self.src, self.p))
+        kept = self.partials.get("api_invoiceitem")
+        return self._shared(invoices.item_totals(self.src, self.p) if kept is None
+                            else invoices.merged_item_totals(kept, self.src, self.p))
 
     @cached_property
     def invoice_totals(self) -> DataFrame:
@@ -79,7 +83,8 @@ class Audit:
     @cached_property
     def payment_groups(self) -> DataFrame:
         """Payment sums of both kinds of method: one pass for C4 and C5."""
-        return self._shared(payments.payment_groups(payments.payment_sums(self.src, self.p), self.p))
+        sums = payments.payment_sums(self.src, self.p, self.partials.get("billing_payment"))
+        return self._shared(payments.payment_groups(sums, self.p))
 
     @cached_property
     def payment_groups_other(self) -> DataFrame:
@@ -100,7 +105,7 @@ class Audit:
     @cached_property
     def payments_by_method(self) -> DataFrame:
         """C4 with the payment method as a key and an output."""
-        sums = payments.payment_sums(self.src, self.p)
+        sums = payments.payment_sums(self.src, self.p, self.partials.get("billing_payment"))
         groups = self._shared(payments.payment_groups(sums, self.p, by_method=True))
         return payments.payment_summary(payments.of_method(groups, special=False))
 
@@ -164,6 +169,11 @@ class Audit:
         invoice totals it joins are at owner grain, so amounts repeat per owner."""
         return reconcile.report(self.recon_summary(by_owner))
 
+    @cached_property
+    def recon_report_rollups(self) -> DataFrame:
+        """C10 at coarser grains, from bitmaps of its invoices."""
+        return reconcile.report_rollups(self._shared(reconcile.report_bitmaps(self.recon_summary())))
+
     # --- matches beyond equal invoice numbers --------------------------
     @cached_property
     def fuzzy_candidates(self) -> DataFrame:
@@ -277,6 +287,7 @@ OUTPUTS = {
     "recon_summary_by_owner": lambda a: a.recon_summary(by_owner=True),
     "recon_report": lambda a: a.recon_report(),
     "recon_report_owner_grain": lambda a: a.recon_report(by_owner=True),
+    "recon_report_rollups": lambda a: a.recon_report_rollups,
     "fuzzy_candidates": lambda a: a.fuzzy_candidates,
     "reference_candidates": lambda a: a.reference_candidates,
     "recon_allocated": lambda a: a.recon_allocated,

@@ -1,6 +1,7 @@
 """Generic DataFrame operators, reusable outside the audit."""
 
 from paymatch.operators.bands import Band, band_join
+from paymatch.operators.bitmaps import bitmaps, dense_ids, merged_counts
 from paymatch.operators.fx import attach_rate, convert, rate_conflicts, rate_lookup
 from paymatch.operators.joins import (
     lookup_flag,
@@ -20,6 +21,9 @@ from paymatch.operators.windows import (
 __all__ = [
     "Band",
     "band_join",
+    "bitmaps",
+    "dense_ids",
+    "merged_counts",
     "add",
     "later",
     "row_numbers",

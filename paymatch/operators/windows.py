@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paymatch.functions import ts_lit
+from paymatch.sources.layout import within
 
 
 def time_window(df: DataFrame, col: str, start: str, end: str) -> DataFrame:
-    """Half-open ``start <= col < end`` (P4). Literal bounds push down to the scan."""
-    return df.where((F.col(col) >= ts_lit(start)) & (F.col(col) < ts_lit(end)))
+    """Half-open ``start <= col < end`` (P4). Literal bounds push down to the scan; of a
+    table laid out by the day or month of ``col`` only those of the window are read."""
+    return within(df, col, ts_lit(start), ts_lit(end)).where((F.col(col) >= ts_lit(start)) & (F.col(col) < ts_lit(end)))
 
 
 def number_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],

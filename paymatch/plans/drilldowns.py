@@ -16,6 +16,7 @@ from paymatch.functions import date_before, flag, to_text, ts_lit
 from paymatch.operators import missing_in, present_in, skew_join
 from paymatch.params import ReconParams
 from paymatch.sources import AuditSources
+from paymatch.sources.layout import whole_rows
 
 
 def invoice_universe(processor: DataFrame, totals: DataFrame, payments: DataFrame) -> DataFrame:
@@ -46,13 +47,13 @@ def unmatched_flags(p: ReconParams, unmatched: DataFrame, checks: DataFrame) ->
 
 def unmatched_payments(src: AuditSources, unmatched: DataFrame) -> DataFrame:
     """D5 "Check 1": all payment rows of the unmatched invoices."""
-    pay = src.payment_for_check
+    pay = whole_rows(src.payment_for_check)
     return present_in(pay, pay["invoice_id"], unmatched, "invoice_id")
 
 
 def unmatched_items(src: AuditSources, unmatched: DataFrame) -> DataFrame:
     """D6 "Check 2": all invoice item rows of the unmatched invoices."""
-    items = src.invoice_item
+    items = whole_rows(src.invoice_item)
     return present_in(items, items["invoice_id"], unmatched, "invoice_id")
 
 

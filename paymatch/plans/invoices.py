@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, TimestampNTZType
 
@@ -10,8 +10,12 @@ from paymatch.functions import minute_text, money, to_text, ts_lit
 from paymatch.operators import attach_rate, convert, present_in, skew_join, time_window
 from paymatch.params import REFUND_PURPOSE, ReconParams
 from paymatch.sources import AuditSources
+from paymatch.sources.layout import whole_rows, within
 
 SUM_TYPE = DecimalType(38, 2)
+# Sums of one rate before they are divided: wider ones would leave the quotient fewer digits.
+RATE_SUM_TYPE = DecimalType(25, 2)
+ITEM_DAY = "updated_day"
 
 
 def item_totals(src: AuditSources, p: ReconParams) -> DataFrame:
@@ -26,11 +30,37 @@ def item_totals(src: AuditSources, p: ReconParams) -> DataFrame:
     items = items.where(F.col("amount").isNotNull() & F.col("invoice_id").isNotNull())
     items = attach_rate(items, "currency_id", "object_updated", src.currency, src.fx_rates,
                         p.query_start, p.query_end)
+    return _converted(items.groupBy("invoice_id", "object_owner_id", "fx_rate").agg(*_item_sums()), p)
+
+
+def _item_sums() -> list[Column]:
     refund = F.col("object_purpose") == REFUND_PURPOSE
     charge = F.col("object_purpose") != REFUND_PURPOSE
     amount = F.col("amount")
-    sums = items.groupBy("invoice_id", "object_owner_id", "fx_rate").agg(
-        F.sum(F.when(charge, amount)).alias("_charge"), F.sum(F.when(refund, -amount)).alias("_refund"))
+    return [F.sum(F.when(charge, amount)).alias("_charge"), F.sum(F.when(refund, -amount)).alias("_refund")]
+
+
+def item_partials(items: DataFrame) -> DataFrame:
+    """Local sums per (update day, invoice, owner, currency) of items laid out by day or month. They hold no
+    rate, so a corrected rate table changes none of them."""
+    layout = [c for c in items.columns if c not in whole_rows(items).columns]
+    items = items.where(F.col("amount").isNotNull() & F.col("invoice_id").isNotNull())
+    return items.groupBy(*layout, F.to_date("object_updated").alias(ITEM_DAY), "invoice_id", "object_owner_id", "currency_id").agg(*_item_sums())
+
+
+def merged_item_totals(partials: DataFrame, src: AuditSources, p: ReconParams) -> DataFrame:
+    """:func:`item_totals` from daily partials; the query window must consist of whole days."""
+    for bound in (p.query_start, p.query_end):
+        if not bound.endswith(" 00:00:00"):
+            raise ValueError(f"daily partials need a window of whole days, not {bound}")
+    day = F.col(ITEM_DAY)
+    days = within(partials, "object_updated", ts_lit(p.query_start), ts_lit(p.query_end)).where((day >= F.to_date(ts_lit(p.query_start))) & (day < F.to_date(ts_lit(p.query_end))))
+    priced = attach_rate(days, "currency_id", ITEM_DAY, src.currency, src.fx_rates, p.query_start, p.query_end)
+    return _converted(priced.groupBy("invoice_id", "object_owner_id", "fx_rate").agg(
+        *[F.sum(c).cast(RATE_SUM_TYPE).alias(c) for c in ("_charge", "_refund")]), p)
+
+
+def _converted(sums: DataFrame, p: ReconParams) -> DataFrame:
     return sums.select(
         "invoice_id", "object_owner_id", "_charge", "_refund",
         convert(F.col("_charge"), F.col("fx_rate"), p.on_zero_rate).alias("_conv_charge"),

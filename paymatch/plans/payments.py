@@ -10,34 +10,45 @@ from paymatch.functions import money, to_text
 from paymatch.operators import (attach_rate, convert, present_in, row_numbers, time_window, top_per_key)
 from paymatch.params import CHARGE_CATEGORIES, ReconParams
 from paymatch.sources import AuditSources
+from paymatch.sources.layout import whole_rows
 
 SUM_TYPE = DecimalType(38, 2)
 # Sums of one rate before they are divided: wider ones would leave the quotient fewer digits.
 RATE_SUM_TYPE = DecimalType(25, 2)
+PARTIAL_KEYS = ["invoice_id", "payment_method_id", "currency_id", "object_created", "object_updated"]
 
 
 def newest_first() -> list:
     return [F.col("object_created").desc_nulls_first(), F.col("object_updated").desc_nulls_first()]
 
 
-def payment_sums(src: AuditSources, p: ReconParams) -> DataFrame:
+def payment_partials(pay: DataFrame) -> DataFrame:
+    """Payments de-duplicated without their id (K9) and summed per (invoice, method, currency, created,
+    updated). A copy shares its creation time, so sums of whole days or months (of a layout by them) merge by union."""
+    pay = pay.where(F.col("payment_method_id").isNotNull())
+    layout = [c for c in pay.columns if c not in whole_rows(pay).columns]
+    rows = pay.select("invoice_id", "payment_method_id", "currency_id", "object_created",
+                      "object_updated", "amount", *layout).distinct()
+    # The de-duplicated rows keep their partitioning, so the sum needs no exchange.
+    return rows.groupBy(*PARTIAL_KEYS, *layout).agg(F.sum("amount").alias("_sum"))
+
+
+def payment_sums(src: AuditSources, p: ReconParams, partials: DataFrame | None = None) -> DataFrame:
     """Payments created in the query window, de-duplicated without their id
     (K9) and summed per (method, invoice, created, updated, rate).
 
     Rows with a NULL method are in no summary and are dropped first. Copies are removed on the raw columns, so rates are looked up
     for what is left; both steps are partial aggregations, so copies and busy
-    invoices are reduced map-side."""
-    pay = time_window(src.payment, "object_created", p.query_start, p.query_end)
-    pay = pay.where(F.col("payment_method_id").isNotNull())
-    rows = pay.select("invoice_id", "payment_method_id", "currency_id", "object_created",
-                      "object_updated", "amount").distinct()
-    # The rate day is the *update* day, which may fall outside the window. Sums per currency, then
-    # per rate: the de-duplicated rows keep their partitioning, so the first sum needs no exchange.
-    keys = ["invoice_id", "payment_method_id", "currency_id", "object_created", "object_updated"]
-    sums = rows.groupBy(*keys).agg(F.sum("amount").alias("_sum"))
+    invoices are reduced map-side. ``partials`` are those of
+    :func:`payment_partials`, if they are kept by day."""
+    if partials is not None:
+        sums = time_window(partials, "object_created", p.query_start, p.query_end)
+    else:
+        sums = payment_partials(whole_rows(time_window(src.payment, "object_created", p.query_start, p.query_end)))
+    # The rate day is the *update* day, which may fall outside the window. Sums per currency, then per rate.
     priced = attach_rate(sums, "currency_id", "object_updated", src.currency, src.fx_rates)
     special = F.col("payment_method_id").isin(p.special_method)
-    return priced.select(special.alias("is_special"), *[k for k in keys if k != "currency_id"], "fx_rate", "_sum")
+    return priced.select(special.alias("is_special"), *[k for k in PARTIAL_KEYS if k != "currency_id"], "fx_rate", "_sum")
 
 
 def payment_groups(sums: DataFrame, p: ReconParams, by_method: bool = False) -> DataFrame:
