@@ -137,7 +137,12 @@ def _check_rows() -> Column:
 def _join_sides(left: DataFrame, key: Column, profile: DataFrame, other: DataFrame, other_key: str) -> DataFrame:
     """``left`` with its invoice's profile and one more side, a row per kind of check row."""
     out = skew_joins(left, key, [(profile.withColumnRenamed("_k", "_pk"), "_pk"), (other, other_key)])
-    return out.drop("_pk", other_key).select("*", F.inline(_check_rows()))
+    return per_check_row(out.drop("_pk", other_key))
+
+
+def per_check_row(joined: DataFrame) -> DataFrame:
+    """A row per kind of check row that the invoice of a joined row has."""
+    return joined.select("*", F.inline(_check_rows()))
 
 
 def _number(c: Column) -> Column:
@@ -158,21 +163,36 @@ def forward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
     owner is an output key there, so that join's fan-out is the output).
     """
     profile = profile if profile is not None else invoice_profile(inp, p)
-    s = inp.processor.groupBy("stripe_month", "reporting_category", "invoice_id", "description",
-                              "invoices_retry", "net_suite").agg(
+    inv = invoice_side(inp, by_owner).withColumnRenamed("_k", "_ik")
+    return forward_rows(_join_sides(processor_side(inp), processor_key(), profile, inv, "_ik"), p, by_owner)
+
+
+def processor_side(inp: ReconInputs) -> DataFrame:
+    """Processor rows aggregated on the forward direction's own output keys."""
+    return inp.processor.groupBy("stripe_month", "reporting_category", "invoice_id", "description",
+                                 "invoices_retry", "net_suite").agg(
         F.count(F.lit(1)).alias("_n_s"),
         F.sum("customer_facing_amount").alias("_cfa"),
         F.sum("gross").alias("_gross"), F.sum("net").alias("_net"))
-    inv_keys = ["_k"] + (["object_owner_id"] if by_owner else [])
-    inv = (inp.invoice_totals.withColumn("_k", to_text("invoice_id")).groupBy(*inv_keys)
-           .agg(F.count(F.lit(1)).alias("_n_inv"),
-                F.sum("converted_invcharge").alias("_inv_charge"),
-                F.sum("converted_invrefund").alias("_inv_refund"))
-           .withColumnRenamed("_k", "_ik"))
-    # Rows without an invoice number, or with an empty one, match nothing: they
-    # are spread by a salt instead of meeting in one task.
-    key = salted_key("invoice_id", "description", "stripe_month", blank=True)
-    j = _join_sides(s, key, profile, inv, "_ik")
+
+
+def processor_key() -> Column:
+    """Rows without an invoice number, or with an empty one, match nothing: they
+    are spread by a salt instead of meeting in one task."""
+    return salted_key("invoice_id", "description", "stripe_month", blank=True)
+
+
+def invoice_side(inp: ReconInputs, by_owner: bool) -> DataFrame:
+    """Invoice totals per invoice key ``_k`` (and owner), as the forward direction looks them up."""
+    keys = ["_k"] + (["object_owner_id"] if by_owner else [])
+    return (inp.invoice_totals.withColumn("_k", to_text("invoice_id")).groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("_n_inv"),
+                 F.sum("converted_invcharge").alias("_inv_charge"),
+                 F.sum("converted_invrefund").alias("_inv_refund")))
+
+
+def forward_rows(j: DataFrame, p: ReconParams, by_owner: bool) -> DataFrame:
+    """Output rows of the forward direction from its joined sides."""
     n_s, n_ic = _number(F.col("_n_s")), _number(F.col("_n_ic"))
     m_bc = _number(F.greatest(F.col("_n_bc"), F.lit(1)))
     m_inv = _number(F.greatest(F.coalesce(F.col("_n_inv"), F.lit(0)), F.lit(1)))
@@ -206,14 +226,23 @@ def backward(inp: ReconInputs, p: ReconParams, by_owner: bool = False,
              profile: DataFrame | None = None, top: DataFrame | None = None) -> DataFrame:
     """C9b, backward direction: every invoice total against the processor side."""
     profile = profile if profile is not None else invoice_profile(inp, p)
-    keys = ["_k", "month"] + (["object_owner_id"] if by_owner else [])
-    g = (inp.invoice_totals.withColumn("_k", to_text("invoice_id"))
-         .withColumn("month", month_label(F.to_date("paid")))
-         .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_i"),
-                             F.sum("converted_invcharge").alias("_inv_charge"),
-                             F.sum("converted_invrefund").alias("_inv_refund")))
     top = top if top is not None else top_processor(inp.processor)
-    j = _join_sides(g, F.col("_k"), profile, top.withColumnRenamed("_k", "_tk"), "_tk")
+    g = month_side(inp, by_owner)
+    return backward_rows(_join_sides(g, F.col("_k"), profile, top.withColumnRenamed("_k", "_tk"), "_tk"), p, by_owner)
+
+
+def month_side(inp: ReconInputs, by_owner: bool) -> DataFrame:
+    """Invoice totals aggregated on the backward direction's own output keys."""
+    keys = ["_k", "month"] + (["object_owner_id"] if by_owner else [])
+    return (inp.invoice_totals.withColumn("_k", to_text("invoice_id"))
+            .withColumn("month", month_label(F.to_date("paid")))
+            .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_i"),
+                                F.sum("converted_invcharge").alias("_inv_charge"),
+                                F.sum("converted_invrefund").alias("_inv_refund")))
+
+
+def backward_rows(j: DataFrame, p: ReconParams, by_owner: bool) -> DataFrame:
+    """Output rows of the backward direction from its joined sides."""
     per_i_row = (_number(F.col("_n_ic")) * _number(F.greatest(F.col("_n_bc"), F.lit(1)))).cast(COUNT_TYPE)
     rows = (_number(F.col("_n_i")) * per_i_row).cast(COUNT_TYPE)
     return j.select(
