@@ -163,7 +163,9 @@ _SHAPES: dict[str, str] = {}
 
 
 def shape(word: str) -> str:
-    """The shape of a word, remembered (the store begins anew once it is large)."""
+    """The shape of a word; those of words of ordinary length are remembered (the store begins anew once it is large)."""
+    if len(word) > 80:
+        return _shape(word)
     found = _SHAPES.get(word)
     if found is None:
         if len(_SHAPES) > 100_000:
@@ -173,16 +175,15 @@ def shape(word: str) -> str:
 
 
 def _shape(word: str) -> str:
-    """Collapsed shape of a word with the number of its digits; all plain words share one."""
-    short = word[:80]
-    bare = short.strip(".,;:!?\"'|*")
+    """Collapsed shape of a whole word with the number of its digits; all plain words share one, all long shapes too."""
+    bare = word.strip(".,;:!?\"'|*")
     if not _EVIDENCE.search(bare):
         return f"cue:{bare.lower()}" if bare.lower() in _CUES else "plain"
     kept = re.sub(r"(?i)[\[(]at[\])]", "@@", re.sub(r"(?i)[\[(]dot[\])]", "..", bare))
     kept = re.sub(r"[^\W_]+", lambda m: "d" if m[0].isdigit() else "x" if m[0].isalpha() else "m", kept)
-    digits = sum(map(str.isdigit, short))
-    run = max(map(len, re.findall(r"[0-9]+", short)), default=0)
-    return f"{kept[:24]}:{min(run, 8)}/{min(digits, 20)}"
+    digits = sum(map(str.isdigit, word))
+    run = max(map(len, re.findall(r"[0-9]+", word)), default=0)
+    return f"{kept if len(kept) <= 24 else 'long'}:{min(run, 8)}/{min(digits, 20)}"
 
 
 _EVIDENCE = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]", re.IGNORECASE)

@@ -246,3 +246,11 @@ def test_salvage_inside_a_member_of_many_records():
         records, gaps = _salvaged(broken + gzip.compress(plain))
         assert records[-5:] == ids and len(records) >= 100 and records[:100] == [f"<urn:{k}>" for k in range(100)]
         assert gaps or records == [f"<urn:{k}>" for k in range(400)] + ids
+
+
+def test_shapes_read_whole_words():
+    """Evidence and digits beyond the first 80 characters of a word count."""
+    assert pii_crf.shape("x" * 200) == "plain"
+    assert pii_crf.shape("x" * 200 + "@mail.com") == pii_crf.shape("x@mail.com")
+    assert pii_crf.shape("x" * 200 + "12345").endswith(":5/5")
+    assert pii_crf.shape("a-" * 200 + "7") == "long:1/1"
