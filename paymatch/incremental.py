@@ -12,7 +12,9 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +43,11 @@ class Partials:
         return read_table(self.spark, self.path, self.table)
 
     def periods_now(self) -> dict[dt.date, int]:
-        """A digest of the files of each period. Reads footers only; one row a period reaches the driver."""
-        files = self.spark.read.parquet(self.path).where(F.col(self.period).isNotNull()).select(
-            self.period, "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        name = F.xxhash64("file_path", "file_size", "file_modification_time")
-        return {r[0]: r[1] for r in files.groupBy(self.period).agg(F.bit_xor(name)).collect()}
+        """A digest of the files of each period. Lists the files and opens none; one row a period reaches the driver."""
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self.path)
+        name = F.xxhash64("path", "length", "modificationTime")
+        known = files.where(F.col(self.period).isNotNull()).groupBy(F.col(self.period).cast("date"))
+        return {r[0]: r[1] for r in known.agg(F.bit_xor(name)).collect()}
 
     def _last(self) -> int:
         """Number of the last refresh that was completed; 0 if there is none."""
@@ -92,12 +94,19 @@ def refreshed_audit(spark: SparkSession, src: AuditSources, params: ReconParams,
 
     ``tables``: path of the layout by ``grain`` of ``api_invoiceitem`` and ``billing_payment``, or of one of them.
     """
-    partials = {}
-    for table, path in tables.items():
+    def refreshed(table: str, path: str) -> DataFrame:
         store = Partials(spark, table, path, f"{root}/{table}", grain)
         store.refresh()
-        partials[table] = store.read()
-    return Audit(src, params, reuse, partials)
+        return store.read()
+    return Audit(src, params, reuse, _together(spark, refreshed, tables))
+
+
+def _together(spark: SparkSession, step: Callable, tables: dict[str, object]) -> dict[str, object]:
+    """``step(table, value)`` of every table. Tables do not wait for each other: cores that the last tasks of one leave idle serve another."""
+    with ThreadPoolExecutor(max(1, len(tables))) as pool:
+        # a target a table: each carries its own copy of the caller's job properties
+        found = {table: pool.submit(inheritable_thread_target(spark)(step), table, value) for table, value in tables.items()}
+        return {table: f.result() for table, f in found.items()}
 
 
 def _two_increments(spark: SparkSession, sf_dir: str) -> Audit:
@@ -108,10 +117,11 @@ def _two_increments(spark: SparkSession, sf_dir: str) -> Audit:
     paths = {table: f"{root}/tables/{table}" for table in frames}
     audit = None
     for late in (False, True):
-        for table, df in frames.items():
+        def arrive(table: str, df: DataFrame) -> None:
             second = (F.col(PERIOD_COLUMNS[table]) >= F.lit(params.query_end).cast("timestamp_ntz") - F.expr("interval 6 months")) & (
                 F.col("invoice_id") % 3 != 0)
             write_by_period(df.where(second if late else ~second), paths[table], PERIOD_COLUMNS[table], "month")
+        _together(spark, arrive, frames)
         audit = refreshed_audit(spark, src, params, paths, f"{root}/partials", "month", reuse="none")
     return audit
 

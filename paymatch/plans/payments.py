@@ -23,29 +23,27 @@ def newest_first() -> list:
 
 
 def payment_partials(pay: DataFrame) -> DataFrame:
-    """Payments de-duplicated without their id (K9) and summed per (invoice, method, currency, created,
-    updated). A copy shares its creation time, so sums of whole days or months (of a layout by them) merge by union."""
+    """Payments de-duplicated without their id (K9): a row per (invoice, method, currency, created, updated) and
+    amount. A copy shares its creation time, so rows of whole days or months (of a layout by them) merge by union.
+    They are summed once, per rate (:func:`payment_groups`): a sum here would move nearly all of them again."""
     pay = pay.where(F.col("payment_method_id").isNotNull())
     layout = [c for c in pay.columns if c not in whole_rows(pay).columns]
-    rows = pay.select("invoice_id", "payment_method_id", "currency_id", "object_created",
-                      "object_updated", "amount", *layout).distinct()
-    # The de-duplicated rows keep their partitioning, so the sum needs no exchange.
-    return rows.groupBy(*PARTIAL_KEYS, *layout).agg(F.sum("amount").alias("_sum"))
+    rows = pay.select(*PARTIAL_KEYS, *layout, "amount").distinct()
+    return rows.select(*PARTIAL_KEYS, *layout, F.col("amount").cast(RATE_SUM_TYPE).alias("_sum"))
 
 
 def payment_sums(src: AuditSources, p: ReconParams, partials: DataFrame | None = None) -> DataFrame:
     """Payments created in the query window, de-duplicated without their id
-    (K9) and summed per (method, invoice, created, updated, rate).
+    (K9) and priced.
 
     Rows with a NULL method are in no summary and are dropped first. Copies are removed on the raw columns, so rates are looked up
-    for what is left; both steps are partial aggregations, so copies and busy
-    invoices are reduced map-side. ``partials`` are those of
+    for what is left; copies are reduced map-side. ``partials`` are those of
     :func:`payment_partials`, if they are kept by day."""
     if partials is not None:
         sums = time_window(partials, "object_created", p.query_start, p.query_end)
     else:
         sums = payment_partials(whole_rows(time_window(src.payment, "object_created", p.query_start, p.query_end)))
-    # The rate day is the *update* day, which may fall outside the window. Sums per currency, then per rate.
+    # The rate day is the *update* day, which may fall outside the window.
     priced = attach_rate(sums, "currency_id", "object_updated", src.currency, src.fx_rates)
     special = F.col("payment_method_id").isin(p.special_method)
     return priced.select(special.alias("is_special"), *[k for k in PARTIAL_KEYS if k != "currency_id"], "fx_rate", "_sum")

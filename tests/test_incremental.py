@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import threading
 from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
 
 from paymatch.audit import Audit
-from paymatch.incremental import Partials
+from paymatch.incremental import Partials, _together
 from paymatch.operators import bitmaps, dense_ids, merged_counts, time_window
 from paymatch.params import fixture_params
 from paymatch.plans.invoices import item_partials, merged_item_totals
+from paymatch.plans.payments import payment_partials
 from paymatch.sinks import ControlTotalsError, observed_write, publish_outputs
 from paymatch.sources.fixtures import fixture_sources
 from paymatch.sources.layout import write_by_period
@@ -127,3 +129,40 @@ def test_publication_needs_equal_totals(spark, tmp_path):
 def test_observed_totals_of_no_rows(spark, tmp_path):
     empty = spark.createDataFrame([], "a decimal(10,2), b string")
     assert observed_write(empty, str(tmp_path / "empty")) == {"rows": 0, "a": None}
+
+
+def test_periods_are_listed_without_reading_rows(spark, tmp_path):
+    """The digest of a period follows from its files' names, sizes and times: files that hold no Parquet at all are listed too."""
+    for day in ("1997-01-01", "1997-01-02", "__HIVE_DEFAULT_PARTITION__"):
+        folder = tmp_path / "items" / f"_day_object_updated={day}"
+        folder.mkdir(parents=True)
+        (folder / "part-0.parquet").write_text(day)
+    store = Partials(spark, "api_invoiceitem", str(tmp_path / "items"), str(tmp_path / "partials"))
+    first = store.periods_now()
+    assert set(first) == {dt.date(1997, 1, 1), dt.date(1997, 1, 2)}
+    (tmp_path / "items" / "_day_object_updated=1997-01-02" / "part-1.parquet").write_text("more")
+    assert store.periods_now()[dt.date(1997, 1, 1)] == first[dt.date(1997, 1, 1)]
+    assert store.periods_now()[dt.date(1997, 1, 2)] != first[dt.date(1997, 1, 2)]
+
+
+def test_payment_partials_take_one_exchange(spark, tmp_path):
+    created = dt.datetime(1997, 1, 5)
+    rows = [(1, 1, 1, 1, created, created, D("2.00")), (2, 1, 1, 1, created, created, D("2.00")),
+            (3, 1, 1, 1, created, created, D("3.00")), (4, 1, None, 1, created, created, D("9.00"))]
+    pay = spark.createDataFrame(rows, "id long, invoice_id long, payment_method_id int, currency_id long, "
+                                "object_created timestamp_ntz, object_updated timestamp_ntz, amount decimal(15,2)")
+    partials = payment_partials(pay)
+    assert sorted(r._sum for r in partials.collect()) == [D("2.00"), D("3.00")]
+    assert payment_partials(pay)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_tables_do_not_wait_for_each_other(spark):
+    both = threading.Barrier(2, timeout=60)
+    spark.sparkContext.setLocalProperty("refresh.mark", "here")
+    try:
+        def step(table, value):
+            both.wait()
+            return table, value, spark.sparkContext.getLocalProperty("refresh.mark")
+        assert _together(spark, step, {"a": 1, "b": 2}) == {"a": ("a", 1, "here"), "b": ("b", 2, "here")}
+    finally:
+        spark.sparkContext.setLocalProperty("refresh.mark", None)
