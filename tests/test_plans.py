@@ -119,3 +119,27 @@ def test_top_processor_row_has_group_limit(audit):
 def test_forward_reads_no_top_row(audit):
     p = plan(audit.recon_forward())
     assert not any("WindowGroupLimit" in ln and "gross" in ln for ln in p.splitlines())
+
+
+def test_kept_tables_are_coalesced(spark):
+    """A kept table has as many pieces as its bytes ask for, whatever number the shuffles are given; the setting is put back."""
+    spark.catalog.clearCache()
+    name = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    before, n = spark.conf.get(name), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        with Audit(fixture_sources(spark, SF_SMALL), fixture_params()) as audit:
+            rows = audit.processor_rows
+            assert rows.count() > 0
+            assert spark.conf.get(name) == before
+            assert {r.getNumPartitions() for r in spark.sparkContext._jsc.getPersistentRDDs().values()} == {1}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+
+
+def test_membership_does_not_sort_the_rows(audit):
+    """Semi joins hash the distinct keys; the rows, mostly many times as many, are not sorted."""
+    for df in (audit.payment_check, audit.invoice_check):
+        p = plan(df)
+        assert any("ShuffledHashJoin" in ln and "LeftSemi" in ln for ln in p.splitlines())
+        assert not any("SortMergeJoin" in ln and "LeftSemi" in ln for ln in p.splitlines())
