@@ -71,7 +71,8 @@ class BucketedStar:
         for by_owner, inp in inputs.items():
             driving[f"month_{by_owner}"] = (reconcile.month_side(inp, by_owner), F.col("_k"))
         driving = {name: df.withColumn("_key", key.cast("string")) for name, (df, key) in driving.items()}
-        lookups = {"profile": audit.invoice_profile, "top": audit.top_processor}
+        # written once, so not kept as well (if the audit has kept them already, Spark reads them from there)
+        lookups = {"profile": reconcile.invoice_profile(first, self.p), "top": reconcile.top_processor(first.processor)}
         lookups |= {f"invoice_{by_owner}": reconcile.invoice_side(inp, by_owner) for by_owner, inp in inputs.items()}
         parts = self._parts(list(driving.values()), rows_per_part)
         self.sides: dict[str, DataFrame] = {}

@@ -64,3 +64,12 @@ def test_close_drops_tables(spark, audit):
     assert parts.where("_parts >= 2").count() == parts.count() > 0
     star.close()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(star.name)]
+
+
+def test_sides_written_once_are_not_kept_as_well(spark):
+    with Audit(fixture_sources(spark, SF_SMALL), fixture_params()) as a:
+        star = BucketedStar(a, buckets=2, grains=(True,))
+        try:
+            assert not {"invoice_profile", "top_processor"} & set(vars(a))
+        finally:
+            star.close()
