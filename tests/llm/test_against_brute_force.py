@@ -420,6 +420,30 @@ def test_crowded_cells_are_split_around_near_pivots(spark, monkeypatch):
     assert len(graph) == 60 and hits >= 0.95 * 600
 
 
+def test_pivots_reach_the_driver_from_few_rows(spark):
+    """The first nodes in hash order, though what the driver may take is less than so many rows of every task."""
+    from pyspark.sql import functions as F
+    r = np.random.default_rng(13)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(20000, 64)))],
+                                  "vec_id long, embedding array<double>")
+    nodes = nn_descent.nodes_of(table, 2).repartition(40).cache()
+    lots = nodes.select("node", "vector", F.xxhash64("node", F.lit("pivot")).alias("lot")).collect()
+    first = sorted(lots, key=lambda x: (x.lot, x.node))[:300]
+    conf = spark.sparkContext._conf
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "2m")
+    try:
+        names, places = nn_descent._sample(nodes, 300)
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    assert names.tolist() == [x.node for x in first]
+    assert (places == nn_descent._vectors([bytes(x.vector) for x in first])).all()
+    # fewer nodes than asked for, and none
+    assert sorted(nn_descent._sample(nodes.where("node % 500 = 0"), 300)[0].tolist()) == list(range(0, 20000, 500))
+    assert len(nn_descent._sample(nodes.where("false"), 300)[0]) == 0
+    nodes.unpersist()
+
+
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_classes_at_other_similarities(spark, percent):
     """Planted pairs just above and below the similarity asked for; lower ones are refused."""
